@@ -93,8 +93,8 @@ def orphan_references(
     relations: DataFrame,
     documents: DataFrame,
     deletes: DataFrame | None = None,
-    range_keys: int = 250_000,
-    batch_rows: int = 500_000,
+    range_keys: int = 25_000,
+    batch_rows: int = 100_000,
 ) -> DataFrame:
     """Every orphan reference with its kind: missing, deleted or created_later."""
     refs = references(relations, documents).withColumn("hash", F.xxhash64("key"))
