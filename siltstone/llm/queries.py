@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import dedup, residue
+from siltstone.llm import dedup, leakage, residue
 from siltstone.runtime import table
 
 
@@ -16,6 +16,10 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return dedup.collapsed_records(table(spark, d, "store_documents"), table(spark, d, "embedding_cache"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_documents(table(spark, d, "documents"))
 
@@ -24,5 +28,5 @@ def p10_messages(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_messages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_records, p10_found, p10_messages)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_records, p8_found, p10_found, p10_messages)}
 ORACLE: dict[str, str] = {}
