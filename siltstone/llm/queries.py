@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import dedup, leakage, residue
+from siltstone.llm import dedup, knn, leakage, residue
 from siltstone.runtime import table
 
 
@@ -16,6 +16,15 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return dedup.collapsed_records(table(spark, d, "store_documents"), table(spark, d, "embedding_cache"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return knn.similar_pairs(table(spark, d, "store_documents"))
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of each document, without a least similarity."""
+    return knn.nearest(table(spark, d, "store_documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -28,5 +37,5 @@ def p10_messages(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_messages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_records, p8_found, p10_found, p10_messages)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_records, p6_found, p6_neighbours, p8_found, p10_found, p10_messages)}
 ORACLE: dict[str, str] = {}
