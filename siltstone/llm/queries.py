@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import dedup, knn, leakage, residue
+from siltstone.llm import dedup, knn, leakage, markup, residue
 from siltstone.runtime import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.markup_documents(table(spark, d, "store_documents")).select("id").distinct()
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.markup_documents(table(spark, d, "store_documents"), with_text=True)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.duplicate_pairs(table(spark, d, "store_documents"))
 
@@ -37,5 +45,5 @@ def p10_messages(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_messages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_records, p6_found, p6_neighbours, p8_found, p10_found, p10_messages)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_clean, p5_found, p5_records, p6_found, p6_neighbours, p8_found, p10_found, p10_messages)}
 ORACLE: dict[str, str] = {}
