@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import dedup, knn, leakage, markup, residue
+from siltstone.llm import dedup, knn, leakage, markup, mixing, residue
 from siltstone.runtime import table
 
 
@@ -37,6 +37,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).mixture()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).report()
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_documents(table(spark, d, "documents"))
 
@@ -45,5 +53,5 @@ def p10_messages(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_messages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clean, p5_found, p5_records, p6_found, p6_neighbours, p8_found, p10_found, p10_messages)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_clean, p5_found, p5_records, p6_found, p6_neighbours, p8_found, p9_mixture, p9_shares, p10_found, p10_messages)}
 ORACLE: dict[str, str] = {}
