@@ -39,23 +39,22 @@ def _named(parts: Column) -> Column:
     )
 
 
-def fields(content: Column) -> Column:
-    """array<string> of distinct "name NUL value" entries; null where nothing is left to compare."""
-    t = F.regexp_replace(content, r"^[\s﻿​ ]+|[\s﻿​ ]+$", "")
+def trimmed(content: Column) -> Column:
+    return F.trim(content, F.lit(" \t\r\n\f\x0b ​﻿"))
+
+
+def fields(t: Column) -> Column:
+    """array<string> of distinct "name NUL value" entries of a trimmed content; empty where nothing is left to compare."""
     shape = F.when(t.startswith("{") & t.endswith("}"), F.from_json(t, "map<string,string>"))
-    json = F.when(
-        F.size(shape) > 0,
-        F.transform(F.map_entries(shape), lambda e: F.concat(folded(e["key"]), F.lit("\x00"), folded(F.coalesce(e["value"], F.lit(""))))),
-    )
+    json = F.transform(F.map_entries(shape), lambda e: F.concat(folded(e["key"]), F.lit("\x00"), folded(F.coalesce(e["value"], F.lit("")))))
     lines = F.filter(F.split(t, r"\r\n?|\n"), lambda x: x.rlike(r"\S"))
     by_line = F.when((F.size(lines) > 1) & F.forall(lines, lambda x: x.rlike(_FIELD)), _named(lines))
     parts = F.filter(F.split(t, ";"), lambda x: x.rlike(r"\S"))
     by_part = F.when((F.size(parts) > 1) & F.forall(parts, lambda x: x.rlike(_PAIR)), _named(parts))
-    text = folded(t)
     # the tests by line and part run only where the first characters hold a sign of a field
     maybe = t.rlike(r"^[^:=;.!?\n]{1,40}[:=]")
-    out = F.coalesce(json, F.when(maybe, F.coalesce(by_line, by_part)), F.when(text != "", F.array(F.concat(F.lit("\x00"), text))))
-    return F.array_distinct(out)
+    text = F.array_remove(F.array(F.concat(F.lit("\x00"), folded(t))), "\x00")
+    return F.array_distinct(F.coalesce(F.nullif(json, F.array().cast("array<string>")), F.when(maybe, F.coalesce(by_line, by_part)), text))
 
 
 def _fingerprint(df: DataFrame) -> DataFrame:
@@ -75,18 +74,20 @@ def _fingerprint(df: DataFrame) -> DataFrame:
 
 
 def _base(documents: DataFrame, key: str, content: str) -> DataFrame:
-    return _fingerprint(documents.select(F.col(key).alias("id"), fields(F.col(content)).alias("fields")).filter("fields is not null and id is not null"))
+    # one step an expression, so that none is computed twice; empty contents fall out by fn
+    t = documents.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), trimmed(F.col(content)).alias("t"))
+    return _fingerprint(t.select("id", fields(F.col("t")).alias("fields")))
 
 
 def duplicate_members(documents: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
     """(id, keep_id) for every member of a set of two or more, the kept one included."""
     base = _base(documents, key, content)
-    groups = cut(base.groupBy(*_FP).agg(F.count("*").alias("n"), F.min("id").alias("keep")).filter("n > 1"))
+    groups = cut(base.groupBy(*_FP).agg(F.count("*").alias("n"), F.min("id").alias("keep")).filter("n > 1 and fn > 0"))
     most = groups.agg(F.max("n")).first()[0] or 0
     salts = min(256, math.ceil(most / SLICE)) or 1
     spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    members = base.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(spread, [*_FP, "salt"])
-    first = base.join(groups.select(*_FP, F.col("keep").alias("id")), [*_FP, "id"]).select(*_FP, F.col("fields").alias("kept")).dropDuplicates(_FP)
+    members = cut(base.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(spread, [*_FP, "salt"]).select("id", "keep", "salt", "fields", *_FP))
+    first = members.filter("id = keep").select(*_FP, F.col("fields").alias("kept")).dropDuplicates(_FP)
     first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     same = (F.size("fields") == F.size("kept")) & (F.size(F.array_except("fields", "kept")) == 0)
     checked = cut(members.join(first, [*_FP, "salt"]).select("id", "keep", same.alias("same"), F.when(~same, F.col("fields")).alias("fields")).distinct())
