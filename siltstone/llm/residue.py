@@ -6,7 +6,7 @@ messages are grouped by hash across sources, and each is classified: phrase and
 their own weight decide alone, weak ones (a bare status phrase, a bare word such as `null`) only where the masked message
 recurs in two documents or more. The hashes of residue are joined back to the documents.
 
-Both groupings combine before their shuffle. Defined cases: null and empty texts hold no residue; a text without timings is
+Messages without any sign or word that a rule needs skip the rules (GATE). Both groupings combine before their shuffle. Defined cases: null and empty texts hold no residue; a text without timings is
 one message; a message counts once a document; null sources count as one source; texts of any length are read whole.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.subtitles import cues
+from siltstone.llm.subtitles import cues, unstyled
 
 _VAR = r"\.?[\p{L}_][\w.\[\]-]*(?: \d+)?"
 _FIELD = r"(?:[\p{L}]\w*[_.\[\d][\w.\[\]]*|[\p{L}]+ \d+|(?:captions?|subtitles?|dialogue|lyrics|speaker|line|cue|translation|title|name|text|episode|season|show|item)\b)"
@@ -64,6 +64,14 @@ TAILED = (
 WEAK = rf"^(?:undefined|null|none|nan|\[object object\])$|^[\p{{L}}]+ \d+: (?:null|none|undefined|nan)$|(?m)^(?:{_STATUS})[.!]?$"
 _PAGE = r"</?(?:html|body|head|h\d|p|div|noscript|center|title|br|hr)\b[^<>]*>"
 
+#: Every rule above needs one of these signs or word beginnings, so other messages skip the rules.
+GATE = (
+    r"[{}<>%$@_\[\]]|#\d|\*\||\b[45]\d\d\b|\b(?:todo|fixme|tbd|lorem|asdf|blah|xx|text|texte|dummy|this is|replace|add|insert|enter|type|hier|platzhalter|blindtext|tekst|tu|tutaj|текст|здесь|заполн|aqu|ici"
+    r"|undefined|null|none|nan|cue|line|speaker|http|error|fehler|erreur|ошибка|status|internal|fatal|stack|traceback|file|url|page|resource|database|nosuch|back end|request|download|your|you|something"
+    r"|nginx|apache|please|enable|javascript|java|check|works|does|doesn|need|active|activer|aktivieren|включи|отключ|w.{1,2}.?cz|verify|not found|forbidden|unauthorized|bad|gateway|service|server|too many|gone|moved"
+    r"|interner|interno|внутренняя|wewn|die seite|seite|zugriff|dienst|acc|passerelle|p.{1,2}gina|servicio|acceso|страница|сервис|доступ|strona|nie znal|us.{1,2}uga|brak|dost)|: ?(?:null|none|undefined|nan)$"
+)
+
 _DATE = r"\d{1,4}[-./]\d{1,2}[-./]\d{1,4}(?:[ t]\d{1,2}:\d{2}(?::\d{2})?)?"
 _ADDRESS = r"(?:https?://|www\.)\S+|\S+@\S+\.\w+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|invalid|com|org|net|srt|vtt|sub|php|html?)\b(?:/\S*)?"
 
@@ -104,9 +112,9 @@ def residue_messages(documents: DataFrame, key: str = "doc_id", text: str = "tex
     raw = messages(documents, key, text, source).groupBy("message").agg(
         F.count("*").alias("n"), F.min("s").alias("s1"), F.max("s").alias("s2")
     )
-    low = F.lower("message")
-    suspect = raw.withColumn("strong", _strong(low)).withColumn("weak", _weak(low))
-    suspect = suspect.filter("strong is not null or weak").withColumn("mask", masked(F.col("message")))
+    raw = raw.withColumn("low", F.lower(unstyled(F.col("message"))))
+    suspect = raw.filter(F.col("low").rlike(GATE)).withColumn("strong", _strong(F.col("low"))).withColumn("weak", _weak(F.col("low")))
+    suspect = suspect.filter("strong is not null or weak").withColumn("mask", masked(F.col("low")))
     groups = suspect.groupBy("mask").agg(F.sum("n").alias("documents"), (F.min("s1") < F.max("s2")).alias("several_sources"))
     return (
         suspect.join(groups, "mask")

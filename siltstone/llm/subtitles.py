@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A timing line, or the frame numbers that begin a line.
-TIMING = r"(?m)^[^\n]*?\d[^\n]*-+>[^\n]*$|^\{\d+\}\{\d+\}"
+#: A timing line with the cue number before it, or the frame numbers that begin a line.
+BETWEEN = r"(?:(?:^|\n)[ \t]*\d+[ \t]*)?(?:^|\n)[^\n]*\d[ \t]*-+>[ \t]*\d[^\n]*(?=\n|$)|(?:^|\n)\{\d+\}\{\d+\}"
+OUTER = " \t\n-"
 #: Styling codes of the three formats.
 STYLE = r"(?i)</?(?:i|b|u|s|c|v|ruby|rt|lang|font)(?:[ .][^<>\n]*)?>|\{\\[^{}\n]*\}|\{[a-z]:[^{}\n]*\}"
 
 
 def unified(text: Column) -> Column:
-    """Line ends as \\n, without byte order marks."""
-    return F.regexp_replace(F.replace(text, F.lit("﻿"), F.lit("")), r"\r\n?", "\n")
+    """Line ends as \n, without byte order marks. Plain replacements: no regular expression over the whole text."""
+    t = F.replace(text, F.lit("﻿"), F.lit(""))
+    return F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def cues(text: Column) -> Column:
-    """array<string>: the texts between timings, without cue numbers, styling codes and outer blanks; a text without timings is one piece."""
-    parts = F.split(unified(text), TIMING)
+    """array<string>: the texts between timings without outer blanks and dashes; a text without timings is one piece."""
+    parts = F.split(unified(text), BETWEEN)
+    return F.filter(F.transform(parts, lambda p: F.trim(p, F.lit(OUTER))), lambda p: p != "")
 
-    def clean(p: Column) -> Column:
-        p = F.regexp_replace(F.regexp_replace(p, STYLE, ""), r"[ \t]*(?<!\*)\|(?!\*)[ \t]*", "\n")
-        p = F.regexp_replace(p, r"(?:^|\n)[ \t]*\d+[ \t]*$|^WEBVTT[^\n]*", "")
-        return F.regexp_replace(p, r"^[\s\-]+|\s+$", "")
 
-    return F.filter(F.transform(F.transform(parts, lambda p: F.regexp_replace(p, r"\s+$", "")), clean), lambda p: p != "")
+def unstyled(cue: Column) -> Column:
+    """A cue without styling codes, with the bars of the frame format as line breaks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(cue, STYLE, ""), r"(?<!\*)\|(?!\*)", "\n"), F.lit(OUTER))
