@@ -165,6 +165,7 @@ class Hierarchy:
         links = cut(links.select("node", "parent").distinct())
         first = links.groupBy("node").agg(F.min("parent").alias("parent"))
         self.links, self.cycles = links, cycle_nodes(first)
+        self._loops = links.filter("node = parent").select(F.col("parent").alias("ancestor"), "node")
         self._has_cycles = self.cycles.limit(1).count() > 0
         if self._has_cycles:
             c = F.broadcast(self.cycles) if self.cycles.count() <= 10_000 else self.cycles  # size checked
@@ -180,8 +181,9 @@ class Hierarchy:
         tree_nodes = first.select("node", "parent").unionByName(first.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
         if self._has_cycles:
             tree_nodes = tree_nodes.unionByName(self.cycles.select(F.col("cycle").alias("node"), F.lit(None).cast("string").alias("parent")))
-        self.sets = nested_sets(tree_nodes.groupBy("node").agg(F.min("parent").alias("parent")))
         renamed = self._extra_names(links)
+        tree_nodes = tree_nodes.unionByName(renamed.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
+        self.sets = nested_sets(tree_nodes.groupBy("node").agg(F.min("parent").alias("parent")))
         self._extras = renamed.filter("node <> parent").distinct().join(
             first.select("node", "parent"), ["node", "parent"], "left_anti"
         )
@@ -214,13 +216,13 @@ class Hierarchy:
     def pairs(self) -> DataFrame:
         """Distinct (ancestor, node): the node reaches the ancestor by one or more steps; nodes on a cycle reach themselves."""
         out = self._contracted_pairs()
-        if not self._has_cycles:
-            return out
+        if not self._has_cycles:  # then a loop is a further link of its node
+            return out.unionByName(self._loops)
         members = self.cycles.select(F.col("cycle").alias("k"), F.col("node").alias("m"))
         for side in ("ancestor", "node"):
             out = out.join(members, out[side] == members["k"], "left").withColumn(side, F.coalesce("m", side)).drop("k", "m")
         ring = self.cycles.select(F.col("node").alias("ancestor"), "cycle").join(self.cycles, "cycle").select("ancestor", "node")
-        return out.unionByName(ring).distinct()
+        return out.unionByName(ring).unionByName(self._loops).distinct()
 
     def nodes(self) -> DataFrame:
         """One row a node: root, depth, path (root first, joined by '/'), descendants, on_cycle.

@@ -40,36 +40,44 @@ def _unquote(c: Column) -> Column:
     return F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.concat(mark, mark), mark)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once: a lambda's variable isn't expanded again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _delimited(field: Column) -> Column:
     """Values of a delimited list, untrimmed."""
-    safe = _escape(field)
-    spans = F.regexp_extract_all(safe, F.lit(_QUOTED), F.lit(2))
-    # the text between spans keeps each span's delimiter: the span alone becomes OPEN + CLOSE
-    pieces = F.split(F.regexp_replace(safe, _QUOTED, f"$1{OPEN}"), OPEN)
-    masked = F.array_join(
-        F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(OPEN), (i - 1).cast("string"), F.lit(CLOSE), p))),
-        "",
-    )
-
-    def restore(v: Column) -> Column:
-        v = _trim(v)
+
+    def split(safe: Column) -> Column:
+        spans = F.regexp_extract_all(safe, F.lit(_QUOTED), F.lit(2))
+        # the text between spans keeps each span's delimiter; the span alone becomes OPEN
+        pieces = F.split(F.regexp_replace(safe, _QUOTED, f"$1{OPEN}"), OPEN)
+        masked = F.array_join(
+            F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(OPEN), (i - 1).cast("string"), F.lit(CLOSE), p))),
+            "",
+        )
+        return _let(F.struct(spans.alias("spans"), masked.alias("masked")), lambda x: F.transform(F.split(x["masked"], f"[{DELIMITERS}]"), lambda v: restore(_trim(v), x["spans"])))
+
+    def restore(v: Column, spans: Column) -> Column:
         at = F.regexp_extract(v, f"^{OPEN}(\\d+){CLOSE}", 1)
         rest = F.regexp_replace(v, f"^{OPEN}\\d+{CLOSE}", "")
-        span = _unquote(F.get(spans, F.nullif(at, F.lit("")).cast("int")))
-        return _unescape(F.concat(F.coalesce(span, F.lit("")), rest))
+        span = F.get(spans, F.nullif(at, F.lit("")).cast("int"))
+        return _unescape(F.concat(F.coalesce(_unquote(span), F.lit("")), rest))
 
-    return F.transform(F.split(masked, f"[{DELIMITERS}]"), restore)
+    return _let(_escape(field), split)
 
 
 def split_values(field: Column) -> Column:
     """array<string> of the values in a packed field; null where the field is null."""
-    t = _trim(field)
-    bracketed = t.startswith("[") & t.endswith("]") & (F.length(t) >= 2)
-    braced = t.startswith("{") & t.endswith("}") & (F.length(t) >= 2)
-    parsed = F.when(bracketed, F.from_json(t, "array<string>", {"mode": "PERMISSIVE"}))
-    inner = F.when(bracketed | braced, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
-    values = F.coalesce(parsed, _delimited(inner))
-    return F.filter(F.transform(values, _trim), lambda v: v.isNotNull() & (v != ""))
+
+    def values(t: Column) -> Column:
+        bracketed = t.startswith("[") & t.endswith("]") & (F.length(t) >= 2)
+        braced = t.startswith("{") & t.endswith("}") & (F.length(t) >= 2)
+        parsed = F.when(bracketed, F.from_json(t, "array<string>", {"mode": "PERMISSIVE"}))
+        inner = F.when(bracketed | braced, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+        return F.coalesce(parsed, _delimited(inner))
+
+    return F.filter(F.transform(_let(_trim(field), values), _trim), lambda v: v.isNotNull() & (v != ""))
 
 
 def explode_values(df: DataFrame, key: str = "id", field: str = "tags", value: str = "tag") -> DataFrame:
