@@ -64,14 +64,25 @@ TAILED = (
 WEAK = rf"^(?:undefined|null|none|nan|\[object object\])$|^[\p{{L}}]+ \d+: (?:null|none|undefined|nan)$|(?m)^(?:{_STATUS})[.!]?$"
 _PAGE = r"</?(?:html|body|head|h\d|p|div|noscript|center|title|br|hr)\b[^<>]*>"
 
-#: Every rule above needs one of these signs or word beginnings, so other messages skip the rules.
-GATE = (
-    r"[{}<>%$@_\[\]]|#\d|\*\||\b[45]\d\d\b|\b(?:todo|fixme|tbd|lorem|asdf|blah|xx|text|texte|dummy|this is|replace|add|insert|enter|type|hier|platzhalter|blindtext|tekst|tu|tutaj|текст|здесь|заполн|aqu|ici"
-    r"|undefined|null|none|nan|cue|line|speaker|http|error|fehler|erreur|ошибка|status|internal|fatal|stack|traceback|file|url|page|resource|database|nosuch|back end|request|download|your|you|something"
-    r"|nginx|apache|please|enable|javascript|java|check|works|does|doesn|need|active|activer|aktivieren|включи|отключ|w.{1,2}.?cz|verify|not found|forbidden|unauthorized|bad|gateway|service|server|too many|gone|moved"
-    r"|interner|interno|внутренняя|wewn|die seite|seite|zugriff|dienst|acc|passerelle|p.{1,2}gina|servicio|acceso|страница|сервис|доступ|strona|nie znal|us.{1,2}uga|brak|dost)|: ?(?:null|none|undefined|nan)$"
+_GATE_WORDS = (
+    "todo|fixme|tbd|lorem|asdf|blah|xx|text |texte |texto|dummy|this is sample|this is placeholder|this file|this video|this page|this viewer|replace |add |insert |enter |type |hier |platzhalter|blindtext|tekst|tu będ|tu wst|tu wpisz|tutaj "
+    "|текст|здесь |заполн|aquí va|aqui va|ici |undefined|null|none|nan|http|error|fehler|erreur|ошибка|bł|bl|status|code|fout|internal |fatal |stack |traceback|file |url |page |resource |database |nosuch|back end|request |download "
+    "|you do not|you need|your address|your session|your browser|something went|nginx|nginy|apache|please |enable |javascript|checking |works best|does not|doesn|needs? to|active javascript|activer |aktivieren|включи|wł|wl|verify|not found|forbidden"
+    "|unauthorized|bad gateway|bad request|gateway|service |server |too many|gone|moved perm|interner |interno|внутренняя|wewn|die seite|seite |zugriff|dienst |accès|acces|accÃ|passerelle|p.{1,2}gina no|servicio|acceso|страница|сервис|доступ|strona nie|nie znal|usł|brak dost|dost"
 )
 
+
+def _trie(words: list[str]) -> str:
+    """An alternation grouped by first letter, so that most words of a message fail at one comparison."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by.items()))
+
+
+#: Every rule above needs one of these signs or word beginnings, so other messages skip the rules.
+GATE = rf"[{{}}<>%$@_\[\]]|#\d|\*\||\b[45]\d\d\b|: ?(?:null|none|undefined|nan)$|(?<![\p{{L}}\p{{N}}])(?:{_trie(_GATE_WORDS.split('|'))})"
+
 _DATE = r"\d{1,4}[-./]\d{1,2}[-./]\d{1,4}(?:[ t]\d{1,2}:\d{2}(?::\d{2})?)?"
 _ADDRESS = r"(?:https?://|www\.)\S+|\S+@\S+\.\w+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|invalid|com|org|net|srt|vtt|sub|php|html?)\b(?:/\S*)?"
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A timing line with the cue number before it, or the frame numbers that begin a line.
-BETWEEN = r"(?:(?:^|\n)[ \t]*\d+[ \t]*)?(?:^|\n)[^\n]*\d[ \t]*-+>[ \t]*\d[^\n]*(?=\n|$)|(?:^|\n)\{\d+\}\{\d+\}"
+BETWEEN = r"\n(?:(?:[ \t]*\d+[ \t]*\n)?[ \t]*\d[\d:.,]*[ \t]*-+>[^\n]*|\{\d+\}\{\d+\})"
 OUTER = " \t\n-"
 #: Styling codes of the three formats.
 STYLE = r"(?i)</?(?:i|b|u|s|c|v|ruby|rt|lang|font)(?:[ .][^<>\n]*)?>|\{\\[^{}\n]*\}|\{[a-z]:[^{}\n]*\}"
@@ -20,7 +20,7 @@ def unified(text: Column) -> Column:
 
 def cues(text: Column) -> Column:
     """array<string>: the texts between timings without outer blanks and dashes; a text without timings is one piece."""
-    parts = F.split(unified(text), BETWEEN)
+    parts = F.split(F.concat(F.lit("\n"), unified(text)), BETWEEN)
     return F.filter(F.transform(parts, lambda p: F.trim(p, F.lit(OUTER))), lambda p: p != "")
 
 
