@@ -29,8 +29,9 @@ _FP = ["f1", "f2", "f3", "f4", "fn"]
 
 
 def folded(c: Column) -> Column:
-    """Letters and digits in folded case; upper case first, so that sharp s equals ss."""
-    return F.lower(F.upper(F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")))
+    """Letters and digits in folded case: sharp s equals ss, final sigma and long s equal the plain letters."""
+    low = F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
+    return F.translate(F.replace(low, F.lit("ß"), F.lit("ss")), "ςſ", "σs")
 
 
 def _named(parts: Column) -> Column:

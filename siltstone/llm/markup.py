@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LABELS = ("O", "INLINE", "HEAD", "LIST", "QUOTE", "CODE", "TABLE", "FORMULA", "DROP")
-PAGES = 300
+PAGES = 500
 
 _BLOCK = re.compile(
     r"(</?(?:p|div|h[1-6]|ul|ol|li|dl|dt|dd|table|thead|tbody|tr|td|th|pre|blockquote|section|article|header|footer|nav|style|script|br|hr|html|body)\b[^<>]*>|<!--.*?(?:-->|$))",
@@ -266,8 +266,11 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[tuple[int, str]]]]
         lambda: f"$n_{{{rng.integers(9)}}} \\le x^2$", lambda: "\\(a + b\\)",
     ]
 
+    turn = [0]
+
     def prose() -> list[tuple[str, str]]:
-        return [(f"{words().capitalize()} {pick(inline)()} {words()}.", "INLINE")]
+        turn[0] += 1  # every inline sign comes equally often
+        return [(f"{words().capitalize()} {inline[turn[0] % len(inline)]()} {words()}.", "INLINE")]
 
     def heading() -> list[tuple[str, str]]:
         t = words(1, 4).capitalize()
@@ -327,7 +330,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[tuple[int, str]]]]
     def text() -> list[tuple[str, str]]:
         return [(plain() + pick(["\n", " ", " "]), "O") for _ in range(int(rng.integers(1, 4)))]
 
-    parts = [prose, prose, heading, listing, code, tabular, drop, formula, quote, div]
+    parts = [prose, prose, prose, prose, heading, listing, code, tabular, drop, formula, quote, div]
     pages = []
     for k in range(n):
         body, marks = "", []
@@ -366,7 +369,7 @@ class Field:
                 x[i, j, -1] = 1
         return x, mask
 
-    def fit(self, seqs: list[list[tuple[int, ...]]], labels: list[list[int]], steps: int = 100, rate: float = 0.3, ridge: float = 1e-5) -> None:
+    def fit(self, seqs: list[list[tuple[int, ...]]], labels: list[list[int]], steps: int = 140, rate: float = 0.3, ridge: float = 1e-5) -> None:
         """Maximum likelihood by Adam, all pages at once."""
         x, mask = self._dense(seqs)
         n, t, _ = x.shape
