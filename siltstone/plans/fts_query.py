@@ -167,13 +167,17 @@ def phrases(tree: Phrase | Node) -> list[Phrase]:
     return [p for x in parts for p in phrases(x)]
 
 
+def _near(a: Phrase, b: Phrase, distance: int, tokens: Column) -> Column:
+    return F.exists(a.starts(tokens), lambda i: F.exists(b.starts(tokens), lambda j: F.abs(j - i) <= distance + len(a.words)))
+
+
 def matches(tree: Phrase | Node, tokens: Column) -> Column:
     if isinstance(tree, Phrase):
         return tree.count(tokens) > 0
     if tree.op == "NEAR":
         ok = F.lit(True)
         for a, b in zip(tree.parts, tree.parts[1:], strict=False):
-            ok = ok & F.exists(a.starts(tokens), lambda i, a=a, b=b: F.exists(b.starts(tokens), lambda j: F.abs(j - i) <= tree.distance + len(a.words)))
+            ok = ok & _near(a, b, tree.distance, tokens)
         return ok
     cols = [matches(p, tokens) for p in tree.parts]
     out = cols[0]
