@@ -33,16 +33,18 @@ BLOCK_CHARS, PIECE_CHARS = 2_000_000, 400_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(int(_B), -1, 1 << 64))
 
+#: Parts of a text set aside. Line forms begin with their line break, so that most positions fail at one comparison.
 _NOISE = (
-    r"(?m)^[^\n]*?\d[^\n]*-+>[^\n]*$|^\{\d+\}\{\d+\}|^\s*\d+\s*$|^WEBVTT[^\n]*$|\[[^\[\]\n]*\]|\([^()\n]*\)"
-    r"|^[ \-]*\*[^*\n]*\*[ ]*$|^[ \-]*#[^#\n]*#[ ]*$|♪[^♪\n]*♪"
+    r"\n(?:(?:[ \t]*\d+[ \t]*\n)?[ \t]*\d[\d:.,]*[ \t]*-+>[^\n]*|\{\d+\}\{\d+\}|[ \t]*\d+[ \t]*(?=\n)|WEBVTT[^\n]*|[ \-]*\*[^*\n]*\*[ ]*(?=\n)|[ \-]*#[^#\n]*#[ ]*(?=\n))"
+    r"|\[[^\[\]\n]*\]|\([^()\n]*\)|♪[^♪\n]*♪"
 )
 
 
 def words_only(text: Column) -> Column:
     """The words of a subtitle or plain text, one blank between them."""
-    t = F.regexp_replace(F.regexp_replace(unified(text), STYLE, ""), _NOISE, " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), r"['’´`]", ""), r"[^\p{L}\p{N}]+", " "))
+    t = F.concat(F.lit("\n"), F.regexp_replace(unified(text), STYLE, ""), F.lit("\n"))
+    t = F.translate(F.lower(F.regexp_replace(t, _NOISE, " ")), "'’´`", "")
+    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
 
 
 def _codes(text: str) -> np.ndarray:
