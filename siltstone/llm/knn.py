@@ -1,10 +1,15 @@
-"""Most similar vectors for every vector, by a forest of hash prefixes.
+"""Most similar vectors for every vector: exact, or by a forest of hash prefixes where a least similarity is asked for.
 
-Each tree gives a vector a string of `BITS` random-hyperplane signs. A tree is one sorted array of strings, spread over
+Without `min_sim` every vector is compared with every other: blocks of at most about `ROWS_A_BLOCK` rows meet all rows as a stream, one
+32-bit matrix product a batch; what reaches a row's k-th best so far is compared again in 64 bits. The cost is
+quadratic in the number of distinct vectors, with no loss.
+
+With `min_sim` each tree gives a vector a string of `BITS` random-hyperplane signs. A tree is one sorted array of strings, spread over
 partitions by range of (tree, string, vector hash), so equal strings of a dense cluster split too. A row's neighbours in the array
 are its longest-prefix matches: going outwards the shared prefix only gets shorter, and all trees go outwards
-in step until each has offered `WINDOW` rows on either side. Blocks of the array are compared by one matrix product over
-8-bit copies of the vectors, and the best `KEEP` of each row are kept. Candidates of all trees are merged, and
+in step until each has offered `WINDOW` rows on either side, compared by one matrix product over 8-bit copies.
+A row whose outer half of that window still holds a row within `NEAR` of min_sim lies in a cluster denser than the window:
+its ascent isn't over, and it is compared with every other vector as above. The rest keep all their candidates, which are
 compared exactly on the full vectors.
 
 Equal vectors are one class: they collapse to one row a batch before the shuffle, and the result is expanded from the
@@ -25,8 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, BITS, WINDOW, KEEP, SLACK = 10, 60, 64, 8, 0.01
-ROWS_A_PARTITION = 150_000
+from siltstone.runtime import cut
+
+TREES, BITS, WINDOW, SLACK, NEAR = 10, 60, 64, 0.01, 0.15
+ROWS_A_PARTITION, ROWS_A_BLOCK, BLOCKS = 150_000, 131_072, 4
+MARGIN = 1e-5  # more than a 32-bit product of unit vectors errs
 
 
 def usable(vector: Column, dims: int) -> Column:
@@ -70,8 +78,8 @@ def _plant(dims: int, trees: int, bits: int, seed: int):
     return run
 
 
-def _ascend(dims: int, window: int, keep: int, least: float | None):
-    """Best candidates of each row among its neighbours in the sorted arrays of one partition."""
+def _ascend(dims: int, window: int, least: float):
+    """Pairs of each row and its similar neighbours in the sorted arrays of one partition; a row in a dense cluster comes with itself instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches([b for b in batches if b.num_rows] or [_EMPTY])
@@ -88,24 +96,84 @@ def _ascend(dims: int, window: int, keep: int, least: float | None):
         for a in range(0, len(tree), size):
             b, lo, hi = min(a + size, len(tree)), max(0, a - window), min(len(tree), a + size + window)
             sim = unit[a:b] @ unit[lo:hi].T
-            far = np.arange(a, b)[:, None] - np.arange(lo, hi)[None, :]
-            sim[(far == 0) | (np.abs(far) > window) | (tree[a:b, None] != tree[None, lo:hi])] = -2
-            if least is not None:
-                r, c = np.nonzero(sim >= least)
-            else:
-                c = np.argpartition(-sim, min(keep, sim.shape[1]) - 1, axis=1)[:, :keep]
-                r, c = np.repeat(np.arange(b - a), c.shape[1]), c.ravel()
-                r, c = r[sim[r, c] > -2], c[sim[r, c] > -2]
-            best = np.lexsort((-sim[r, c], r))
-            r, c = r[best], c[best]
-            rank = np.arange(len(r)) - np.searchsorted(r, r)
-            r, c = r[rank < keep] + a, c[rank < keep] + lo
-            if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[r], key[c])), pa.array(np.maximum(key[r], key[c]))], names=["a", "b"])
+            far = np.abs(np.arange(a, b)[:, None] - np.arange(lo, hi)[None, :])
+            sim[(far == 0) | (far > window) | (tree[a:b, None] != tree[None, lo:hi])] = -2
+            dense = ((sim >= least - NEAR) & (far > window // 2)).any(axis=1)
+            r, c = np.nonzero((sim >= least) & ~dense[:, None])
+            own = key[a:b][dense]
+            one, two = np.concatenate([key[r + a], own]), np.concatenate([key[c + lo], own])
+            if len(one):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+
+    return run
+
+
+def _compare(dims: int, k: int):
+    """The k most similar classes of each row of a block; the rows arrive by block, each block's own rows first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, own, best = None, [], None
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            for n in np.unique(number):
+                part = batch.filter(pa.array(number == n))
+                if n != block:
+                    if best is not None:
+                        yield best.result()
+                    block, own, best = n, [], None
+                base = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                if not base.all():
+                    own.append(part.filter(pa.array(~base)))
+                if base.any():
+                    best = best or _Best(pa.Table.from_batches(own), dims, k)
+                    best.meet(part.filter(pa.array(base)))
+        if best is not None:
+            yield best.result()
 
     return run
 
 
+class _Best:
+    """Running k best of a block's rows, by similarity rounded to 6 digits, then by the class's smallest id."""
+
+    def __init__(self, rows: pa.Table, dims: int, k: int):
+        self.dims, self.k = dims, k
+        self.key, self.unit = rows["key"].to_numpy(), _matrix(rows["v"].combine_chunks(), dims)
+        self.single = self.unit.astype(np.float32)
+        self.least = np.full(len(self.key), -2, np.float32)
+        self.row, self.to, self.sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.name = None
+
+    def meet(self, rows: pa.RecordBatch) -> None:
+        key, unit = rows.column(2).to_numpy(), _matrix(rows.column(3), self.dims)
+        name = np.array(rows.column(4).to_pylist())
+        single, found = unit.astype(np.float32).T, []
+        for a in range(0, len(self.key), 512):
+            sim = self.single[a : a + 512] @ single
+            least = self.least[a : a + 512]
+            if sim.shape[1] > self.k and (least == -2).any():  # the first batch: its own k-th best, the row itself left out, bounds the rest
+                least = np.maximum(least, np.partition(sim, -self.k - 1, axis=1)[:, -self.k - 1] - MARGIN)
+            r, c = np.nonzero(sim >= least[:, None])
+            other = self.key[a + r] != key[c]
+            found.append((a + r[other], c[other]))
+        r, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(r):
+            return
+        sim = np.concatenate([np.einsum("ij,ij->i", self.unit[r[i : i + 100_000]], unit[c[i : i + 100_000]]) for i in range(0, len(r), 100_000)])
+        sim = np.round(np.clip(sim, -1, 1), 6)
+        names = name[c] if self.name is None else np.concatenate([self.name, name[c]])
+        row, to, sim = np.concatenate([self.row, r]), np.concatenate([self.to, key[c]]), np.concatenate([self.sim, sim])
+        order = np.lexsort((names, -sim, row))
+        rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+        order, rank = order[rank < self.k], rank[rank < self.k]
+        self.row, self.to, self.sim, self.name = row[order], to[order], sim[order], names[order]
+        last = rank == self.k - 1
+        self.least[self.row[last]] = self.sim[last] - MARGIN
+
+    def result(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.key[self.row]), pa.array(self.to), pa.array(self.sim)], names=["key", "to", "sim"])
+
+
 _EMPTY = pa.RecordBatch.from_arrays(
     [pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["tree", "code", "key", "small"]
 )
@@ -128,13 +196,22 @@ def _vectors(documents: DataFrame, key: str, vector: str, dims: int) -> DataFram
     return usable_rows.select(F.col(key).alias("id"), v.alias("v")).withColumn("key", F.xxhash64("v"))
 
 
-def candidate_pairs(rows: DataFrame, n: int, dims: int, trees: int, min_sim: float | None, window: int = WINDOW, keep: int = KEEP, seed: int = 20) -> DataFrame:
-    """Distinct (a, b), a < b: classes that some tree brings together."""
+def candidate_pairs(rows: DataFrame, n: int, dims: int, trees: int, min_sim: float, window: int = WINDOW, seed: int = 20) -> DataFrame:
+    """Distinct (a, b), a < b: classes that some tree brings together; a = b: a class in a cluster denser than the window."""
     planted = rows.select("key", "v").mapInArrow(_plant(dims, trees, BITS, seed), "tree int, code long, key long, small binary")
     parts = max(trees, math.ceil(n * trees / ROWS_A_PARTITION))
     spread = planted.repartitionByRange(parts, "tree", "code", "key")
-    least = None if min_sim is None else min_sim - SLACK
-    return spread.mapInArrow(_ascend(dims, window, keep, least), "a long, b long").distinct()
+    return spread.mapInArrow(_ascend(dims, window, min_sim - SLACK), "a long, b long").distinct()
+
+
+def exact_lists(some: DataFrame, every: DataFrame, n: int, dims: int, k: int) -> DataFrame:
+    """(key, to, sim): for the n classes of `some` the k most similar of `every`, both (key, v, id), by comparing all."""
+    blocks = max(1, math.ceil(n / ROWS_A_BLOCK), min(BLOCKS, n // 4096))
+    number = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)).cast("int")
+    each = every.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    both = some.select(number.alias("block"), F.lit(False).alias("base"), "key", "v", "id").unionByName(each.select("block", F.lit(True).alias("base"), "key", "v", "id"))
+    laid = both.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "base")
+    return laid.mapInArrow(_compare(dims, k), "key long, to long, sim double")
 
 
 def nearest(documents: DataFrame, k: int = 5, dims: int = 64, min_sim: float | None = None, trees: int = TREES, key: str = "id", vector: str = "vector") -> DataFrame:
@@ -142,16 +219,25 @@ def nearest(documents: DataFrame, k: int = 5, dims: int = 64, min_sim: float | N
 
     With min_sim only others at least so similar come out; rank still counts from the best."""
     rows = _vectors(documents, key, vector, dims)
-    pairs = candidate_pairs(rows, documents.count(), dims, trees, min_sim, keep=k + 3)
-    one = rows.groupBy("key").agg(F.first("v").alias("v"))
-    near = (
-        pairs.join(one.withColumnRenamed("key", "a").withColumnRenamed("v", "va"), "a")
-        .join(one.withColumnRenamed("key", "b").withColumnRenamed("v", "vb"), "b")
-        .select("a", "b", "va", "vb")
-        .mapInArrow(_exact(dims), "a long, b long, sim double")
-    )
-    if min_sim is not None:
-        near = near.filter(F.col("sim") >= min_sim)
+    one = rows.groupBy("key").agg(F.first("v").alias("v"), F.min("id").alias("id"))
+    if min_sim is None:
+        one = cut(one)
+        both = exact_lists(one, one, one.count(), dims, k)
+    else:
+        pairs = cut(candidate_pairs(rows, documents.count(), dims, trees, min_sim))
+        near = (
+            pairs.filter("a < b").join(one.select(F.col("key").alias("a"), F.col("v").alias("va")), "a")
+            .join(one.select(F.col("key").alias("b"), F.col("v").alias("vb")), "b")
+            .select("a", "b", "va", "vb")
+            .mapInArrow(_exact(dims), "a long, b long, sim double")
+        )
+        both = near.select(F.col("a").alias("key"), F.col("b").alias("to"), "sim").unionByName(near.select(F.col("b").alias("key"), F.col("a").alias("to"), "sim"))
+        dense = pairs.filter("a = b").select(F.col("a").alias("key"))
+        n = dense.count()
+        if n:
+            one = cut(one)
+            both = both.unionByName(exact_lists(one.join(dense, "key", "left_semi"), one, n, dims, k)).distinct()
+        both = both.filter(F.col("sim") >= min_sim)
     # the k + 1 smallest ids of each class, salted first
     ids = rows.select("key", "id").distinct()
     order = Window.partitionBy("key", "salt").orderBy("id")
@@ -159,7 +245,6 @@ def nearest(documents: DataFrame, k: int = 5, dims: int = 64, min_sim: float | N
     few = few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("r") <= k + 1)
     smallest = few.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most k + 1 ids
-    both = near.select(F.col("a").alias("key"), F.col("b").alias("to"), "sim").unionByName(near.select(F.col("b").alias("key"), F.col("a").alias("to"), "sim"))
     # k classes nearer, or as near with smaller ids, leave no place for a further class
     ranked = both.join(smallest.withColumnRenamed("key", "to"), "to").withColumn(
         "r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("sim"), F.element_at("ids", 1)))

@@ -95,6 +95,22 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert knn.similar_pairs(df.limit(0), dims=16).count() == 0
 
 
+@pytest.mark.parametrize("min_sim", [None, 0.85])
+def test_neighbours_in_a_dense_cluster(spark, monkeypatch, min_sim):
+    monkeypatch.setattr(knn, "ROWS_A_BLOCK", 400)
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal((1, 32)) / 32**0.5
+    v = np.concatenate([centre + rng.standard_normal((900, 32)) * 0.06, rng.standard_normal((500, 32))]).astype(np.float32)
+    ids = np.array([f"d{k:04}" for k in range(len(v))])
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 6)
+    np.fill_diagonal(sim, -2)
+    want = {(ids[i], ids[j], r + 1) for i in range(len(v)) for r, j in enumerate(np.argsort(-sim[i], kind="stable")[:5]) if sim[i, j] >= (min_sim or -1)}
+    df = spark.createDataFrame([(str(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "id string, vector array<float>")
+    got = {(r["id"], r["other"], r["rank"]) for r in knn.nearest(df, 5, dims=32, min_sim=min_sim).collect()}
+    assert got == want if min_sim is None else len(got & want) >= 0.99 * len(want)
+
+
 # ------------------------------------------------------------------ p8
 WORDS = "anchor bottle candle dragon ember forest garden harbor island jungle kettle ladder meadow needle orchard pepper quarry ribbon saddle timber umbrella velvet window yellow zephyr".split()
 
