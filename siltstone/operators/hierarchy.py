@@ -12,7 +12,8 @@ one node of the forest and is expanded in the result. Where a node has several p
 forest and every other link is followed on top of it until no new pair appears.
 
 Defined cases: references compare trimmed and in lower case; links with an end that is no node, null and empty ones
-are dropped; repeated links count once; a node that is its own parent is a cycle of one; empty tables give no rows.
+are dropped; repeated links count once; a node that is its own parent is a cycle of one; a node without any link is a
+root of its own if `nodes` names it; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,11 @@ BLOCK = 64
 SIBLINGS = 20_000
 
 
+def node_keys(documents: DataFrame) -> DataFrame:
+    """Distinct (node) keys of the documents, linked or not."""
+    return documents.select(ref_key("id").alias("node")).filter("node is not null").distinct()
+
+
 def parent_links(documents: DataFrame, relations: DataFrame | None = None) -> DataFrame:
     """Distinct (node, parent) keys: parent_id, child_of (source to target) and parent_of (target to source)."""
     links = documents.select(ref_key("id").alias("node"), ref_key("parent_id").alias("parent"))
@@ -161,7 +167,8 @@ def range_pairs(sets: DataFrame) -> DataFrame:
 class Hierarchy:
     """Nested sets of a graph of (node, parent) links, with its cycles contracted and its further links set apart."""
 
-    def __init__(self, links: DataFrame):
+    def __init__(self, links: DataFrame, nodes: DataFrame | None = None):
+        """nodes: (node) keys that stand in the hierarchy even where no link names them."""
         links = cut(links.select("node", "parent").distinct())
         first = links.groupBy("node").agg(F.min("parent").alias("parent"))
         self.links, self.cycles = links, cycle_nodes(first)
@@ -183,6 +190,11 @@ class Hierarchy:
             tree_nodes = tree_nodes.unionByName(self.cycles.select(F.col("cycle").alias("node"), F.lit(None).cast("string").alias("parent")))
         renamed = self._extra_names(links)
         tree_nodes = tree_nodes.unionByName(renamed.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
+        if nodes is not None:
+            keys = nodes.select("node", F.lit(None).cast("string").alias("parent"))
+            if self._has_cycles:
+                keys = name(keys, "node")
+            tree_nodes = tree_nodes.unionByName(keys)
         self.sets = nested_sets(tree_nodes.groupBy("node").agg(F.min("parent").alias("parent")))
         self._extras = renamed.filter("node <> parent").distinct().join(
             first.select("node", "parent"), ["node", "parent"], "left_anti"
@@ -228,21 +240,24 @@ class Hierarchy:
         """One row a node: root, depth, path (root first, joined by '/'), descendants, on_cycle.
 
         Root, depth and path follow the smallest parent; for nodes below or on a cycle the cycle's smallest node stands
-        for the cycle. Descendants count every node that reaches this one over any link, a cycle's node itself included."""
+        for the cycle. Descendants count every node that reaches this one over any link, a cycle's node itself included;
+        on_cycle is true for a node that reaches itself over any links."""
         pairs = self.pairs()
-        count = pairs.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("descendants"))
+        count = pairs.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("descendants"), F.max(F.col("ancestor") == F.col("node")).alias("on_cycle"))
         trail = range_pairs(self.sets).groupBy("node").agg(
             F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("steps", "ancestor")), asc=False), lambda x: x["ancestor"]), "/").alias("above")
         )
         rows = self.sets.join(trail, "node", "left").select(
-            "node", "root", "depth", F.concat_ws("/", "above", "node").alias("path"), F.lit(False).alias("on_cycle")
+            "node", "root", "depth", F.concat_ws("/", "above", "node").alias("path")
         )
         if self._has_cycles:
             ring = self.cycles.withColumnRenamed("node", "m").withColumnRenamed("cycle", "node")
             rows = rows.join(ring, "node", "left").select(
-                F.coalesce("m", "node").alias("node"), "root", "depth", "path", F.col("m").isNotNull().alias("on_cycle")
+                F.coalesce("m", "node").alias("node"), "root", "depth", "path"
             )
-        return rows.join(count, "node", "left").withColumn("descendants", F.coalesce("descendants", F.lit(0)))
+        return rows.join(count, "node", "left").select(
+            "node", "root", "depth", "path", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"), F.coalesce("descendants", F.lit(0)).alias("descendants")
+        )
 
 
 def ancestor_pairs(documents: DataFrame, relations: DataFrame | None = None) -> DataFrame:

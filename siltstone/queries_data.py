@@ -34,7 +34,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _hierarchy(spark, d).nodes()
+    """Every document, those without a link too."""
+    s = table(spark, d, "store_documents")
+    return hierarchy.Hierarchy(hierarchy.parent_links(s, table(spark, d, "document_relations")), hierarchy.node_keys(s)).nodes()
 
 
 def p4_cycle_nodes(spark: SparkSession, d: str) -> DataFrame:

@@ -172,6 +172,18 @@ def test_hierarchy_nodes_and_documents(spark):
     assert hierarchy.ancestor_pairs(docs(spark, []), rels(spark, [])).count() == 0
 
 
+def test_hierarchy_nodes_without_links_and_other_parents(spark):
+    d = docs(spark, [("a", None, T1), ("b", "a", T1), ("c", "b", T1), (" Alone", "", T1), ("x", "y", T1), ("y", "x", T1), ("lost", "gone", T1), (None, None, T1)])
+    r = rels(spark, [("1", "b", "c", "child_of", T1)])
+    n = {x["node"]: x for x in hierarchy.Hierarchy(hierarchy.parent_links(d, r), hierarchy.node_keys(d)).nodes().collect()}
+    assert set(n) == {"a", "b", "c", "alone", "x", "y", "lost"}
+    for k in ("alone", "lost"):
+        assert tuple(n[k][c] for c in ("root", "depth", "path", "descendants", "on_cycle")) == (k, 0, k, 0, False)
+    assert {k for k, x in n.items() if x["on_cycle"]} == {"b", "c", "x", "y"}
+    alone = hierarchy.Hierarchy(hierarchy.parent_links(docs(spark, [("q", None, T1)])), hierarchy.node_keys(docs(spark, [("q", None, T1)]))).nodes().collect()
+    assert [x["path"] for x in alone] == ["q"]
+
+
 # ------------------------------------------------------------------ p7
 def brute_tags(text):
     """Hand-written scanner."""
