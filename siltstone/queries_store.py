@@ -400,6 +400,12 @@ def graph_cycles(spark, d):
     return spark.range(1).select(F.lit(graph.has_cycles(graph.of_types(relations(spark, d), ["child_of"]))).alias("has_cycles"))
 
 
+@query()
+def graph_has_cycles(spark, d):
+    """Node and edge counts and cycle detection over all relations; no SQL, whose reach over the whole graph is too slow."""
+    return graph.statistics(relations(spark, d))
+
+
 @query("SELECT (SELECT count(*) FROM (SELECT source_id FROM document_relations UNION SELECT target_id FROM document_relations)) AS node_count, count(*) AS edge_count FROM document_relations")
 def graph_stats(spark, d):
     return graph.statistics(relations(spark, d)).select("node_count", "edge_count")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone import queries_store
 from siltstone.functions import text as T
 from siltstone.functions import vector as V
 from siltstone.operators import chunking, filters, graph, search
@@ -71,6 +72,16 @@ def test_graph_cases(spark):
     assert graph.shortest_path(chain, "C", "A").count() == 0 and graph.shortest_path(chain, "A", "A").count() == 1
 
 
+@pytest.mark.parametrize(("last", "cyclic"), [("e", False), ("a", True)])
+def test_cycles_over_all_types(spark, tmp_path, last, cyclic):
+    rows = [("a", "b", "child_of"), ("b", "c", "references"), ("c", last, "similar_to")]
+    edges(spark, rows).write.parquet(str(tmp_path / "document_relations.parquet"))
+    up = {s: t for s, t, _ in rows}
+    walk = lambda n, left: left > 0 and n in up and (up[n] == "a" or walk(up[n], left - 1))
+    got = queries_store.QUERIES["graph_has_cycles"](spark, str(tmp_path)).first()
+    assert walk("a", 3) == cyclic and got.asDict() == {"node_count": 3 if cyclic else 4, "edge_count": 3, "has_cycles": cyclic}
+
+
 @pytest.mark.parametrize(
     ("q", "want"),
     [("fox", {1, 2}), ("quick fox", {1}), ("fox NOT quick", {2}), ("quick OR lazy", {1, 3}), ('"brown fox"', {1}), ("la*", {3}), ("fox AND (quick OR lazy)", {1}), ("NEAR(quick fox, 1)", {1}), ("^the", {1, 3}), ("CAFÉ", {3})],
