@@ -6,9 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions import vector as V
 from siltstone.operators.search import vector_topk
 
 
@@ -68,13 +69,34 @@ class VectorIndex:
     def __len__(self) -> int:
         return self.cells.count()
 
-    def search(self, query: list[float], k: int, probes: int = 8) -> DataFrame:
+    def _probes(self, probes: int | None) -> int:
+        """Three quarters of the cells where no number is given: vectors without clusters lie in many cells' neighbourhoods."""
+        return -(-3 * len(self.centroids) // 4) if probes is None else probes
+
+    def search(self, query: list[float], k: int, probes: int | None = None) -> DataFrame:
         """(id, sim) best first, from the `probes` nearest cells."""
         if len(query) != self.dims:
             raise ValueError(f"query has {len(query)} numbers, the index {self.dims}")
-        near = np.argsort(-(self.centroids @ _units(np.array([query], np.float64))[0]), kind="stable")[:probes]
+        near = np.argsort(-(self.centroids @ _units(np.array([query], np.float64))[0]), kind="stable")[: self._probes(probes)]
         return vector_topk(self.cells.filter(F.col("cell").isin([int(c) for c in near])), query, k)
 
+    def search_batch(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+        """(query_id, id, sim, rank) for queries(query_id, q), each from its `probes` nearest cells."""
+        centre, most = self.centroids, self._probes(probes)
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    v = _units(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64))
+                    near = np.argsort(-(v @ centre.T), axis=1, kind="stable")[:, :most].astype(np.int32)
+                    row = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(near.ravel())], names=["query_id", "q", "cell"])
+
+        probed = queries.select(F.col("query_id").cast("string"), "q").filter(F.size("q") == self.dims).mapInArrow(run, "query_id string, q array<float>, cell int")
+        scored = self.cells.join(probed, "cell").select("query_id", "id", V.cosine(F.col("vector"), F.col("q")).alias("sim")).filter(~F.isnan("sim"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
+        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
 
 def choose_search(docs: DataFrame, enabled: bool, threshold: int = 1000) -> str:
     """'index' if enabled and at least `threshold` rows are embedded, else 'exact'."""

@@ -1,10 +1,11 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone import queries_store
 from siltstone.functions import text as T
 from siltstone.functions import vector as V
-from siltstone.operators import chunking, filters, graph, search
+from siltstone.operators import ann, chunking, filters, graph, search
 from siltstone.plans import fts_query
 from siltstone.schema import Config, StoreError
 from siltstone.sources.embedder import HashEmbedder
@@ -91,6 +92,16 @@ def test_query_language(spark, q, want):
     assert {r["id"] for r in search.fts_match(df, q).collect()} == want
 
 
+def test_index_recall_by_default(spark):
+    x = np.random.default_rng(4).standard_normal((600, 32)).astype(np.float32)
+    df = spark.createDataFrame([(f"{k}", v.tolist()) for k, v in enumerate(x)], "id string, vector array<float>")
+    index, q = ann.VectorIndex.build(df), df.filter("int(id) % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
+    pairs = lambda t: {(r["query_id"], r["id"]) for r in t.collect()}
+    want, got = pairs(search.vector_batch(df, q, 10)), pairs(index.search_batch(q, 10))
+    assert len(want) == len(got) == 300 and len(got & want) >= 270
+    assert {r["id"] for r in index.search(x[0].tolist(), 10).collect()} == {i for k, i in got if k == "0"}
+
+
 def test_query_errors():
     for q in ("what's new?", "", "a AND", '"open', "(a"):
         with pytest.raises(fts_query.QueryError):
