@@ -39,21 +39,28 @@ def induced(relations: DataFrame, ids: DataFrame) -> DataFrame:
     return relations.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(ids.select(F.col("id").alias("target_id")), "target_id", "left_semi")
 
 
-def shortest_path(relations: DataFrame, start: str, goal: str, max_steps: int = 64, weight: Column | None = None) -> DataFrame:
+def shortest_path(relations: DataFrame, start: str, goal: str, max_steps: int | None = None, weight: Column | None = None) -> DataFrame:
     """(hop, id, relation_id, distance) from start at hop 0; no row if there is no path.
 
     Among equal predecessors the smallest id counts, among parallel edges the earliest (created_at, id). With a positive
-    `weight` the cheapest path by rounds of relaxation, else the one with fewest hops."""
+    `weight` the cheapest path by rounds of relaxation, else the one with fewest hops. Rounds go on until the goal is
+    settled or nothing new is reached; a RuntimeError says that `max_steps` rounds weren't enough."""
     w = F.lit(1.0) if weight is None else weight.cast("double")
     pick = Window.partitionBy("source_id", "target_id").orderBy("w", "created_at", "id")
-    edges = relations.select("source_id", "target_id", "id", "created_at", w.alias("w")).withColumn("k", F.row_number().over(pick)).filter("k = 1").drop("k")
+    edges = cut(relations.select("source_id", "target_id", "id", "created_at", w.alias("w")).withColumn("k", F.row_number().over(pick)).filter("k = 1").drop("k"))
     if not relations.filter((F.col("source_id") == start) | (F.col("target_id") == start)).limit(1).count():
         return relations.sparkSession.createDataFrame([], "hop int, id string, relation_id string, distance double")
+    if weight is not None and edges.filter("w is null or isnan(w) or w < 0").limit(1).count():
+        raise ValueError("a weight is null, not a number or negative")
     best = cut(relations.sparkSession.createDataFrame([(start, 0.0, None, None)], "id string, dist double, prev string, edge string"))
     frontier = best
-    for _ in range(max_steps):
+    steps, parts = 0, int(relations.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else every round adds partitions
+    while True:
         if weight is None and best.filter(F.col("id") == goal).limit(1).count():
             break
+        if steps == max_steps:
+            raise RuntimeError(f"no path settled within {max_steps} steps")
+        steps += 1
         order = Window.partitionBy("node").orderBy("d", "source_id")
         reach = (
             edges.join(frontier.select(F.col("id").alias("source_id"), "dist"), "source_id")
@@ -64,7 +71,7 @@ def shortest_path(relations: DataFrame, start: str, goal: str, max_steps: int =
         frontier = cut(reach.join(best.select(F.col("id").alias("node"), F.col("dist").alias("old")), "node", "left").filter("old is null or d < old").select(F.col("node").alias("id"), F.col("d").alias("dist"), F.col("source_id").alias("prev"), F.col("e").alias("edge")))
         if not frontier.limit(1).count():
             break
-        best = cut(best.join(frontier.select("id"), "id", "left_anti").unionByName(frontier))
+        best = cut(best.join(frontier.select("id"), "id", "left_anti").unionByName(frontier).coalesce(parts))
     trail, at = [], goal
     while True:  # one row a hop
         row = best.filter(F.col("id") == at).limit(1).collect()

@@ -392,6 +392,14 @@ def graph_shortest_path(spark, d):
     return graph.shortest_path(r, start, goal).agg(F.max("distance").alias("distance"), F.count("*").alias("nodes"))
 
 
+@query()
+def graph_shortest_path_rows(spark, d):
+    """The path of graph_shortest_path itself, a row a hop."""
+    r, start = relations(spark, d), start_node(spark, d)
+    goal = graph.bfs(r, start, 3).orderBy(F.desc("depth"), "id").first()["id"]
+    return graph.shortest_path(r, start, goal)
+
+
 @query(
     """WITH RECURSIVE e AS (SELECT DISTINCT source_id, target_id FROM document_relations WHERE relation_type IN ('child_of')), r AS (SELECT source_id AS s, target_id AS t FROM e UNION SELECT r.s, e.target_id FROM r JOIN e ON r.t = e.source_id)
 SELECT count(*) > 0 AS has_cycles FROM r WHERE s = t"""

@@ -83,6 +83,15 @@ def test_cycles_over_all_types(spark, tmp_path, last, cyclic):
     assert walk("a", 3) == cyclic and got.asDict() == {"node_count": 3 if cyclic else 4, "edge_count": 3, "has_cycles": cyclic}
 
 
+def test_path_bounds(spark):
+    chain = edges(spark, [("a", "b", "r"), ("b", "c", "r"), ("c", "d", "r")])
+    with pytest.raises(RuntimeError):
+        graph.shortest_path(chain, "a", "d", max_steps=2)
+    assert [r["id"] for r in graph.shortest_path(chain, "a", "d", max_steps=3).orderBy("hop").collect()] == ["a", "b", "c", "d"]
+    with pytest.raises(ValueError):
+        graph.shortest_path(chain, "a", "d", weight=F.lit(-1.0))
+
+
 @pytest.mark.parametrize(
     ("q", "want"),
     [("fox", {1, 2}), ("quick fox", {1}), ("fox NOT quick", {2}), ("quick OR lazy", {1, 3}), ('"brown fox"', {1}), ("la*", {3}), ("fox AND (quick OR lazy)", {1}), ("NEAR(quick fox, 1)", {1}), ("^the", {1, 3}), ("CAFÉ", {3})],
