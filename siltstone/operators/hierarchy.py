@@ -1,15 +1,22 @@
 """Parent-child links to full hierarchies.
 
-Subtree sizes go up and preorder ranges come down, both by doubling: after round k a node's jump reaches 2^k
-steps up, its size counts the descendants nearer than 2^k, and its preorder number sums the offsets of 2^k
-ancestors. So a forest of depth d takes log2(d) rounds of one join each, not d. Offsets among
-siblings are prefix sums of subtree sizes, in two levels, so a parent of very many children isn't one task. A node's
-range (pre, pre + size - 1) then holds its descendants: ancestors and descendants come from a join of ranges, cut
-into blocks of `BLOCK` numbers so that a huge tree spreads over tasks.
-
-Nodes whose jumps never end lead to a cycle; the image of their jumps shrinks to the cycles' nodes. Each cycle becomes
-one node of the forest and is expanded in the result. Where a node has several parents, the smallest one makes the
-forest and every other link is followed on top of it until no new pair appears.
+Every node hangs below the smallest of its parents; these first links make a forest, and what is left are further links. Subtree
+sizes go up the forest and preorder ranges come down it, both by doubling: after round k a node's jump reaches 2^k steps up,
+its size counts the descendants nearer than 2^k, and its preorder number sums the offsets of 2^k ancestors. So a
+forest of depth d takes log2(d) rounds of one join each, not d. Offsets among siblings are prefix sums of subtree sizes, in
+two levels, so a parent of very many children isn't one task. A node's range (pre, pre + size - 1) then holds
+its descendants: ancestors and descendants come from a join of ranges, cut into blocks of `BLOCK` numbers so that a huge tree
+spreads over tasks.
+
+Nodes whose jumps never end are what the upward pass can't process: they lie on a cycle of first links or below one. Each jump
+carries the smallest node it has passed; once a round changes none of these, the one node of each cycle that is smallest on
+its own way is known. Its first link is set apart as a further link, which cuts the cycle, and only these nodes
+climb again. Further links are then followed on top of the ranges: the nodes with a further link form a small graph, closed
+by squaring, and nested-set ranges give what is above and below it.
+
+Each round writes one table and counts what it left meanwhile (an observation, no second pass). Rows whose jump has ended don't
+enter a round's join by jump, so roots gather no null keys; the many nodes whose jump is one root are the large side of
+an inner join with one row a key, which adaptive execution splits (`spark.sql.adaptive.skewJoin`).
 
 Defined cases: references compare trimmed and in lower case; links with an end that is no node, null and empty ones
 are dropped; repeated links count once; a node that is its own parent is a cycle of one; a node without any link is a
@@ -21,15 +28,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.runtime import cut, ref_key
+from siltstone.runtime import cut, cut_counting, discard, ref_key
 
 BLOCK = 64
 SIBLINGS = 20_000
 
 
 def node_keys(documents: DataFrame) -> DataFrame:
-    """Distinct (node) keys of the documents, linked or not."""
-    return documents.select(ref_key("id").alias("node")).filter("node is not null").distinct()
+    """Distinct (node, name) of the documents, linked or not: the key and the id it is written as."""
+    return documents.select(ref_key("id").alias("node"), F.col("id").alias("name")).filter("node is not null").groupBy("node").agg(F.min("name").alias("name"))
 
 
 def parent_links(documents: DataFrame, relations: DataFrame | None = None) -> DataFrame:
@@ -47,229 +54,171 @@ def parent_links(documents: DataFrame, relations: DataFrame | None = None) -> Da
     nodes = documents.select(ref_key("id").alias("k")).filter("k is not null").distinct()
     return (
         links.filter("node is not null and parent is not null")
+        .distinct()
         .join(nodes, F.col("node") == F.col("k"), "left_semi")
         .join(nodes.withColumnRenamed("k", "k2"), F.col("parent") == F.col("k2"), "left_semi")
-        .distinct()
     )
 
 
-def cycle_nodes(first: DataFrame) -> DataFrame:
-    """(node, cycle) of a table (node, parent) with one parent each: nodes on cycles with their cycle's smallest node."""
-    jumps = first.select("node", F.col("parent").alias("jump"))
-    left = None
-    while True:  # only nodes whose jump hasn't ended stay; a round that ends none leaves those that never end
-        nxt = jumps.alias("a").join(jumps.alias("b"), F.col("a.jump") == F.col("b.node")).select("a.node", "b.jump")
-        jumps = cut(nxt)
-        n = jumps.count()
-        if n == 0 or n == left:
-            break
-        left = n
-    if n == 0:
-        return jumps.select("node", F.col("jump").alias("cycle"))
-    image = None
-    while True:
-        on = jumps.select(F.col("jump").alias("node")).distinct().count()
-        if on == image:
-            break
-        image = on
-        jumps = cut(jumps.alias("a").join(jumps.alias("b"), F.col("a.jump") == F.col("b.node")).select("a.node", "b.jump"))
-    ring = cut(
-        first.join(jumps.select(F.col("jump").alias("node")).distinct(), "node", "left_semi").select(
-            "node", F.col("parent").alias("jump"), F.least("node", "parent").alias("cycle")
-        )
-    )
-    while True:  # smallest node over 2^k steps, until a further doubling changes none
-        a, b = ring.alias("a"), ring.alias("b")
-        ring2 = cut(
-            a.join(b, F.col("a.jump") == F.col("b.node")).select(
-                "a.node", "b.jump", F.least("a.cycle", "b.cycle").alias("cycle"), (F.col("b.cycle") < F.col("a.cycle")).alias("new")
-            )
-        )
-        changed = ring2.filter("new").limit(1).count()
-        ring = ring2.drop("new")
-        if not changed:
-            return ring.select("node", "cycle")
-
+def climb(tree: DataFrame) -> tuple[DataFrame, int, int]:
+    """Sizes upward over (node, parent, ...) with one row a node and a null parent at roots.
 
-def nested_sets(tree: DataFrame) -> DataFrame:
-    """(node, parent, root, depth, pre, size) of an acyclic table (node, parent), one row a node, parent null at roots.
-
-    pre counts from 0 within the root's tree; the descendants of a node are those with pre in (pre, pre + size - 1]."""
-    s = tree.select("node", "parent", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("size"))
-    while True:  # sizes upward
-        add = s.filter("jump is not null").groupBy("jump").agg(F.sum("size").alias("add")).withColumnRenamed("jump", "node")
-        far = s.select(F.col("node").alias("jump"), F.col("jump").alias("next"))
-        s = cut(
-            s.join(far, "jump", "left")
-            .join(add, "node", "left")
-            .select("node", "parent", F.col("next").alias("jump"), (F.col("size") + F.coalesce("add", F.lit(0))).alias("size"))
-        )
-        if not s.filter("jump is not null").limit(1).count():
-            break
-    # two-level prefix sums among siblings: over slices of a parent's children, then within a slice
+    Gives (node, parent, ..., jump, low, depth, size), the number of rounds and the number of rows whose jump never ends. For
+    the rest depth and size are right; of those that never end, the smallest of each cycle has low = node."""
+    own = tree.columns
+    s = tree.withColumns({"jump": F.col("parent"), "low": F.col("parent"), "depth": F.col("parent").isNotNull().cast("int"), "size": F.lit(1).cast("long")})
+    rounds, left, last = 0, None, None
+    while True:
+        act = s.filter("jump is not null")
+        add = act.groupBy("jump").agg(F.sum("size").alias("add")).withColumnRenamed("jump", "node")
+        far = s.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("low").alias("low2"), F.col("depth").alias("more"))
+        moved = act.join(far, "jump").select(
+            *own, F.col("next").alias("jump"), F.least("low", "low2").alias("low"), (F.col("depth") + F.col("more")).alias("depth"), "size",
+            (F.col("next").isNotNull() & (F.col("low2") < F.col("low"))).alias("lower"),
+        )
+        still = s.filter("jump is null").withColumn("lower", F.lit(False))
+        s = moved.unionByName(still).join(add, "node", "left").withColumn("size", F.col("size") + F.coalesce("add", F.lit(0))).drop("add")
+        table, n = cut_counting(s, active=F.count_if(F.col("jump").isNotNull()), lower=F.count_if("lower"))
+        if last is not None:
+            discard(last)
+        s, last, rounds = table.drop("lower"), table, rounds + 1
+        if not n["active"] or (n["active"] == left and not n["lower"]):
+            return s, rounds, n["active"]
+        left = n["active"]
+
+
+def _offsets(s: DataFrame) -> DataFrame:
+    """Adds `pre`, a child's place below its parent: 1 and the sizes of its smaller siblings; 0 at roots."""
     kids = s.filter("parent is not null")
-    slices = kids.groupBy("parent").agg(F.ceil(F.count("*") / SIBLINGS).cast("int").alias("slices"))
-    wide = slices.filter("slices > 1")
-    kids = kids.join(wide, "parent", "left").withColumn(
-        "slice", F.coalesce(F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"), F.lit(0))
-    )
+    slices = kids.groupBy("parent").agg(F.ceil(F.count("*") / SIBLINGS).cast("int").alias("slices")).filter("slices > 1")
+    kids = kids.join(slices, "parent", "left").withColumn("slice", F.coalesce(F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"), F.lit(0)))
     sums = kids.filter("slices is not null").groupBy("parent", "slice").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("parent").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("parent", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("parent", "slice").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        kids.withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0)) + 1)
-        .join(sums, ["parent", "slice"], "left")
-        .select("node", "parent", "size", (F.col("offset") + F.coalesce("base", F.lit(0))).alias("pre"))
-    )
-    # ranges downward; `top` is the root once the jump has ended, `depth` the steps taken so far
-    p = offsets.select("node", "parent", "size", F.col("parent").alias("jump"), F.lit(None).cast("string").alias("top"), "pre", F.lit(1).alias("depth"))
-    p = cut(
-        p.unionByName(
-            s.filter("parent is null").select(
-                "node", "parent", "size", F.col("parent").alias("jump"), F.col("node").alias("top"), F.lit(0).cast("long").alias("pre"), F.lit(0).alias("depth")
-            )
+    placed = kids.withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0)) + 1).join(sums, ["parent", "slice"], "left")
+    placed = placed.select(*s.columns, (F.col("offset") + F.coalesce("base", F.lit(0))).alias("pre"))
+    return placed.unionByName(s.filter("parent is null").withColumn("pre", F.lit(0).cast("long")))
+
+
+def nested_sets(tree: DataFrame) -> DataFrame:
+    """(node, parent, ..., root, depth, pre, size) of a table (node, parent, ...), one row a node, parent null at roots.
+
+    pre counts from 0 within the root's tree; the descendants of a node are those with pre in (pre, pre + size - 1]. On a cycle
+    the smallest node becomes a root: its parent is null here."""
+    s, rounds, endless = climb(tree)
+    if endless:
+        caught = s.filter("jump is not null").withColumn("parent", F.when(F.col("low") != F.col("node"), F.col("parent")))
+        again, more, _ = climb(caught.select(*tree.columns))
+        s, rounds = s.filter("jump is null").unionByName(again), max(rounds, more)
+    keep = [*tree.columns, "depth", "size"]
+    top = F.when(F.col("parent").isNull(), F.col("node"))
+    p = cut(_offsets(s.select(*keep)).withColumns({"jump": F.col("parent"), "root": top}))
+    for _ in range(rounds):  # as many as the way up took
+        far = p.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("root").alias("top"), F.col("pre").alias("more"))
+        moved = p.filter("jump is not null").join(far, "jump").select(
+            *keep, (F.col("pre") + F.col("more")).alias("pre"), F.col("next").alias("jump"), F.col("top").alias("root")
         )
-    )
-    while p.filter("jump is not null").limit(1).count():
-        far = p.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("top").alias("up"), F.col("pre").alias("more"), F.col("depth").alias("steps"))
-        p = cut(
-            p.join(far, "jump", "left").select(
-                "node", "parent", "size", F.col("next").alias("jump"), F.coalesce("top", "up").alias("top"),
-                (F.col("pre") + F.coalesce("more", F.lit(0))).alias("pre"), (F.col("depth") + F.coalesce("steps", F.lit(0))).alias("depth"),
-            )
-        )
-    return p.select("node", "parent", F.col("top").alias("root"), "depth", "pre", "size")
+        last, p = p, cut(moved.unionByName(p.filter("jump is null")))
+        discard(last)
+    return p.select(*keep, "pre", "root")
 
 
 def _block(c: Column) -> Column:
     return F.shiftright(c, BLOCK.bit_length() - 1)
 
 
-def range_pairs(sets: DataFrame) -> DataFrame:
-    """(ancestor, node, steps) for each proper ancestor, from nested sets."""
-    above = sets.filter("size > 1").select(
-        "root",
-        F.col("node").alias("ancestor"),
-        F.col("pre").alias("lo"),
-        (F.col("pre") + F.col("size") - 1).alias("hi"),
-        F.col("depth").alias("at"),
-        F.explode(F.sequence(_block(F.col("pre") + 1), _block(F.col("pre") + F.col("size") - 1))).alias("block"),
-    )
-    below = sets.select("root", "node", "pre", "depth", _block(F.col("pre")).alias("block"))
-    return (
-        below.join(above, ["root", "block"])
-        .filter("pre > lo and pre <= hi")
-        .select("ancestor", "node", (F.col("depth") - F.col("at")).alias("steps"))
-    )
+def range_pairs(above: DataFrame, below: DataFrame) -> DataFrame:
+    """(ancestor, ancestor_name, node, name, steps) for the nodes of `below` and their proper ancestors in `above`, both nested sets."""
+    hi = F.col("pre") + F.col("size") - 1
+    above = above.filter("size > 1").select(
+        "root", F.col("node").alias("ancestor"), F.col("name").alias("ancestor_name"), F.col("pre").alias("lo"), hi.alias("hi"), F.col("depth").alias("at"),
+        F.explode(F.sequence(_block(F.col("pre") + 1), _block(hi))).alias("block"),
+    )
+    below = below.select("root", "node", "name", "pre", "depth", _block(F.col("pre")).alias("block"))
+    return below.join(above, ["root", "block"]).filter("pre > lo and pre <= hi").select("ancestor", "ancestor_name", "node", "name", (F.col("depth") - F.col("at")).alias("steps"))
 
 
 class Hierarchy:
-    """Nested sets of a graph of (node, parent) links, with its cycles contracted and its further links set apart."""
+    """Nested sets of a graph of (node, parent) links, with its further links set apart."""
 
-    def __init__(self, links: DataFrame, nodes: DataFrame | None = None):
-        """nodes: (node) keys that stand in the hierarchy even where no link names them."""
+    def __init__(self, links: DataFrame, nodes: DataFrame | None = None, linked_only: bool = False):
+        """nodes: (node[, name]) keys that stand in the hierarchy even where no link names them, unless linked_only."""
         links = cut(links.select("node", "parent").distinct())
-        first = links.groupBy("node").agg(F.min("parent").alias("parent"))
-        self.links, self.cycles = links, cycle_nodes(first)
-        self._loops = links.filter("node = parent").select(F.col("parent").alias("ancestor"), "node")
-        self._has_cycles = self.cycles.limit(1).count() > 0
-        if self._has_cycles:
-            c = F.broadcast(self.cycles) if self.cycles.count() <= 10_000 else self.cycles  # size checked
-            name = lambda df, col: (
-                df.join(c.select(F.col("node").alias(col), F.col("cycle").alias("_c")), col, "left")
-                .withColumn(col, F.coalesce("_c", col))
-                .drop("_c")
-            )
-            first = name(name(first, "node"), "parent").filter("node <> parent").distinct()
-            self._extra_names = lambda df: name(name(df, "node"), "parent")
-        else:
-            self._extra_names = lambda df: df
-        tree_nodes = first.select("node", "parent").unionByName(first.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
-        if self._has_cycles:
-            tree_nodes = tree_nodes.unionByName(self.cycles.select(F.col("cycle").alias("node"), F.lit(None).cast("string").alias("parent")))
-        renamed = self._extra_names(links)
-        tree_nodes = tree_nodes.unionByName(renamed.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
-        if nodes is not None:
-            keys = nodes.select("node", F.lit(None).cast("string").alias("parent"))
-            if self._has_cycles:
-                keys = name(keys, "node")
-            tree_nodes = tree_nodes.unionByName(keys)
-        self.sets = nested_sets(tree_nodes.groupBy("node").agg(F.min("parent").alias("parent")))
-        self._extras = renamed.filter("node <> parent").distinct().join(
-            first.select("node", "parent"), ["node", "parent"], "left_anti"
+        none, yes = F.lit(None).cast("string"), F.lit(True)
+        first = F.when(F.col("parent") != F.col("node"), F.col("parent"))
+        rows = links.select("node", first.alias("parent"), none.alias("name"), yes.alias("linked")).unionByName(
+            links.select(F.col("parent").alias("node"), none.alias("parent"), none.alias("name"), yes.alias("linked"))
         )
-
-    def _contracted_pairs(self) -> DataFrame:
-        """Distinct (ancestor, node) over contracted nodes, further links included."""
-        tree = range_pairs(self.sets).select("ancestor", "node")
-        extras = cut(self._extras)
-        if not extras.limit(1).count():
-            return tree
-        selves = self.sets.select(F.col("node").alias("ancestor"), "node")
-        # every step below joins on the few ends of further links first
-        up = tree.join(extras.select(F.col("parent").alias("node")).distinct(), "node", "left_semi").unionByName(
-            selves.join(extras.select(F.col("parent").alias("node")).distinct(), "node", "left_semi")
+        if nodes is not None:
+            name = F.col("name") if "name" in nodes.columns else F.col("node")
+            rows = rows.unionByName(nodes.select("node", none.alias("parent"), name.alias("name"), F.lit(not linked_only).alias("linked")))
+        tree = rows.groupBy("node").agg(F.min("parent").alias("parent"), F.min("name").alias("name"), F.max("linked").alias("linked"))
+        tree = tree.filter("linked").select("node", "parent", F.coalesce("name", "node").alias("name"))
+        self.sets = nested_sets(cut(tree))
+        self.extras, n = cut_counting(
+            links.join(self.sets.select("node", "parent"), ["node", "parent"], "left_anti").select(F.col("node").alias("foot"), F.col("parent").alias("over")),
+            n=F.count(F.lit(1)),
         )
-        step = cut(extras.join(up.withColumnRenamed("node", "parent"), "parent").select(F.col("node").alias("foot"), "ancestor").distinct())
-        reach = fresh = step  # (foot of a further link, ancestor reached over it)
-        while True:
-            more = fresh.join(step.select(F.col("foot").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor")
-            fresh = cut(more.select("foot", F.col("next").alias("ancestor")).distinct().join(reach, ["foot", "ancestor"], "left_anti"))
-            if not fresh.limit(1).count():
-                break
-            reach = cut(reach.unionByName(fresh))
-        feet = reach.select("foot").distinct()
-        down = tree.withColumnRenamed("ancestor", "foot").join(feet, "foot", "left_semi").unionByName(
-            selves.withColumnRenamed("ancestor", "foot").join(feet, "foot", "left_semi")
+        self._any_extras = n["n"] > 0
+
+    def _extra_pairs(self) -> DataFrame:
+        """Distinct (ancestor, ancestor_name, node, name) that only further links bring about, a cycle's nodes with themselves among them."""
+        rows = lambda keys: self.sets.join(keys, "node", "left_semi")
+        over = rows(self.extras.select(F.col("over").alias("node")))
+        up = range_pairs(self.sets, over).select("ancestor", F.col("node").alias("over")).unionByName(over.select(F.col("node").alias("ancestor"), F.col("node").alias("over")))
+        step = cut(self.extras.join(up, "over").select("foot", "ancestor").distinct())
+        feet = step.select("foot").distinct()
+        hops, n = cut_counting(step.join(feet.withColumnRenamed("foot", "ancestor"), "ancestor", "left_semi").select("foot", F.col("ancestor").alias("next")), n=F.count(F.lit(1)))
+        count = 0
+        while n["n"] != count:  # squaring closes the graph of the feet
+            count = n["n"]
+            far = hops.select(F.col("foot").alias("next"), F.col("next").alias("last"))
+            hops, n = cut_counting(hops.unionByName(hops.join(far, "next").select("foot", F.col("last").alias("next"))).distinct(), n=F.count(F.lit(1)))
+        reach = step
+        if count:
+            reach = step.unionByName(hops.join(step.select(F.col("foot").alias("next"), "ancestor"), "next").select("foot", "ancestor")).distinct()
+        reach = reach.join(
+            self.sets.select(F.col("node").alias("ancestor"), F.col("name").alias("ancestor_name"), F.col("root").alias("aroot"), F.col("pre").alias("lo"), (F.col("pre") + F.col("size") - 1).alias("hi")),
+            "ancestor",
         )
-        return tree.unionByName(down.join(reach, "foot").select("ancestor", "node")).distinct()
+        own = rows(feet.withColumnRenamed("foot", "node"))
+        down = range_pairs(own, self.sets).select(F.col("ancestor").alias("foot"), "node").unionByName(own.select(F.col("node").alias("foot"), "node"))
+        down = down.join(self.sets.select("node", "name", "root", "pre"), "node")
+        new = ~((F.col("aroot") == F.col("root")) & (F.col("pre") > F.col("lo")) & (F.col("pre") <= F.col("hi")))  # the rest stand in the forest
+        return down.join(reach, "foot").filter(new).select("ancestor", "ancestor_name", "node", "name").distinct()
+
+    def named_pairs(self) -> DataFrame:
+        """Distinct (ancestor, ancestor_name, node, name): the node reaches the ancestor by one or more steps; nodes on a cycle reach themselves."""
+        tree = range_pairs(self.sets, self.sets).drop("steps")
+        return tree.unionByName(self._extra_pairs()) if self._any_extras else tree
 
     def pairs(self) -> DataFrame:
-        """Distinct (ancestor, node): the node reaches the ancestor by one or more steps; nodes on a cycle reach themselves."""
-        out = self._contracted_pairs()
-        if not self._has_cycles:  # then a loop is a further link of its node
-            return out.unionByName(self._loops)
-        members = self.cycles.select(F.col("cycle").alias("k"), F.col("node").alias("m"))
-        for side in ("ancestor", "node"):
-            out = out.join(members, out[side] == members["k"], "left").withColumn(side, F.coalesce("m", side)).drop("k", "m")
-        ring = self.cycles.select(F.col("node").alias("ancestor"), "cycle").join(self.cycles, "cycle").select("ancestor", "node")
-        return out.unionByName(ring).unionByName(self._loops).distinct()
+        return self.named_pairs().select("ancestor", "node")
+
+    def cycle_members(self) -> DataFrame:
+        """(node) on any cycle."""
+        found = self._extra_pairs() if self._any_extras else self.named_pairs().limit(0)
+        return found.filter("ancestor = node").select("node")
 
     def nodes(self) -> DataFrame:
-        """One row a node: root, depth, path (root first, joined by '/'), descendants, on_cycle.
+        """One row a node: name, root, depth, path (root first, joined by '/'), descendants, on_cycle.
 
-        Root, depth and path follow the smallest parent; for nodes below or on a cycle the cycle's smallest node stands
-        for the cycle. Descendants count every node that reaches this one over any link, a cycle's node itself included;
+        Root, depth and path follow the smallest parent other than the node itself; a cycle of such links begins at its smallest
+        node. Descendants count every node that reaches this one over any link, a cycle's node itself included;
         on_cycle is true for a node that reaches itself over any links."""
-        pairs = self.pairs()
-        count = pairs.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("descendants"), F.max(F.col("ancestor") == F.col("node")).alias("on_cycle"))
-        trail = range_pairs(self.sets).groupBy("node").agg(
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("steps", "ancestor")), asc=False), lambda x: x["ancestor"]), "/").alias("above")
-        )
-        rows = self.sets.join(trail, "node", "left").select(
-            "node", "root", "depth", F.concat_ws("/", "above", "node").alias("path")
-        )
-        if self._has_cycles:
-            ring = self.cycles.withColumnRenamed("node", "m").withColumnRenamed("cycle", "node")
-            rows = rows.join(ring, "node", "left").select(
-                F.coalesce("m", "node").alias("node"), "root", "depth", "path"
-            )
-        return rows.join(count, "node", "left").select(
-            "node", "root", "depth", "path", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"), F.coalesce("descendants", F.lit(0)).alias("descendants")
+        trail = range_pairs(self.sets, self.sets).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("steps", "ancestor")), asc=False).alias("above"))
+        above = F.array_join(F.transform("above", lambda x: x["ancestor"]), "/")
+        rows = self.sets.join(trail, "node", "left").select("node", "name", "root", "depth", F.concat_ws("/", above, "node").alias("path"), (F.col("size") - 1).alias("below"))
+        if not self._any_extras:
+            return rows.select("node", "name", "root", "depth", "path", F.lit(False).alias("on_cycle"), F.col("below").alias("descendants"))
+        more = self._extra_pairs().groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("more"), F.max(F.col("ancestor") == F.col("node")).alias("on_cycle"))
+        return rows.join(more, "node", "left").select(
+            "node", "name", "root", "depth", "path", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"), (F.col("below") + F.coalesce("more", F.lit(0))).alias("descendants")
         )
 
 
 def ancestor_pairs(documents: DataFrame, relations: DataFrame | None = None) -> DataFrame:
     """(ancestor_id, node_id) under the documents' own ids."""
-    names = documents.select(ref_key("id").alias("k"), "id").filter("k is not null")
-    plain = names.filter(F.col("k") != F.col("id")).limit(1).count() == 0
-    pairs = Hierarchy(parent_links(documents, relations)).pairs()
-    if plain:
-        return pairs.select(F.col("ancestor").alias("ancestor_id"), F.col("node").alias("node_id"))
-    one = names.groupBy("k").agg(F.min("id").alias("id"))
-    return (
-        pairs.join(one.select(F.col("k").alias("ancestor"), F.col("id").alias("ancestor_id")), "ancestor")
-        .join(one.select(F.col("k").alias("node"), F.col("id").alias("node_id")), "node")
-        .select("ancestor_id", "node_id")
-    )
+    h = Hierarchy(parent_links(documents, relations), node_keys(documents), linked_only=True)
+    return h.named_pairs().select(F.col("ancestor_name").alias("ancestor_id"), F.col("name").alias("node_id"))

@@ -36,11 +36,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Every document, those without a link too."""
     s = table(spark, d, "store_documents")
-    return hierarchy.Hierarchy(hierarchy.parent_links(s, table(spark, d, "document_relations")), hierarchy.node_keys(s)).nodes()
+    return hierarchy.Hierarchy(hierarchy.parent_links(s, table(spark, d, "document_relations")), hierarchy.node_keys(s)).nodes().drop("name")
 
 
 def p4_cycle_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _hierarchy(spark, d).pairs().filter("ancestor = node").select("node")
+    return _hierarchy(spark, d).cycle_members()
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,6 +83,16 @@ SELECT DISTINCT id FROM store_documents s WHERE coalesce(vectorize, true) AND up
   WHERE r.status = 'success' AND a.outcome = 'done' AND lower(trim(a.document_id)) = lower(trim(s.id)) AND a.version_ms = epoch_us(s.updated_at) // 1000)""",
     "p4_found": f"WITH RECURSIVE {_LINKS} SELECT DISTINCT a.id AS ancestor_id, n.id AS node_id FROM reach r JOIN d a ON r.ancestor = a.k JOIN d n ON r.node = n.k",
     "p4_cycle_nodes": f"WITH RECURSIVE {_LINKS} SELECT DISTINCT node FROM reach WHERE node = ancestor",
+    "p4_nodes": f"""
+WITH RECURSIVE {_LINKS},
+first AS (SELECT node, min(parent) AS parent FROM links WHERE node <> parent GROUP BY 1),
+way AS (SELECT node, parent AS ancestor FROM first UNION SELECT w.node, f.parent FROM way w JOIN first f ON w.ancestor = f.node),
+heads AS (SELECT a.node FROM way a WHERE a.node = a.ancestor AND a.node = (SELECT min(b.ancestor) FROM way b WHERE b.node = a.node)),
+forest AS (SELECT * FROM first WHERE node NOT IN (SELECT node FROM heads)),
+walk AS (SELECT k AS node, k AS root, 0 AS depth, k AS path FROM d WHERE k NOT IN (SELECT node FROM forest)
+  UNION ALL SELECT f.node, w.root, w.depth + 1, w.path || '/' || f.node FROM walk w JOIN forest f ON f.parent = w.node),
+n AS (SELECT ancestor, count(*) AS descendants, bool_or(node = ancestor) AS on_cycle FROM (SELECT DISTINCT node, ancestor FROM reach) GROUP BY 1)
+SELECT w.node, root, depth, path, coalesce(on_cycle, false) AS on_cycle, coalesce(descendants, 0) AS descendants FROM walk w LEFT JOIN n ON w.node = n.ancestor""",
     "p7_found": rf"""
 WITH f AS (SELECT id, regexp_replace(tags, '^\s+|\s+$', '', 'g') AS t FROM store_documents),
 v AS (SELECT id, t, CASE WHEN t LIKE '[%]' AND json_valid(t) THEN CAST(json_extract_string(t, '$[*]') AS VARCHAR[]) END AS js,

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,9 +37,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage and survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts lineage: writes the rows below the checkpoint folder and reads them back.
+
+    The table survives the loss of executors like a reliable checkpoint, later plans read only the columns they need and see its
+    real size; checkpoint() keeps the estimate of the plan behind it, which multiplies with each join of a loop."""
+    return cut_counting(df)[0]
+
+
+def cut_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """cut() together with aggregates of the rows, taken while they are written."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    schema, got = df.schema, {}
+    if counts:
+        seen = Observation()
+        df.observe(seen, *(c.alias(k) for k, c in counts.items())).write.parquet(path)
+        got = seen.get
+    else:
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out._cut_path = path
+    return out, {k: int(got.get(k) or 0) for k in counts}
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of cut() that no later plan reads."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ref_key(c: Column | str) -> Column:

@@ -127,29 +127,37 @@ def pairs_of(spark, links):
     return [tuple(r) for r in hierarchy.Hierarchy(df).pairs().collect()]
 
 
-@pytest.mark.parametrize(
-    "links",
-    [
-        [("b", "a"), ("c", "b"), ("d", "b"), ("e", "d"), ("b", "a")],
-        [("a", "a"), ("b", "a")],
-        [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "d"), ("x", "y")],
-        [("d", "b"), ("d", "c"), ("b", "a"), ("c", "a"), ("a", "r"), ("e", "d"), ("c", "z")],
-        [("a", "b"), ("b", "c"), ("c", "x"), ("c", "a"), ("x", "y"), ("k", "c")],
-        [(f"n{i + 1:02}", f"n{i:02}") for i in range(70)],
-        [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c"), ("a", "d"), ("q", "a")],
-    ],
-)
-def test_hierarchy(spark, links):
+GRAPHS = [
+    [("b", "a"), ("c", "b"), ("d", "b"), ("e", "d"), ("b", "a")],
+    [("a", "a"), ("b", "a")],
+    [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "d"), ("x", "y")],
+    [("d", "b"), ("d", "c"), ("b", "a"), ("c", "a"), ("a", "r"), ("e", "d"), ("c", "z")],
+    [("a", "b"), ("b", "c"), ("c", "x"), ("c", "a"), ("x", "y"), ("k", "c")],
+    [(f"n{i + 1:02}", f"n{i:02}") for i in range(70)],
+    [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c"), ("a", "d"), ("q", "a")],
+    [("x", "a"), ("x", "z"), ("z", "x"), ("s", "b"), ("s", "s")],
+    [(f"n{i:02}", f"n{(i + 1) % 23:02}") for i in range(23)] + [("t1", "n05"), ("t2", "t1")],
+    [(f"m{i}", f"m{i + 1}") for i in range(6)] + [("m6", "m3"), ("m2", "zz")],
+]
+for _seed in range(3):
+    _rng = random.Random(_seed)
+    GRAPHS.append([(f"n{k}", f"n{_rng.randrange(max(1, k))}") for k in range(1, 60)] + [(f"n{_rng.randrange(60)}", f"n{_rng.randrange(60)}") for _ in range(4)])
+
+
+def test_hierarchy(spark):
+    """All graphs at once, each with its own names."""
+    links = [(f"{g}.{a}", f"{g}.{b}") for g, graph in enumerate(GRAPHS) for a, b in graph]
     got = pairs_of(spark, links)
     assert len(got) == len(set(got))
     assert set(got) == brute_pairs(links)
 
 
-def test_hierarchy_random(spark):
-    for seed in range(3):
-        rng = random.Random(seed)
-        links = [(f"n{k}", f"n{rng.randrange(max(1, k))}") for k in range(1, 60)] + [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(4)]
-        assert set(pairs_of(spark, links)) == brute_pairs(links)
+def test_hierarchy_cycles_over_further_links(spark):
+    links = [("x", "a"), ("x", "z"), ("z", "x"), ("s", "b"), ("s", "s"), ("k", "x")]
+    h = hierarchy.Hierarchy(spark.createDataFrame(links, "node string, parent string"))
+    n = {r["node"]: r for r in h.nodes().collect()}
+    assert {k for k, r in n.items() if r["on_cycle"]} == {"x", "z", "s"} == {r["node"] for r in h.cycle_members().collect()}
+    assert n["k"]["path"] == "a/x/k" and n["a"]["descendants"] == 3 and n["z"]["descendants"] == 3 and n["s"]["descendants"] == 1
 
 
 def test_hierarchy_wide_parent(spark, monkeypatch):
