@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
 from typing import Protocol
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +12,12 @@ from siltstone.functions.text import estimate_tokens
 
 
 class Tokenizer(Protocol):
+    """counts and windows work on array<string> Columns, so that a document's parts go through one call."""
+
     def encode(self, text: str) -> list: ...
     def decode(self, tokens: list) -> str: ...
+    def counts(self, texts: Column) -> Column: ...
+    def windows(self, texts: Column, size: int, overlap: int) -> Column: ...
 
 
 class WordTokenizer:
@@ -27,6 +29,12 @@ class WordTokenizer:
     def decode(self, tokens: list[str]) -> str:
         return " ".join(tokens)
 
+    def counts(self, texts: Column) -> Column:
+        return F.transform(texts, lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")))
+
+    def windows(self, texts: Column, size: int, overlap: int) -> Column:
+        return F.transform(texts, lambda t: word_windows(t, size, overlap))
+
 
 class BpeTokenizer:
     """A public byte-level BPE from a vocabulary file of ranks; loaded once a worker."""
@@ -55,6 +63,20 @@ class BpeTokenizer:
         """A character cut by a window's edge is left to the window that holds all of it."""
         return self._load().decode_bytes(tokens).decode("utf-8", "ignore")
 
+    def counts(self, texts: Column) -> Column:
+        @F.pandas_udf("array<int>")
+        def run(col: pd.Series) -> pd.Series:
+            return col.map(lambda ts: None if ts is None else [len(self.encode(t)) for t in ts])
+
+        return run(texts)
+
+    def windows(self, texts: Column, size: int, overlap: int) -> Column:
+        @F.pandas_udf("array<array<string>>")
+        def run(col: pd.Series) -> pd.Series:
+            return col.map(lambda ts: None if ts is None else [windows(t, size, overlap, self) for t in ts])
+
+        return run(texts)
+
 
 def window_starts(n: int, size: int, overlap: int) -> list[int]:
     """Starts of windows of `size` tokens that share `overlap`; the last one reaches the end."""
@@ -98,85 +120,98 @@ def byte_slices(text: str, size: int) -> list[str]:
     return out
 
 
-_RULE = re.compile(r"([-_*])\1{2,}")
+#: A line of three or more of one sign; the text gets a line break in front, so every line begins with one.
+_RULE = r"(?U)\n[^\S\n]*(?:-{3,}|_{3,}|\*{3,})[^\S\n]*(?=\n|$)"
+MARKDOWN_OVERLAP = 50
 
 
-def markdown_sections(text: str) -> list[str]:
-    """Sections between rule lines, trimmed. A section of blank lines between two rules stays as an empty string."""
-    out, lines = [], []
-    for line in text.split("\n"):
-        if _RULE.fullmatch(line.strip()):
-            if lines:
-                out.append("\n".join(lines).strip())
-            lines = []
-        else:
-            lines.append(line)
-    if lines:
-        out.append("\n".join(lines).strip())
-    return out
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def markdown_chunks(text: str, size: int, tok: Tokenizer, overlap: int = 50) -> list[str]:
-    """Sections; too large ones packed from paragraphs; too large paragraphs cut to windows."""
-    out: list[str] = []
-    count = lambda t: len(tok.encode(t))
-    for section in markdown_sections(text):
-        if count(section) <= size:
-            out.append(section)
-            continue
-        held = ""
-        for para in section.split("\n\n"):
-            if count(para) > size:
-                if held.strip():
-                    out.append(held.strip())
-                held = ""
-                out.extend(windows(para, size, overlap, tok))
-            elif held and count(held) + count(para) > size:
-                out.append(held.strip())
-                held = para + "\n\n"
-            else:
-                held = held + "\n\n" + para if held else para
-        if held.strip():
-            out.append(held.strip())
-    return out
+def markdown_sections(content: Column) -> Column:
+    """array<string>: what stands between rule lines, trimmed; blank lines between two rules give an empty string, no line gives nothing."""
+    parts = F.filter(F.split(F.concat(F.lit("\n"), content), _RULE, -1), lambda p: p != "")
+    return F.when(content == "", F.array().cast("array<string>")).otherwise(F.transform(parts, _stripped))
+
+
+def _packs(counts: Column, section: Column, size: int) -> Column:
+    """Runs of paragraphs: array of (at, len, n, wide, again).
 
+    A run keeps to its section and to `size` tokens in all. wide: one paragraph above `size`. again: the run began because the
+    one before it was full."""
+    kind = "array<struct<at:int,len:int,n:int,wide:boolean,again:boolean>>"
 
-def chunker(strategy: str, size: int, overlap: int, tok: Tokenizer) -> Callable[[str], list[str]]:
-    """'markdown', 'custom' (byte slices), and fixed windows for any other name."""
+    def step(runs: Column, i: Column) -> Column:
+        n, last = F.get(counts, i), F.try_element_at(runs, F.lit(-1))
+        open_ = F.coalesce(~last["wide"] & (F.get(section, i) == F.get(section, last["at"])), F.lit(False))
+        wide = n > size
+        grown = F.struct(last["at"].alias("at"), (last["len"] + 1).alias("len"), (last["n"] + n).alias("n"), F.lit(False).alias("wide"), last["again"].alias("again"))
+        begun = F.struct(i.alias("at"), F.lit(1).alias("len"), n.alias("n"), wide.alias("wide"), (open_ & ~wide).alias("again"))
+        joins = open_ & ~wide & (last["n"] + n <= size)
+        return F.when(joins, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(grown))).otherwise(F.concat(runs, F.array(begun))).cast(kind)
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(counts) - 1), F.array().cast(kind), step)
+
+
+def markdown_chunks(docs: DataFrame, size: int, tok: Tokenizer, content: str = "content") -> DataFrame:
+    """Adds `parts`: sections, cut between paragraphs where a section is too large; too large paragraphs become windows.
+
+    Tokens of a run are the sum of its paragraphs'. The first paragraph of a run that began because the one before was full is set off by four line breaks."""
+    c = F.coalesce(F.col(content), F.lit(""))
+    d = docs.withColumn("_s", F.transform(markdown_sections(c), lambda s: F.split(s, "\n\n", -1)))
+    d = d.withColumn("_p", F.flatten("_s")).withColumn("_k", F.flatten(F.transform("_s", lambda ps, k: F.array_repeat(k, F.size(ps)))))
+    d = d.withColumn("_n", tok.counts(F.col("_p")))
+    large = F.transform(F.arrays_zip(F.col("_p").alias("p"), F.col("_n").alias("n")), lambda x: F.when(x["n"] > size, x["p"]).otherwise(""))
+    d = d.withColumn("_w", tok.windows(large, size, MARKDOWN_OVERLAP))
+    d = d.withColumn("_r", F.when(F.size("_n") > 0, _packs(F.col("_n"), F.col("_k"), size)).otherwise(F.array()))
+
+    def text(r: Column) -> Column:
+        own = F.slice("_p", r["at"] + 1, r["len"])
+        rest = F.array_join(F.slice("_p", r["at"] + 2, F.greatest(r["len"] - 1, F.lit(0))), "\n\n")
+        joined = F.when(r["again"] & (r["len"] > 1), F.concat(F.get(own, F.lit(0)), F.lit("\n\n\n\n"), rest)).otherwise(F.array_join(own, "\n\n"))
+        alone = F.size(F.get("_s", F.get("_k", r["at"]))) == 1
+        return F.filter(F.array(_stripped(joined)), lambda t: (t != "") | alone)  # an empty run counts only as a whole section
+
+    parts = F.flatten(F.transform("_r", lambda r: F.when(r["wide"], F.get("_w", r["at"])).otherwise(text(r))))
+    return d.withColumn("parts", parts).drop("_s", "_p", "_k", "_n", "_w", "_r")
+
+
+def with_parts(docs: DataFrame, strategy: str, size: int, overlap: int, tok: Tokenizer, content: str = "content") -> DataFrame:
+    """Adds `parts` by strategy: 'markdown', 'custom' (byte slices), and fixed windows for any other name."""
     if strategy == "markdown":
-        return lambda t: markdown_chunks(t, size, tok)
+        return markdown_chunks(docs, size, tok, content)
     if strategy == "custom":
-        return lambda t: byte_slices(t, size)
-    return lambda t: windows(t, size, overlap, tok)
 
+        @F.pandas_udf("array<string>")
+        def slices(col: pd.Series) -> pd.Series:
+            return col.map(lambda t: byte_slices(t, size) if t else [])
 
-def chunk_documents(docs: DataFrame, chunk: Callable[[str], list[str]], key: str = "id", content: str = "content") -> DataFrame:
-    """(id, chunk_index, chunk) by any chunker, in Arrow batches."""
+        return docs.withColumn("parts", slices(F.col(content)))
+    return docs.withColumn("parts", F.get(tok.windows(F.array(F.coalesce(F.col(content), F.lit(""))), size, overlap), F.lit(0)))
 
-    def run(batches):
-        for b in batches:
-            ids, at, texts = [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for i, c in enumerate(chunk(t) if t else []):
-                    ids.append(k)
-                    at.append(i)
-                    texts.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(at, pa.int32()), pa.array(texts, pa.string())], names=["id", "chunk_index", "chunk"])
 
-    return docs.select(F.col(key).cast("string").alias("id"), F.col(content)).mapInArrow(run, "id string, chunk_index int, chunk string")
+def strategy_chunks(docs: DataFrame, strategy: str, size: int, overlap: int, tok: Tokenizer, key: str = "id", content: str = "content") -> DataFrame:
+    """(id, chunk_index, chunk)."""
+    own = docs.select(F.col(key).cast("string").alias("id"), F.col(content).alias("content"))
+    return with_parts(own, strategy, size, overlap, tok).select("id", F.posexplode("parts").alias("chunk_index", "chunk"))
+
 
+def auto_chunk(docs: DataFrame, threshold: int, size: int, overlap: int, strategy: str = "fixed", tok: Tokenizer | None = None) -> DataFrame:
+    """Parents and chunks of store rows. A row with more than `threshold` tokens and `vectorize` gets chunks by the strategy:
+    they inherit metadata and tags, are to be vectorized, and the parent no longer is.
 
-def auto_chunk(docs: DataFrame, threshold: int, size: int, overlap: int) -> DataFrame:
-    """Parents and chunks of store rows. A row with more than `threshold` estimated tokens and `vectorize` gets word
-    windows as chunks: they inherit metadata and tags, are to be vectorized, and the parent no longer is."""
-    rows = docs.withColumn("token_count", F.coalesce("token_count", estimate_tokens(F.col("content"))))
+    Without a tokenizer the threshold counts estimated tokens and windows hold words; with one both count its tokens."""
+    size_of = (lambda c: F.get(tok.counts(F.array(F.coalesce(c, F.lit("")))), F.lit(0))) if tok else estimate_tokens
+    rows = docs.withColumn("token_count", F.coalesce("token_count", size_of(F.col("content"))))
     long = (F.col("token_count") > threshold) & F.coalesce("vectorize", F.lit(True)) & ~F.coalesce("is_chunk", F.lit(False))
     parents = rows.withColumn("vectorize", F.when(long, F.lit(False)).otherwise(F.coalesce("vectorize", F.lit(True))))
-    parts = rows.filter(long).select("*", F.posexplode(word_windows(F.col("content"), size, overlap)).alias("k", "part"))
+    parts = with_parts(rows.filter(long), strategy, size, overlap, tok or WordTokenizer())
+    parts = parts.select("*", F.posexplode("parts").alias("k", "part"))
     chunks = parts.select(
         F.concat("id", F.lit("#"), "k").alias("id"), F.col("part").alias("content"), "metadata", "tags", F.lit(None).cast("array<float>").alias("vector"), "created_at", "updated_at",
         F.lit(False).alias("is_embedded"), F.lit(True).alias("vectorize"), F.lit(True).alias("is_chunk"), F.col("id").alias("parent_id"), F.col("k").alias("chunk_index"),
-        estimate_tokens(F.col("part")).alias("token_count"), F.lit(False).alias("is_vectorized"),
+        size_of(F.col("part")).alias("token_count"), F.lit(False).alias("is_vectorized"),
     )
     return parents.unionByName(chunks.select(*parents.columns))
 

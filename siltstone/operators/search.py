@@ -79,21 +79,31 @@ def fuse(fts: DataFrame, vec: DataFrame, limit: int) -> DataFrame:
 
 def search(
     docs: DataFrame, query: str, limit: int = 10, vector: list[float] | None = None, kind: SearchType | str = SearchType.HYBRID,
-    where: Column | None = None, include_chunks: bool = True, threshold: float | None = None,
+    where: Column | None = None, include_chunks: bool = True, threshold: float | None = None, index=None,
 ) -> DataFrame:
-    """The search facade: result rows best first. Hybrid without a query vector is full text alone; limit applies last."""
+    """The search facade: result rows best first. Hybrid without a query vector is full text alone; limit applies last.
+
+    index: a VectorIndex of these documents that takes the place of the exact comparison; hits that are no longer there, or that
+    `where` drops, are left out, so fewer rows may come."""
     kind = SearchType(kind)
     if not include_chunks:
         where = (where if where is not None else F.lit(True)) & ~F.coalesce("is_chunk", F.lit(False))
     none = F.lit(None).cast("double")
+
+    def nearest(n: int) -> DataFrame:
+        if index is None:
+            return vector_topk(docs, vector, n, where=where)
+        alive = docs if where is None else docs.filter(where)
+        return F.broadcast(index.search(vector, n)).join(alive.select("id"), "id")  # at most n rows
+
     if kind is SearchType.VECTOR:
         if vector is None:
             raise ValueError("a vector search needs a vector")
-        top = vector_topk(docs, vector, limit, where=where).select("id", F.col("sim").alias("score"), none.alias("fts_rank"), F.col("sim").alias("vector_similarity"))
+        top = nearest(limit).select("id", F.col("sim").alias("score"), none.alias("fts_rank"), F.col("sim").alias("vector_similarity"))
     elif kind is SearchType.FULLTEXT or vector is None:
         top = fts_topk(docs, query, limit, where=where).select("id", F.col("rank").alias("score"), F.col("rank").alias("fts_rank"), none.alias("vector_similarity"))
     else:
-        top = fuse(fts_topk(docs, query, 2 * limit, where=where), vector_topk(docs, vector, 2 * limit, where=where), limit)
+        top = fuse(fts_topk(docs, query, 2 * limit, where=where), nearest(2 * limit), limit)
     if threshold is not None:
         top = top.filter(F.col("score") >= threshold)
     payload = docs.select("id", "content", "metadata", "is_chunk", "parent_id", "chunk_index")
@@ -101,11 +111,19 @@ def search(
     return out.select("id", "content", "metadata", "score", "fts_rank", "vector_similarity", "is_chunk", "parent_id", "chunk_index").orderBy(F.desc("score") if kind is not SearchType.FULLTEXT and vector is not None else F.col("score"), "id")
 
 
-def group_by_parent(results: DataFrame, chunks_each: int | None = None) -> DataFrame:
-    """(parent, max_score, hits, best): results collapsed under their parent, or themselves where they have none."""
+def group_by_parent(results: DataFrame, chunks_each: int | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """(parent, max_score, hits, best): results collapsed under their parent, or themselves where they have none.
+
+    With `documents` also parent_metadata and chunks, the hits of each parent best first (results are at most a search's limit)."""
     parent = F.coalesce(F.nullif(F.col("parent_id"), F.lit("")), F.col("id"))
     order = Window.partitionBy("parent").orderBy(F.desc("score"), "id")
     r = results.withColumn("parent", parent).withColumn("r", F.row_number().over(order))
     if chunks_each is not None:
         r = r.filter(F.col("r") <= chunks_each)
-    return r.groupBy("parent").agg(F.max("score").alias("max_score"), F.count("*").alias("hits"), F.max(F.when(F.col("r") == 1, F.col("id"))).alias("best"))
+    cols = [F.max("score").alias("max_score"), F.count("*").alias("hits"), F.max(F.when(F.col("r") == 1, F.col("id"))).alias("best")]
+    if documents is None:
+        return r.groupBy("parent").agg(*cols)
+    hit = F.struct("r", "id", "chunk_index", "score", "content")
+    out = r.groupBy("parent").agg(*cols, F.sort_array(F.collect_list(hit)).alias("chunks"))
+    above = documents.select(F.col("id").alias("parent"), F.col("metadata").alias("parent_metadata"))
+    return out.join(above, "parent", "left").orderBy(F.desc("max_score"), "parent")

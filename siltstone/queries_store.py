@@ -294,7 +294,7 @@ def chunk_neighbours(spark, d):
 
 @query()
 def chunk_markdown(spark, d):
-    return chunking.chunk_documents(store_docs(spark, d), chunking.chunker("markdown", 128, 50, chunking.WordTokenizer()))
+    return chunking.strategy_chunks(store_docs(spark, d), "markdown", 128, 50, chunking.WordTokenizer())
 
 
 @query("SELECT id, sha256(content) AS content_hash FROM store_documents")

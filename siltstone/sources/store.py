@@ -1,20 +1,23 @@
 """The store: databases and tables as change logs on Parquet, read through latest-wins views.
 
 A table is a folder of change files. Each write appends one file set under the next sequence number, staged and
-moved into place by one rename, so a reader sees a write whole or not at all. `compact` rewrites the view as one change."""
+moved into place by one rename, so a reader sees a write whole or not at all. `compact` rewrites the changes listed at its start as a
+base of that number; a write that lands meanwhile has a higher number and stays on top of it."""
 
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from siltstone.operators import ann, chunking
 from siltstone.operators import cache as C
-from siltstone.operators import chunking
+from siltstone.operators import graph as G
+from siltstone.operators import search as S
 from siltstone.runtime import cut
-from siltstone.schema import DOCUMENT, RELATION, Config, StoreError, check_name
+from siltstone.schema import CACHE, DOCUMENT, RELATION, Config, StoreError, check_name
 from siltstone.sources import embedder as E
 
 RELATIONS, CACHE_TABLE = "document_relations", "embedding_cache"
@@ -75,8 +78,15 @@ class Store:
         p = self._path(where)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
 
+    def _parts(self, db: str, table: str) -> tuple[int, list[int]]:
+        """Number of the base (0 without one) and those of the changes on top of it."""
+        names = self._names(f"{check_name(db)}/{check_name(table)}")
+        base = max((int(n[5:]) for n in names if n.startswith("base=")), default=0)
+        return base, sorted(k for k in (int(n[4:]) for n in names if n.startswith("seq=")) if k > base)
+
     def _log(self, db: str, table: str) -> list[int]:
-        return sorted(int(n[4:]) for n in self._names(f"{check_name(db)}/{check_name(table)}") if n.startswith("seq="))
+        base, seqs = self._parts(db, table)
+        return [base] * (base > 0) + seqs
 
     def _append(self, db: str, table: str, rows: DataFrame, op: str) -> int:
         where = f"{check_name(db)}/{check_name(table)}"
@@ -106,12 +116,19 @@ class Store:
         return self._fs.delete(self._path(check_name(db)), True)
 
     # reads
-    def _changes(self, db: str, table: str, schema) -> DataFrame:
-        seqs = self._log(db, table)
-        if not seqs:
+    def _changes(self, db: str, table: str, schema, parts: tuple[int, list[int]] | None = None) -> DataFrame:
+        base, seqs = parts or self._parts(db, table)
+        full = T.StructType([*schema.fields, T.StructField("op", T.StringType())])
+        where, out = f"{self.base}/{db}/{table}", None
+        if seqs:  # one scan, however many changes
+            read = self.spark.read.schema(T.StructType([*full.fields, T.StructField("seq", T.IntegerType())])).option("basePath", where)
+            out = read.parquet(*(f"{where}/seq={k}" for k in seqs))
+        if base:
+            old = self.spark.read.schema(full).parquet(f"{where}/base={base}").withColumn("seq", F.lit(base))
+            out = old if out is None else old.unionByName(out)
+        if out is None:
             return self.spark.createDataFrame([], schema).withColumn("op", F.lit("put")).withColumn("seq", F.lit(0))
-        parts = [self.spark.read.parquet(f"{self.base}/{db}/{table}/seq={s}").withColumn("seq", F.lit(s)) for s in seqs]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return out
 
     def documents(self, db: str, table: str) -> DataFrame:
         return latest(self._changes(db, table, DOCUMENT))
@@ -143,6 +160,13 @@ class Store:
         w = Window.partitionBy("id").orderBy(F.desc("updated_at"), F.desc("content"))
         return self._append(db, table, ready.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k"), "put")
 
+    def add(self, db: str, table: str, content: str, id: str | None = None, metadata: str = "{}", tags: list[str] | None = None, parent_id: str | None = None) -> str:
+        """One document without a vector; gives its id."""
+        id = id or str(uuid.uuid4())
+        row = self.spark.createDataFrame([(id, content, metadata, tags, parent_id)], "id string, content string, metadata string, tags array<string>, parent_id string")
+        self.upsert(db, table, row)
+        return id
+
     def set_vectors(self, db: str, table: str, vectors: DataFrame) -> int:
         """vectors(id, vector) for ids that live."""
         docs = self.documents(db, table).drop("vector", "updated_at", "is_embedded", "is_vectorized")
@@ -150,11 +174,11 @@ class Store:
         return self._append(db, table, new.select(*DOCUMENT.names), "put")
 
     def delete(self, db: str, table: str, ids: list[str], cascade_relations: bool = False) -> None:
-        """Documents with all that hang below them. A child alone can't be deleted; a missing id is no error."""
+        """Documents with all that hang below them. A row with a parent can't be deleted alone; a missing id is no error."""
         docs = self.documents(db, table)
         asked = self.spark.createDataFrame([(i,) for i in ids], "id string")
-        if docs.join(asked, "id", "left_semi").filter("is_chunk and coalesce(parent_id, '') <> ''").limit(1).count():
-            raise StoreError("a chunk can't be deleted without its parent")
+        if docs.join(asked, "id", "left_semi").filter("coalesce(trim(parent_id), '') <> ''").limit(1).count():
+            raise StoreError("a child can't be deleted without its parent")
         dead = cascade(docs, asked)
         self._append(db, table, docs.join(dead, "id", "left_semi"), "delete")
         if cascade_relations:
@@ -199,20 +223,21 @@ class Store:
         self._append(db, RELATIONS, self.relations(db).filter(F.col("id") == id), "delete")
 
     def compact(self, db: str, table: str) -> None:
-        rows = cut(self.documents(db, table))
-        old = self._log(db, table)
-        self._append(db, table, rows, "put")
-        for seq in old:
-            self._fs.delete(self._path(f"{db}/{table}/seq={seq}"), True)
+        """Rewrites what is there now as one base; readers switch to it by its rename, and only then do the old files go."""
+        base, seqs = parts = self._parts(db, table)
+        if not seqs:
+            return
+        where, schema = f"{check_name(db)}/{check_name(table)}", RELATION if table == RELATIONS else DOCUMENT
+        staged = f"{where}/_staged-{uuid.uuid4().hex}"
+        latest(self._changes(db, table, schema, parts)).withColumn("op", F.lit("put")).write.parquet(f"{self.base}/{staged}")
+        if not self._fs.rename(self._path(staged), self._path(f"{where}/base={seqs[-1]}")):
+            raise StoreError("another compaction of this table ended first")
+        for name in [f"seq={k}" for k in seqs] + [f"base={base}"] * (base > 0):
+            self._fs.delete(self._path(f"{where}/{name}"), True)
 
     # pipeline
     def cache(self, db: str) -> DataFrame:
-        seqs = self._log(db, CACHE_TABLE)
-        from siltstone.schema import CACHE
-
-        if not seqs:
-            return self.spark.createDataFrame([], CACHE)
-        return self.spark.read.parquet(*(f"{self.base}/{db}/{CACHE_TABLE}/seq={s}" for s in seqs)).drop("op")
+        return self._changes(db, CACHE_TABLE, CACHE).drop("op", "seq")
 
     def embedded(self, db: str, rows: DataFrame, embedder: E.Embedder) -> DataFrame:
         """rows with vectors where vectorize holds: from the cache, else from the embedder, each text once."""
@@ -225,20 +250,23 @@ class Store:
         vec = F.when(F.coalesce("vectorize", F.lit(True)), F.coalesce("cached_vector", "vector")).otherwise(F.col("vector"))
         return got.withColumn("vector", vec).drop("cached_vector", "content_hash")
 
-    def ingest(self, db: str, table: str, rows: DataFrame, embedder: E.Embedder | None = None, wait: bool = True) -> int:
-        """Validate, chunk, embed, then one write. Without `wait` the worker embeds later."""
+    def ingest(self, db: str, table: str, rows: DataFrame, embedder: E.Embedder | None = None, wait: bool = True, tokenizer: chunking.Tokenizer | None = None) -> int:
+        """Validate, chunk by the configured strategy, embed, then one write. Without `wait` the worker embeds later.
+
+        With a tokenizer the chunking threshold and windows count its tokens."""
         ready = cut(prepared(rows))
         if ready.filter("content is null or content = ''").limit(1).count():
             raise StoreError("empty content")
         if self.config.chunking:
-            ready = chunking.auto_chunk(ready, self.config.chunk_threshold, self.config.chunk_size, self.config.chunk_overlap)
+            ready = chunking.auto_chunk(ready, self.config.chunk_threshold, self.config.chunk_size, self.config.chunk_overlap, self.config.chunk_strategy, tokenizer)
         if embedder is not None and wait:
             ready = self.embedded(db, ready, embedder)
         return self.upsert(db, table, ready)
 
     def snapshot(self, db: str, path: str) -> None:
-        for t in [*self.tables(db), *([RELATIONS] if self._log(db, RELATIONS) else [])]:
-            (self.relations(db) if t == RELATIONS else self.documents(db, t)).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{t}")
+        kinds = {RELATIONS: self.relations, CACHE_TABLE: self.cache}
+        for t in [*self.tables(db), *(k for k in kinds if self._log(db, k))]:
+            (kinds[t](db) if t in kinds else self.documents(db, t)).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{t}")
 
     def restore(self, db: str, path: str) -> None:
         self.drop_database(db)
@@ -247,6 +275,31 @@ class Store:
             name = s.getPath().getName()
             self._append(db, name, self.spark.read.parquet(f"{path.rstrip('/')}/{name}"), "put")
 
+    # search and graph
+    def search(self, db: str, table: str, query: str, limit: int = 10, vector: list[float] | None = None, group: bool = False, index: ann.VectorIndex | None = None, **kw) -> DataFrame:
+        """Result rows best first; with `group` collapsed under their parents. An index of the table is used where the configuration
+        says so and the table is large enough."""
+        docs = self.documents(db, table)
+        use = index if index is not None and ann.choose_search(docs, self.config.vector_index, self.config.index_threshold) == "index" else None
+        found = S.search(docs, query, limit, vector, index=use, **kw)
+        return S.group_by_parent(found, documents=docs) if group else found
+
+    def _graph(self, db: str, types: list[str] | None) -> DataFrame:
+        return G.of_types(self.relations(db), types)
+
+    def traverse(self, db: str, start: str, depth: int, types: list[str] | None = None) -> DataFrame:
+        if not self.config.document_relations:
+            raise StoreError("relations are switched off")
+        return G.bfs(self._graph(db, types), start, depth)
+
+    def path(self, db: str, start: str, goal: str, types: list[str] | None = None) -> DataFrame:
+        if not start or not goal:
+            raise StoreError("a path needs two ends")
+        return G.shortest_path(self._graph(db, types), start, goal)
+
+    def graph_statistics(self, db: str) -> DataFrame:
+        return G.statistics(self._graph(db, None))
+
 
 def duplicate_relations(have: DataFrame, new: DataFrame) -> DataFrame:
     """New relations whose triple exists or comes again within the new ones."""

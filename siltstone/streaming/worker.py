@@ -7,17 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.operators import filters
+from siltstone.runtime import cut
 from siltstone.schema import DOCUMENT
 from siltstone.sources.embedder import Embedder
 from siltstone.sources.store import Store
 
 
-def queue(docs: DataFrame, limit: int | None = None) -> DataFrame:
-    """Documents to embed, oldest first."""
-    q = docs.filter(filters.in_queue()).orderBy("created_at", "id")
+def queue(docs: DataFrame, limit: int | None = None, after: tuple | None = None) -> DataFrame:
+    """Documents to embed, oldest first, from behind the place `after` (created_at, id)."""
+    q = docs.filter(filters.in_queue())
+    if after is not None:
+        at, id = F.lit(after[0]), F.lit(after[1])
+        q = q.filter((F.col("created_at") > at) | ((F.col("created_at") == at) & (F.col("id") > id)))
+    q = q.orderBy("created_at", "id")
     return q if limit is None else q.limit(limit)
 
 
+COMPACT_AFTER = 64
+
+
 class Worker:
     """Each new change file of the table triggers one batch: what is in the queue then is embedded through the cache and its vectors are set.
 
@@ -29,15 +37,20 @@ class Worker:
 
     def drain(self, db: str, table: str) -> int:
         """Embeds what waits now; returns how many documents."""
-        done = 0
+        done, after = 0, None
         while True:
-            rows = queue(self.store.documents(db, table), self.store.config.worker_batch)
-            rows = self.store.embedded(db, rows, self.embedder).select("id", "vector").filter("vector is not null")
-            n = rows.count()
-            if not n:
+            rows = cut(queue(self.store.documents(db, table), self.store.config.worker_batch, after))
+            last = rows.orderBy(F.desc("created_at"), F.desc("id")).select("created_at", "id").first()
+            if last is None:
                 return done
-            self.store.set_vectors(db, table, rows)
-            done += n
+            after = (last["created_at"], last["id"])  # documents that get no vector hold up none behind them
+            rows = cut(self.store.embedded(db, rows, self.embedder).select("id", "vector").filter("vector is not null"))
+            n = rows.count()
+            if n:
+                self.store.set_vectors(db, table, rows)
+                done += n
+            if len(self.store._log(db, table)) > COMPACT_AFTER:
+                self.store.compact(db, table)
 
     def start(self, db: str, table: str, checkpoint: str, once: bool = False):
         """A streaming query; with `once` it ends when the files there are done."""

@@ -140,11 +140,80 @@ def test_chunkers():
         assert parts[0][0] == "w0" and parts[-1][-1] == "w999"
         assert all(int(b[0][1:]) - int(a[0][1:]) == step for a, b in zip(parts, parts[1:], strict=False))
     assert chunking.windows("", 5, 1, w) == [] and chunking.windows("a b", 5, 1, w) == ["a b"]
-    assert chunking.markdown_sections("# A\ntext\n---\n\n***\nB") == ["# A\ntext", "", "B"]
-    assert len(chunking.markdown_chunks("x y\n---\nz", 10, w)) == 2
     assert "".join(chunking.byte_slices("aé" * 3000, 512)) == "aé" * 3000
 
 
+def test_store_facade(spark, tmp_path):
+    st = Store(spark, str(tmp_path / "f"), Config.load('{"document_relations": true, "chunking": true, "chunk_strategy": "markdown", "chunk_size": 4, "chunk_threshold": 3}'))
+    a = st.add("db", "t", "red apple pie", metadata='{"k": 1}')
+    b = st.add("db", "t", "green apple", id="b", parent_id=a)
+    assert b == "b" and st.get("db", "t", a)["metadata"] == '{"k": 1}'
+    with pytest.raises(StoreError):
+        st.delete("db", "t", ["b"])
+    before = st._parts("db", "t")
+    st.compact("db", "t")
+    assert st._parts("db", "t") == (before[1][-1], []) and st.documents("db", "t").count() == 2
+    st.upsert("db", "t", spark.createDataFrame([("b", "blue apple")], "id string, content string"))
+    st.compact("db", "t")
+    assert st.get("db", "t", "b")["content"] == "blue apple" and len(st._log("db", "t")) == 1
+    found = st.search("db", "t", "apple", 5, kind="fulltext", group=True).collect()
+    assert {r["parent"] for r in found} == {a, "b"} and all(len(r["chunks"]) == r["hits"] == 1 for r in found)
+    st.relate("db", spark.createDataFrame([("x", "y", "cites"), ("y", "z", "cites")], "source_id string, target_id string, relation_type string"))
+    assert {(r["id"], r["depth"]) for r in st.traverse("db", "x", 2).collect()} == {("x", 0), ("y", 1), ("z", 2)}
+    assert [r["id"] for r in st.path("db", "x", "z").orderBy("hop").collect()] == ["x", "y", "z"]
+    assert st.graph_statistics("db").first()["has_cycles"] is False
+    st.ingest("db", "c", spark.createDataFrame([("m", "one two three\n\nfour five")], "id string, content string"))
+    assert [r["content"] for r in st.documents("db", "c").filter("is_chunk").orderBy("chunk_index").collect()] == ["one two three", "four five"]
+    st.snapshot("db", str(tmp_path / "s"))
+    st.restore("db", str(tmp_path / "s"))
+    assert st.documents("db", "c").count() == 3 and st.relations("db").count() == 2
+
+
+def test_worker_isn_t_held_up(spark, tmp_path):
+    """Documents whose embedding fails don't starve those behind them."""
+
+    class Picky(HashEmbedder):
+        def embed(self, texts):
+            return [None if t.startswith("bad") else v for t, v in zip(texts, super().embed(texts), strict=True)]
+
+    st = Store(spark, str(tmp_path / "w"), Config(worker_batch=2))
+    st.upsert("db", "t", spark.createDataFrame([(f"d{k}", ("bad" if k < 3 else "good") + f" {k}") for k in range(7)], "id string, content string"))
+    assert Worker(st, Picky(8)).drain("db", "t") == 4
+
+
+MARKDOWN = {
+    "# A\ntext\n---\n\n***\nB": ["# A\ntext", "", "B"],
+    "x y\n---\nz": ["x y", "z"],
+    "- - -\nT\n===": ["- - -\nT\n==="],
+    "a\n ___ \n****\nb\n--": ["a", "b\n--"],
+    "a b c\n\nd e\n\nf g h\n\ni\n\nj k l m n o p q": ["a b c\n\nd e", "f g h\n\n\n\ni", "j k l m n", "k l m n o", "l m n o p", "m n o p q"],
+    "---": [], "": [], "\n---\nq": ["", "q"],
+}
+
+
+def test_markdown_chunker(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "MARKDOWN_OVERLAP", 4)
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate([*MARKDOWN, None])], "id string, content string")
+    got = {int(r["id"]): r["parts"] for r in chunking.markdown_chunks(df, 5, chunking.WordTokenizer()).collect()}
+    assert [got[k] for k in range(len(got))] == [*MARKDOWN.values(), []]
+    flat = chunking.strategy_chunks(df, "markdown", 5, 0, chunking.WordTokenizer())
+    assert flat.filter("id = 4").orderBy("chunk_index").first()["chunk"] == "a b c\n\nd e" and flat.count() == sum(map(len, MARKDOWN.values()))
+    assert [r["chunk"] for r in chunking.strategy_chunks(df.filter("id = 1"), "custom", 1, 0, chunking.WordTokenizer()).orderBy("chunk_index").collect()] == ["x y\n", "---\n", "z"]
+    assert chunking.strategy_chunks(df.filter("id = 1"), "fixed", 2, 0, chunking.WordTokenizer()).count() == 2
+
+
+def test_chunks_by_a_vocabulary(spark, tmp_path):
+    import base64
+
+    path = tmp_path / "bytes.tiktoken"  # one token a byte
+    path.write_text("".join(f"{base64.b64encode(bytes([b])).decode()} {b}\n" for b in range(256)))
+    tok = chunking.BpeTokenizer(str(path), r"\S+|\s+")
+    df = spark.createDataFrame([("a", "abcd\n\nef\n\nghijklm"), ("b", None)], "id string, content string")
+    assert [r["chunk"] for r in chunking.strategy_chunks(df, "markdown", 6, 2, tok).orderBy("chunk_index").collect()] == ["abcd\n\nef", "ghijkl", "hijklm"]
+    got = [r["chunk"] for r in chunking.strategy_chunks(df, "fixed", 8, 3, tok).filter("id = 'a'").orderBy("chunk_index").collect()]
+    assert got == ["abcd\n\nef", "\nef\n\nghi", "ghijklm"]
+
+
 def test_small_functions(spark):
     df = spark.createDataFrame([(bytes([0, 0, 128, 63, 0, 0, 0, 192, 9]), "é" * 5, "# Title \nbody", "a=1; b ;c = 2")], "b binary, t string, c string, h string")
     r = df.select(V.from_bytes("b").alias("v"), V.to_bytes(V.from_bytes("b")).alias("back"), T.estimate_tokens(F.col("t")).alias("up"), T.estimate_tokens(F.col("t"), False).alias("down"), T.heading(F.col("c")).alias("h1"), T.feature_header(F.col("h")).alias("m")).first()
