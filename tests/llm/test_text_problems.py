@@ -175,3 +175,26 @@ def test_residue(spark):
     assert sorted(got) == [*range(100, 100 + len(BAD)), 200, 203, 204, 205]
     assert residue.without_residue(df).count() == len(GOOD) + 3
     assert residue.residue_documents(df.limit(0)).count() == 0
+
+
+def test_residue_of_any_wording(spark):
+    """Messages without a rule of their own come out where they recur across sources; ordinary lines and people's words don't."""
+    cue = lambda t: f"1\n00:00:01,000 --> 00:00:02,000\nHello.\n\n2\n00:00:03,000 --> 00:00:04,000\n{t}\n"
+    said = ["The licence server of this player did not answer.", "Sorry, that clip cannot be shown in your region.", "Página não encontrada", "Retry in 12 s: the stream has timed out"]
+    rows = [(k, cue(t), "ab"[k % 2]) for k, t in enumerate(t for t in said for _ in range(2))]
+    rows += [(100 + k, cue(t), "ab"[k % 2]) for k, t in enumerate(t for t in ["I can't find the page.", "He said the server failed.", "The door was not found."] for _ in range(2))]
+    rows += [(200, cue(said[0] + " Again."), "a"), (201, cue("Subtitles are not available here"), "a"), (202, cue("Subtitles are not available here"), "a")]
+    rows += [(300, cue("The session has expired. Log in again."), "a"), (301, cue("UsÅ‚uga niedostÄ™pna"), "a"), (302, cue("Ñòðàíèöà íå íàéäåíà"), "a"), (7, cue("Retry in 7 s: the stream has timed out"), "b")]
+    got = [r[0] for r in residue.residue_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    assert sorted(got) == [*range(8), 300, 301, 302]
+
+
+def test_required_literals():
+    """No rule can hold where none of its required literals stands."""
+    for text in [*GOOD, *BAD, "undefined", "Speaker 94: null", "Błąd 404", "<html>\ngone\n</html>", "xx xx", "b\ufffd\ufffdd 404"]:
+        low = text.lower()
+        for _, _, p, flags, _ in residue.RULES:
+            need = residue.required(p, flags)
+            if residue.re.search(p, low, flags) and need is not None:
+                assert any(w in low for w in need), (text, p[:40])
+    assert residue.required("a*b?") is None and residue.required("(?:ab|cd)e+") in ({"ab", "cd"}, {"e"})
