@@ -4,7 +4,8 @@ Parents lie in ranges of their key's 64-bit hash. The ranges' bounds are known w
 hold about equally many keys whatever the ids look like. Within a range the parents form a sorted array,
 and a batch of references is probed by one vectorised binary search; the key itself is compared at each
 hit, so a collision of hashes can't hide an orphan. A range whose references exceed `batch_rows`
-(a hot target) is split by salt, with the parents' array given to each split. Only misses leave the tasks.
+(a hot target) is split by salt, with the parents' array given to each split. There are as many ranges as keys
+need, so an array stays near `range_keys` keys however large the table is. Only misses leave the tasks.
 
 Defined cases: ids and references compare trimmed and in lower case; null and empty references count as
 none; a parent with null created_at exists at any time; a referring row with null created_at can't be
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.runtime import blocks, ref_key
+from siltstone.runtime import blocks, cut, ref_key
 
 MISS = "ref_table string, row_id string, ref_field string, kind string, created_us long"
 
@@ -104,20 +105,11 @@ def orphan_references(
     # the arithmetic shift keeps the order of hashes, so each range is an interval of them
     band = F.shiftright("hash", 64 - bits) if bits else F.lit(0).cast("long")
     refs, known = refs.withColumn("band", band), known.withColumn("band", band)
-    # at most `ranges` rows, 65 536 at the utmost
-    load = {r["band"]: math.ceil(r["n"] / batch_rows) for r in refs.groupBy("band").agg(F.count("*").alias("n")).collect()}
-    split = {b: s for b, s in load.items() if s > 1}
-    if split:
-        spark = refs.sparkSession
-        plan = F.broadcast(spark.createDataFrame(list(split.items()), "band long, splits int"))
-        refs = refs.join(plan, "band", "left").withColumn(
-            "salt", F.coalesce(F.pmod(F.xxhash64("row_id", "ref_field"), F.col("splits")).cast("int"), F.lit(0))
-        )
-        known = known.join(plan, "band", "left").withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("splits") - 1, F.lit(0))))
-        )
-    else:
-        refs, known = refs.withColumn("salt", F.lit(0)), known.withColumn("salt", F.lit(0))
+    # ranges with more references than a batch: a table of its own, joined, never collected
+    hot = cut(refs.groupBy("band").agg(F.ceil(F.count("*") / batch_rows).cast("int").alias("splits")).filter("splits > 1"))
+    salt = F.coalesce(F.pmod(F.xxhash64("row_id", "ref_field"), F.col("splits")).cast("int"), F.lit(0))
+    refs = refs.join(hot, "band", "left").withColumn("salt", salt)
+    known = known.join(hot, "band", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("splits") - 1, F.lit(0)))))
     refs = refs.select("band", "salt", "hash", "key", "ref_table", "row_id", "ref_field", "created_us")
     known = known.select("band", "salt", "hash", "key", "since")
     return refs.groupBy("band", "salt").cogroup(known.groupBy("band", "salt")).applyInArrow(_probe, MISS)

@@ -73,6 +73,6 @@ def ref_key(c: Column | str) -> Column:
     return F.when(k != "", k)
 
 
-def blocks(rows: int, target: int, most: int = 1 << 16) -> int:
+def blocks(rows: int, target: int) -> int:
     """Power-of-two number of blocks so that one holds about `target` rows."""
-    return min(most, 1 << max(0, math.ceil(math.log2(max(1.0, rows / target)))))
+    return 1 << max(0, math.ceil(math.log2(max(1.0, rows / target))))

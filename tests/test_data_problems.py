@@ -73,7 +73,6 @@ def test_due_documents(spark):
         [("a", dt(2025, 1, 1, 0, 0, 0, 1999), True), ("b", T1, None), ("c", T1, False), ("D", T1, True), ("e", None, True), (None, T1, True), ("f", T2, True), ("f2", T1, True)],
         "id string, updated_at timestamp, vectorize boolean",
     )
-    ms = lambda t: int(t.timestamp() * 1000) if False else None  # noqa: E731, F841
     base, b = 1735689600001, 1736035200000
     a = spark.createDataFrame(
         [(1, "A ", base, "done"), (1, "A ", base, "done"), (2, "b", b, "done"), (1, "d", b, "error"), (1, "f", b, "done"), (None, "f2", b, "done"), (1, None, b, "done")],
@@ -86,23 +85,32 @@ def test_due_documents(spark):
 
 
 def test_incremental_runs_survive_crashes(spark, tmp_path):
-    mk = lambda rows: spark.createDataFrame(rows, "key string, version long, extra string")
+    mk = lambda rows: spark.createDataFrame(rows, "key string, version long, at long")
+    keys = lambda df: sorted((r["key"], r["version"]) for r in df.select("key", "version").distinct().collect())
     runs = incremental.IncrementalRuns(spark, str(tmp_path / "ledger"))
-    day1 = mk([("a", 10, ""), ("b", 20, ""), ("b", 20, "")])
-    todo = runs.pending(day1)
-    assert {r["key"] for r in todo.collect()} == {"a", "b"}
-    # a crash after writing and before the commit leaves nothing behind
-    todo.select("key", "version").write.parquet(str(tmp_path / "ledger/run=1"))
-    assert {r["key"] for r in runs.pending(day1).collect()} == {"a", "b"}
-    runs.commit(1, todo, oldest_open=15)
-    assert runs.pending(day1).count() == 0
-    # c was written by a transaction open at the last run, a changed, old was closed before
-    day2 = mk([("a", 30, ""), ("b", 20, ""), ("c", 16, ""), ("old", 5, "")])
-    assert {(r["key"], r["version"]) for r in runs.pending(day2).collect()} == {("a", 30), ("c", 16)}
+    day1 = mk([("a", 10, 10), ("b", 20, 20), ("b", 20, 20), (None, 1, 1), ("n", None, 1)])
+    todo = runs.pending(day1, "at")
+    assert keys(todo) == [("a", 10), ("b", 20)]
+    # a crash before the commit leaves nothing behind, an empty commit file is none
+    todo.select("key", "version").write.parquet(str(tmp_path / "ledger/done-1-crashed"))
+    (tmp_path / "ledger/1.commit").write_text("")
+    assert keys(runs.pending(day1, "at")) == [("a", 10), ("b", 20)]
+    # b failed in a run that committed: it is due again, though it arrived before the bound
+    runs.commit(1, todo.filter("key = 'a'"), oldest_open=25, taken=todo)
+    assert keys(runs.pending(day1, "at")) == [("b", 20)]
+    # c was written by a transaction open at the last run, a changed, late has an old version but arrived now
+    day2 = mk([("a", 30, 30), ("b", 20, 20), ("c", 16, 26), ("late", 5, 31), ("unknown", 3, None)])
+    assert keys(runs.pending(day2, "at")) == [("a", 30), ("b", 20), ("c", 16), ("late", 5), ("unknown", 3)] == keys(runs.pending(day2))
     with pytest.raises(ValueError):
         runs.commit(1, todo, 0)
-    runs.commit(2, runs.pending(day2), 40)
-    assert runs.pending(day2).count() == 0
+    # runs 2 and 3 read at once; 3 commits first
+    two = mk([(r["key"], r["version"], r["at"]) for r in runs.pending(day2, "at").collect()])
+    runs.commit(3, two.filter("key in ('a', 'c')"), 40, taken=two)
+    runs.commit(2, two.filter("key in ('late')"), 35, taken=two)
+    assert keys(runs.pending(day2, "at")) == [("b", 20), ("unknown", 3)]
+    # a commit that doesn't say what its run took: earlier bounds still hold
+    runs.commit(4, mk([("b", 20, 20)]), 90)
+    assert keys(runs.pending(day2, "at")) == [("unknown", 3)] and runs.pending(day2.limit(0), "at").count() == 0
 
 
 # ------------------------------------------------------------------ p4
