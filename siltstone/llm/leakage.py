@@ -1,8 +1,10 @@
 """Evaluation texts leaking into training text.
 
 Texts are reduced to their words (lower case, one blank between them, apostrophes dropped) without cue numbers, timings,
-settings, styling codes and bracketed sound descriptions. The evaluation items are cut into blocks of at most `BLOCK_CHARS` characters,
-so what one pass sends to its tasks is bounded however many items there are; each block is one pass over the corpus.
+settings, styling codes and bracketed sound descriptions; the cleaned corpus is written once. Items of more than `PART_WORDS` words are
+cut into parts that share `SHARED` words, more than the shortest passage that counts within any longer one. Parts fill blocks of about
+`BLOCK_CHARS` characters, so what is broadcast is bounded however many items there are and however long one is; each block is
+looked up in one pass over the cleaned words.
 
 Filter: every character q-gram of a document is looked up among the items' q-grams. Hits are counted in diagonal bands of
 BAND characters (document position minus item position) that overlap by half, so edits that shift a passage by up to
@@ -11,15 +13,17 @@ item has a least count of hits, and a least distance between the first and the l
 both are worked out exactly for each item. Of these regions the ones stay that hold all but three of 2 * PER item words in a row, as any
 true passage does, up to SHIFT words off the hits' distance, as damage may split or join words. What is left is verified: banded alignment of the item
 against the document tells for each item word whether it is exact, damaged (at most EDITS edits, and fewer than half of its
-letters) or lost, and a pair is reported if `WORDS` or more words in a row are not lost with at most one in `PER` damaged.
+letters, or signs that look alike confused) or lost, and a pair is reported if `WORDS` or more words in a row are not lost with at most
+one in `PER` damaged.
 
 Defined cases: null or empty texts and items give nothing; items of fewer than `WORDS` words can't leak; repeated documents are
-each reported; documents are read whole, very long ones in pieces that overlap by more than an item.
+each reported; documents are read whole, very long ones in pieces that overlap by more than a part; repeated items are each reported.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.subtitles import STYLE, unified
+from siltstone.runtime import cut
 
 Q, LEAST, BAND, WORDS, PER, EDITS, SHIFT = 16, 6, 32, 15, 8, 3, 3
-BLOCK_CHARS, PIECE_CHARS = 2_000_000, 400_000
+BLOCK_CHARS, PIECE_CHARS, PART_WORDS, SHARED = 2_000_000, 400_000, 512, 64
+#: Pairs of signs that character recognition takes for one.
+ALIKE = (("rn", "m"), ("vv", "w"), ("li", "h"), ("cl", "d"), ("0", "o"), ("1", "l"), ("5", "s"))
 _B = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(int(_B), -1, 1 << 64))
 
@@ -215,6 +222,29 @@ def _candidates(ix: ItemIndex, codes: np.ndarray, starts: np.ndarray, up: np.nda
     return pair // len(ix.ids), pair % len(ix.ids), (key % span) * half - ix.longest
 
 
+def parts_of(text: str) -> list[str]:
+    """A text of words in parts of at most PART_WORDS words that share SHARED."""
+    words = text.split(" ")
+    starts = range(0, max(1, len(words) - SHARED), PART_WORDS - SHARED)
+    return [" ".join(words[a : a + PART_WORDS]) for a in starts]
+
+
+def look(word: str) -> str:
+    """A word with signs that look alike made equal."""
+    for two, one in ALIKE:
+        word = word.replace(two, one)
+    return word
+
+
+def _token(lane: np.ndarray, a: int, b: int) -> str:
+    """The document's words that the characters [a, b) of a lane belong to."""
+    while a > 0 and lane[a - 1] not in (32, 10, 0):
+        a -= 1
+    while b < len(lane) and lane[b] not in (32, 10, 0):
+        b += 1
+    return lane[a:b].astype("<u4").tobytes().decode("utf-32-le", "replace")
+
+
 def word_states(items: list[np.ndarray], lanes: np.ndarray) -> list[np.ndarray]:
     """For each lane the states of its item's words: 0 exact, 1 damaged, 2 lost.
 
@@ -238,6 +268,7 @@ def word_states(items: list[np.ndarray], lanes: np.ndarray) -> list[np.ndarray]:
         moves[i] = np.where(run < best, 4, np.where(diag <= up, diag - cost, 2))
         cost = run
     edits = np.zeros((c, n + 1), np.int32)
+    place = np.zeros((c, n), np.int32)
     j = cost.argmin(axis=1)
     lane = np.arange(c)
     for i in range(n - 1, -1, -1):
@@ -247,14 +278,21 @@ def word_states(items: list[np.ndarray], lanes: np.ndarray) -> list[np.ndarray]:
             j = np.where(more, j - 1, j)
             m = moves[i, lane, j]
         edits[:, i + 1] += m > 0
+        place[:, i] = i + j
         j = np.where(m == 2, np.minimum(j + 1, w - 1), j)
     sums = np.cumsum(edits, axis=1)
     out = []
-    for own, s in zip(items, sums, strict=True):
+    for k, (own, s) in enumerate(zip(items, sums, strict=True)):
         blank = np.flatnonzero(own == 32)
         starts, ends = np.concatenate([[0], blank + 1]), np.concatenate([blank, [len(own)]])
         bad = s[ends] - s[np.maximum(starts - 1, 0)]  # a word takes the edits of the blank before it
-        out.append(np.where(bad == 0, 0, np.where((bad <= EDITS) & (2 * bad < np.maximum(ends - starts, 3)), 1, 2)))
+        state = np.where(bad == 0, 0, np.where((bad <= EDITS) & (2 * bad < np.maximum(ends - starts, 3)), 1, 2))
+        for x in np.flatnonzero((state == 2) & (bad <= EDITS)):  # short words: one sign read as two is two edits
+            a, b = starts[x], ends[x]
+            word = own[a:b].astype("<u4").tobytes().decode("utf-32-le", "replace")
+            if look(_token(lanes[k], place[k, a], place[k, b - 1] + 1)) == look(word):
+                state[x] = 1
+        out.append(state)
     return out
 
 
@@ -286,10 +324,12 @@ def _verified(ix: ItemIndex, codes: np.ndarray, starts: np.ndarray, ends: np.nda
     return found
 
 
-def _search(index: ItemIndex):
+def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up, down = _powers(2 * PIECE_CHARS + 2)
+        index: ItemIndex = shared.value
         overlap = index.longest + 2 * BAND
+        most = max(PIECE_CHARS, 4 * overlap)
+        up, down = _powers(2 * most + 2)
 
         def flush(ids: list, texts: list):
             codes = _codes("\n".join(texts))
@@ -301,10 +341,9 @@ def _search(index: ItemIndex):
         for batch in batches:
             out, ids, texts, size = set(), [], [], 0
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                step = PIECE_CHARS - overlap
-                for a in range(0, max(1, len(text) - overlap), step):
-                    piece = text[a : a + PIECE_CHARS]
-                    if size + len(piece) > PIECE_CHARS and texts:
+                for a in range(0, max(1, len(text) - overlap), most - overlap):
+                    piece = text[a : a + most]
+                    if size + len(piece) > most and texts:
                         out |= flush(ids, texts)
                         ids, texts, size = [], [], 0
                     ids.append(k)
@@ -319,17 +358,20 @@ def _search(index: ItemIndex):
 
 def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """Distinct (doc_id, item_id)."""
+    spark = documents.sparkSession
     rows = items.select(F.col(item).cast("long"), words_only(F.col("text"))).filter(F.col(item).isNotNull())
-    block, size, out = [], 0, None
     corpus = documents.select(F.col(key).cast("long").alias("doc_id"), words_only(F.col(text)).alias("words")).filter("doc_id is not null and words <> ''")
+    corpus = cut(corpus)
 
-    def add(out: DataFrame | None, block: list) -> DataFrame:
-        found = corpus.mapInArrow(_search(ItemIndex(block)), "doc_id long, item_id long")
-        return found if out is None else out.unionByName(found)
+    def found(block: list) -> DataFrame:
+        return corpus.mapInArrow(_search(spark.sparkContext.broadcast(ItemIndex(block))), "doc_id long, item_id long").distinct()
 
+    block, size, tables = [], 0, []
     for i, t in rows.toLocalIterator():  # one block of items at a time on the driver
-        if t and size + len(t) > BLOCK_CHARS and block:
-            out, block, size = add(out, block), [], 0
-        block.append((i, t))
-        size += len(t or "")
-    return add(out, block).distinct()
+        for part in parts_of(t) if t else []:
+            if size + len(part) > BLOCK_CHARS and block:
+                tables.append(cut(found(block)))
+                block, size = [], 0
+            block.append((i, part))
+            size += len(part)
+    return reduce(DataFrame.unionByName, tables, found(block)).distinct()

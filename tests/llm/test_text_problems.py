@@ -139,6 +139,33 @@ def test_leaks(spark):
     assert leakage.leaked_items(d, items.limit(0)).count() == 0 and leakage.leaked_items(d.limit(0), items).count() == 0
 
 
+def test_leaks_of_long_items_and_blocks(spark, monkeypatch):
+    """Items longer than a piece, and more items than a block holds, lose nothing."""
+    rng = random.Random(6)
+    monkeypatch.setattr(leakage, "PIECE_CHARS", 3000)
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 6000)
+    word = lambda: "".join(rng.choice("abdegiklnoprstuz") for _ in range(rng.randint(4, 9)))
+    long = [word() for _ in range(3000)]
+    short = [[word() for _ in range(30)] for _ in range(6)]
+    other = [word() for _ in range(4000)]
+    cuts = [0, 440, 500, 1234, 2985]
+    docs = [(k, " ".join(other[:50] + long[a : a + 15] + other[50:90])) for k, a in enumerate(cuts)]
+    docs += [(10 + k, " ".join(other + w[3:20] + other)) for k, w in enumerate(short)] + [(30, " ".join(other))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(long))] + [(2 + k, " ".join(w)) for k, w in enumerate(short)], "item_id long, text string")
+    got = {tuple(r) for r in leakage.leaked_items(d, items).collect()}
+    assert got == {(k, 1) for k in range(len(cuts))} | {(10 + k, 2 + k) for k in range(6)}
+
+
+def test_signs_that_look_alike(spark):
+    item = "the old man saw her walk down the long road with him and then came home again".split()
+    hurt = list(item)
+    hurt[4], hurt[11] = "lier", "hirn"
+    d = spark.createDataFrame([(1, " ".join(["start", *hurt[:16], "end"])), (2, " ".join([*item[:4], "cat", *item[5:16]]))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(item[:16]))], "item_id long, text string")
+    assert [tuple(r) for r in leakage.leaked_items(d, items).collect()] == [(1, 5)]
+
+
 # ------------------------------------------------------------------ p9
 def test_mixture(spark):
     rng = random.Random(5)
