@@ -4,9 +4,11 @@ A content becomes a set of (name, value) pairs, each reduced to its letters and
 without named fields is one pair without a name. Every pair is hashed and the hashes are added lane by lane (four lanes of
 32 bits in 64-bit sums): a commutative multiset hash, so the order of fields needs no sort. Records are grouped by the
 fingerprint with a combine before the shuffle, and only members of groups of two or more move again, to be compared
-with the group's smallest member by set difference. What differs there (a collision) is grouped anew by its exact fields.
+with the group's smallest member by set difference. What differs there (a collision) is compared with the smallest of what is left, until
+nothing is.
 
-A group may hold a third of all rows: members are salted over `SLICE` rows a slice, the representative is given to each slice.
+A group may hold a third of all rows: a group of more than `SLICE` rows is salted into as many slices as it needs, and its
+representative is given to each; other groups move once.
 
 Defined cases: null contents and contents without a letter or digit belong to no set; repeated rows of one id count once; repeated equal
 pairs in a record count once; one named line alone is text; broken JSON is text; nested JSON values compare as their
@@ -15,14 +17,12 @@ text; other columns of the table are ignored.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.runtime import cut
 
-SLICE = 200_000
+SLICE, MOST_SENT = 200_000, 100_000
 _FIELD = r"(?s)^[^:=;.!?\n]{1,40}[:=].*\S.*$"
 _PAIR = r"(?s)^[^:=;.!?\n]{1,40}=.*\S.*$"
 _FP = ["f1", "f2", "f3", "f4", "fn"]
@@ -82,21 +82,30 @@ def _base(documents: DataFrame, key: str, content: str) -> DataFrame:
 
 def duplicate_members(documents: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
     """(id, keep_id) for every member of a set of two or more, the kept one included."""
-    base = _base(documents, key, content)
-    groups = cut(base.groupBy(*_FP).agg(F.count("*").alias("n"), F.min("id").alias("keep")).filter("n > 1 and fn > 0"))
-    most = groups.agg(F.max("n")).first()[0] or 0
-    salts = min(256, math.ceil(most / SLICE)) or 1
-    spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    members = cut(base.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(spread, [*_FP, "salt"]).select("id", "keep", "salt", "fields", *_FP))
-    first = members.filter("id = keep").select(*_FP, F.col("fields").alias("kept")).dropDuplicates(_FP)
-    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # the texts are parsed once: what later steps read is the fingerprints with their fields
+    base = cut(_base(documents, key, content).filter("fn > 0"))
+    slices = F.ceil(F.count("*") / SLICE).cast("int").alias("slices")
+    groups = cut(base.groupBy(*_FP).agg(F.count("*").alias("n"), F.min("id").alias("keep"), slices).filter("n > 1"))
+    wide = groups.filter("slices > 1").select(*_FP, "slices")  # only these groups are spread, by their own size
+    each = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("salt")
+    few = wide.count()
+    if few:
+        salt = F.coalesce(F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"), F.lit(0)).alias("salt")
+        salted = base.join(F.broadcast(wide) if few <= MOST_SENT else wide, _FP, "left").select(*base.columns, salt)
+    else:
+        salted = base.select("*", F.lit(0).alias("salt"))
+    spread = groups.select(*_FP, "keep", "slices", each)
+    members = cut(salted.join(spread, [*_FP, "salt"]).select("id", "keep", "salt", "slices", "fields", *_FP))
+    first = members.filter("id = keep").select(*_FP, F.col("fields").alias("kept"), "slices").dropDuplicates(_FP).select(*_FP, "kept", each)
     same = (F.size("fields") == F.size("kept")) & (F.size(F.array_except("fields", "kept")) == 0)
-    checked = cut(members.join(first, [*_FP, "salt"]).select("id", "keep", same.alias("same"), F.when(~same, F.col("fields")).alias("fields")).distinct())
-    out = checked.filter("same").select("id", F.col("keep").alias("keep_id"))
-    if checked.filter("not same").limit(1).count():  # a collision of 128 bits: exact grouping of what is left
-        rest = checked.filter("not same").select("id", F.array_sort("fields").alias("exact"))
-        keep = rest.groupBy("exact").agg(F.count("*").alias("n"), F.min("id").alias("keep_id")).filter("n > 1")
-        out = out.unionByName(rest.join(keep, "exact").select("id", "keep_id"))
+    checked = cut(members.join(first, [*_FP, "salt"]).select("id", "keep", same.alias("same"), F.when(~same, F.col("fields")).alias("fields"), *_FP).distinct())
+    out, rest = checked.filter("same").select("id", F.col("keep").alias("keep_id")), checked.filter("not same").drop("same", "keep")
+    while rest.limit(1).count():  # a collision of 128 bits: the smallest of what is left represents the next set of each fingerprint
+        keep = rest.groupBy(*_FP).agg(F.min("id").alias("keep"))
+        kept = rest.join(keep, _FP).filter("id = keep").select(*_FP, "keep", F.col("fields").alias("kept")).dropDuplicates(_FP)
+        checked = cut(rest.join(kept, _FP).select(*rest.columns, "keep", same.alias("same")))
+        out = out.unionByName(checked.filter("same").select("id", F.col("keep").alias("keep_id")))
+        rest = checked.filter("not same").select(*rest.columns)
     sizes = out.groupBy("keep_id").agg(F.count("*").alias("n")).filter("n > 1")
     return out.join(sizes, "keep_id", "left_semi").select("id", "keep_id")
 

@@ -65,6 +65,14 @@ def test_duplicates(spark, monkeypatch):
     assert dedup.duplicate_pairs(df.limit(0)).count() == 0
 
 
+def test_duplicates_with_colliding_hashes(spark, monkeypatch):
+    real = dedup._fingerprint
+    monkeypatch.setattr(dedup, "_fingerprint", lambda df: real(df).withColumns({f: F.lit(0) if f != "fn" else F.least("fn", F.lit(1)) for f in dedup._FP}))
+    rows = [("a", "one two"), ("b", "One, two!"), ("c", "three"), ("d", "X: 1\nY: 2"), ("e", "y=2; x=1"), ("f", "THREE"), ("g", "alone"), ("h", "")]
+    got = {tuple(r) for r in dedup.duplicate_pairs(spark.createDataFrame(rows, "id string, content string")).collect()}
+    assert got == {("a", "b"), ("c", "f"), ("d", "e")}
+
+
 def test_records_with_cache(spark):
     import hashlib
 
