@@ -1,25 +1,28 @@
 """Mixing sources to target weights.
 
-Sizes are tokens of a public tokenizer over whole texts. A document with a listed source belongs to it; for one without, a
-classifier gives the posterior over the sources. It is a softmax regression on hashed words, fitted on at most
-`SAMPLE` labelled documents (those with the smallest hash of their key). Rates are found by projected
-gradient on the squared distance between expected domain totals and target totals, each gradient scaled by the document's size: so
-all documents of one source share one rate and enter as one sum, and only documents without a source are
-walked over, by one distributed sum an iteration; their rates follow from the gradients so far, no state is kept.
-Rates lie between 0 and the source's max_repeats, so a source too small for its share stays at its cap.
+Sizes are tokens of a public tokenizer over whole texts. A softmax regression on hashed tokens, fitted on at most `SAMPLE`
+labelled documents (those with the smallest hash of their key; a fifth of them is held out to measure it), gives every document a posterior over
+the sources. A document's own source weighs in as evidence that is right with `TRUST`, so a labelled document keeps to
+its source but for a trace, and one without a source is spread over those its text resembles.
 
-Rates become whole repeats by a hash threshold per source, set on a histogram of tokens over hash bins so that the source's total
-meets its rate to a bin's size; documents without a source are rounded by their own hash.
+Each document gets a rate r between 0 and the max_repeats of its likeliest source. The rates minimise the weighted squared distance between expected
+domain totals, the sum of r * tokens * posterior, and the targets, by projected gradient in the metric of the documents' sizes:
+there a step moves a document's rate by its posterior times the gaps, whatever its size. The step is one over the largest eigenvalue of the
+Hessian, which is one small matrix summed over all documents, so the distance falls at every step. A step is one distributed sum of as many numbers as there
+are sources; a document's rate follows from the gaps so far, so no state is kept or shuffled. The steps end when
+the totals move by less than `TOLERANCE` of the mixture; `converged` tells if that came within `STEPS`.
+
+Rates become whole repeats by the hash of the key against the rate's fraction; a histogram of these quotients per source sets the
+threshold so that the source's tokens meet its rates to a bin's size. A source too small for its share stays at its cap.
 
 Defined cases: null and empty texts have no tokens and are never chosen; sources that aren't listed have target 0; a listed source
-without documents stays at 0; repeated rows of one key are one document each; shares must not be negative and their sum above 0.
+without documents stays at 0; repeated rows of one key are one document each; shares must not be negative and their sum above 0;
+without labelled documents every posterior is even.
 """
 
 from __future__ import annotations
 
 import base64
-import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,8 @@ from siltstone.runtime import cut
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The byte-level BPE pre-splitting pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-DIMS, SAMPLE, STEPS, BINS = 2048, 4000, 25, 2048
-_WORD = re.compile(r"\w+|[^\w\s]")
+DIMS, SAMPLE, STEPS, BINS = 2048, 4000, 200, 2048
+TRUST, TOLERANCE = 0.999, 1e-5
 
 
 def load_encoding(path: str):
@@ -44,14 +47,9 @@ def load_encoding(path: str):
     return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _features(text: str) -> np.ndarray:
-    """Square roots of hashed word counts, of length 1."""
-    import zlib
-
-    x = np.zeros(DIMS, np.float32)
-    for w in _WORD.findall(text):
-        x[zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % DIMS] += 1
-    x = np.sqrt(x)
+def _features(ids: list[int]) -> np.ndarray:
+    """Square roots of hashed token counts, of length 1."""
+    x = np.sqrt(np.bincount(np.array(ids, np.int64) % DIMS, minlength=DIMS)).astype(np.float32)
     return x / max(1e-9, float(np.linalg.norm(x)))
 
 
@@ -69,52 +67,73 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 200, ra
     return w
 
 
-def _measure(path: str, sources: list[str], weights: np.ndarray | None):
-    """Tokens of each text, and the posterior where the source isn't known."""
+def posteriors(x: np.ndarray, weights: np.ndarray | None, label: np.ndarray, classes: int) -> np.ndarray:
+    """(rows, classes): the classifier's posterior with the label (-1: none) as evidence."""
+    p = np.full((len(label), classes), 1 / classes)
+    if weights is not None:
+        z = x @ weights[:-1] + weights[-1]
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+    if classes > 1:
+        has = np.flatnonzero(label >= 0)
+        seen = np.ones((len(label), classes))
+        seen[has] = (1 - TRUST) / (classes - 1)
+        seen[has, label[has]] = TRUST
+        p = (p + 1e-9) * seen
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def _measure(path: str, sources: list[str], shared):
+    """Tokens of each text, its domain and its posterior; the latter two null for sources that aren't listed and for empty texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, known = load_encoding(path), {s: i for i, s in enumerate(sources)}
+        enc, known, weights = load_encoding(path), {s: i for i, s in enumerate(sources)}, shared.value
         for b in batches:
-            keys, names = b.column(0), b.column(2).to_pylist()
-            tokens, domain, post = [], [], []
-            for text, name in zip(b.column(1).to_pylist(), names, strict=True):
-                tokens.append(len(enc.encode_ordinary(text)) if text else 0)
-                k, p = known.get(name, -1 if name is None else -2), None
-                if k == -1 and weights is not None and tokens[-1]:
-                    z = _features(text) @ weights[:-1] + weights[-1]
-                    p = np.exp(z - z.max())
-                    p = (p / p.sum()).tolist()
-                    k = int(np.argmax(p))
-                domain.append(k if k >= 0 else None)
-                post.append(p)
+            label = np.array([known.get(name, -1 if name is None else -2) for name in b.column(2).to_pylist()], np.int64)
+            ids = [enc.encode_ordinary(t) if t else [] for t in b.column(1).to_pylist()]
+            tokens = np.array([len(x) for x in ids], np.int64)
+            use = np.flatnonzero((label > -2) & (tokens > 0))
+            x = np.stack([_features(ids[k]) for k in use]) if len(use) else np.zeros((0, DIMS), np.float32)
+            post = posteriors(x, weights, label[use], len(sources))
+            domain, rows = [None] * len(label), [None] * len(label)
+            for k, p in zip(use, post, strict=True):
+                domain[k], rows[k] = int(label[k] if label[k] >= 0 else p.argmax()), p.tolist()
             yield pa.RecordBatch.from_arrays(
-                [keys, b.column(2), pa.array(tokens, pa.int64()), pa.array(domain, pa.int32()), pa.array(post, pa.list_(pa.float64()))], names=["key", "source", "tokens", "domain", "post"]
+                [b.column(0), b.column(2), pa.array(tokens), pa.array(domain, pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["key", "source", "tokens", "domain", "post"]
             )
 
     return run
 
 
-def _rates(post: np.ndarray, cap: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-    """Rates of documents after the gradients so far."""
+def _rates(post: np.ndarray, cap: np.ndarray, history: np.ndarray) -> np.ndarray:
+    """Rates of documents after the steps so far; history: (steps, classes)."""
     r = np.minimum(1.0, cap)
-    for g in history:
-        r = np.clip(r - post @ g, 0, cap)
+    for move in (post @ history.T).T:
+        r = np.clip(r - move, 0, cap)
     return r
 
 
-def _sums(caps: np.ndarray, history: list[np.ndarray], as_rows: bool):
+def _walk(caps: np.ndarray, shared, form: str):
+    """'sum': expected totals by domain; 'square': the sum of tokens * post * post'; 'rate': each document's rate."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(caps))
+        history = shared.value
+        total = np.zeros(len(caps) if form == "sum" else len(caps) ** 2)
         for b in batches:
             if not b.num_rows:
                 continue
-            post = np.array(b.column(2).to_pylist()).reshape(b.num_rows, -1)
+            post = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            n = b.column(1).to_numpy().astype(float)
+            if form == "square":
+                total += ((post * n[:, None]).T @ post).ravel()
+                continue
             r = _rates(post, caps[b.column(3).to_numpy()], history)
-            if as_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(r)], names=["key", "rate"])
-            total += (r * b.column(1).to_numpy()) @ post
-        if not as_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(caps)), pa.int32()), pa.array(total)], names=["k", "n"])
+            if form == "rate":
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), pa.array(r)], names=["key", "tokens", "post", "domain", "source", "rate"])
+            else:
+                total += (r * n) @ post
+        if form != "rate":
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["k", "n"])
 
     return run
 
@@ -134,26 +153,27 @@ class Mixture:
             raise ValueError("the target shares sum to 0")
         self.shares = share / share.sum()
         docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))
-        weights = self._classifier(docs)
-        self.sized = cut(docs.mapInArrow(_measure(tokenizer, self.sources, weights), f"key {docs.schema['key'].dataType.simpleString()}, source string, tokens long, domain int, post array<double>"))
-        self.spark, self._key = documents.sparkSession, key
-        known = self.sized.filter("post is null and domain is not null").groupBy("domain").agg(F.sum("tokens").alias("n")).collect()
+        self.spark, self._key, self._kind = documents.sparkSession, key, docs.schema["key"].dataType.simpleString()
+        self.accuracy = self.majority = None
+        weights = self.spark.sparkContext.broadcast(self._classifier(docs, tokenizer))
+        self.sized = cut(docs.mapInArrow(_measure(tokenizer, self.sources, weights), f"key {self._kind}, source string, tokens long, domain int, post array<double>"))
+        self.used = self.sized.filter("post is not null").select("key", "tokens", "post", "domain", "source")
+        known = self.sized.filter("source is not null and domain is not null").groupBy("domain").agg(F.sum("tokens").alias("n")).collect()  # a row a target source
         self.available = np.zeros(len(self.sources))
         for r in known:
             self.available[r["domain"]] = r["n"]
         self.total = total_tokens or self.sized.agg(F.sum("tokens")).first()[0] or 0
         self.goal = self.shares * self.total
-        self.unknown = self.sized.filter("post is not null").select("key", "tokens", "post", "domain")
         self._solve()
 
-    def _classifier(self, docs: DataFrame) -> np.ndarray | None:
+    def _classifier(self, docs: DataFrame, tokenizer: str) -> np.ndarray | None:
         labelled = docs.filter(F.col("source").isin(self.sources) & (F.col("text") != ""))
-        if not docs.filter("source is null and text <> ''").limit(1).count():
-            return None
 
         def blob(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            enc = load_encoding(tokenizer)
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_features(t).astype(np.float16).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["source", "x"])
+                x = [_features(enc.encode_ordinary(t)).astype(np.float16).tobytes() for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["source", "x"])
 
         chosen = labelled.select("key", F.xxhash64(F.lit(3), "key").alias("u")).orderBy("u", "key").limit(SAMPLE)  # bounded sample of labels
         got = labelled.join(F.broadcast(chosen), "key").select("source", "text").mapInArrow(blob, "source string, x binary").toPandas()
@@ -161,79 +181,85 @@ class Mixture:
             return None
         x = np.frombuffer(b"".join(got["x"]), np.float16).reshape(len(got), DIMS).astype(np.float32)
         y = np.array([self.sources.index(s) for s in got["source"]])
-        return fit_softmax(x, y, len(self.sources))
-
-    def _unknown_totals(self, history: list[np.ndarray]) -> np.ndarray:
-        parts = self.unknown.mapInArrow(_sums(self.caps, history, False), "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect()
-        out = np.zeros(len(self.sources))
-        for r in parts:
+        held = np.arange(len(y)) % 5 == 4
+        w = fit_softmax(x[~held], y[~held], len(self.sources))
+        if held.any():
+            self.accuracy = float(((x[held] @ w[:-1] + w[-1]).argmax(axis=1) == y[held]).mean())
+            self.majority = float((y[held] == np.bincount(y[~held]).argmax()).mean())
+        return w
+
+    def _sums(self, form: str, history: np.ndarray) -> np.ndarray:
+        """One distributed pass; a row a source (or pair of sources) comes back."""
+        walk = _walk(self.caps, self.spark.sparkContext.broadcast(history), form)
+        out = np.zeros(len(self.sources) ** (1 + (form == "square")))
+        for r in self.used.mapInArrow(walk, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect():
             out[r["k"]] = r["n"]
         return out
 
     def _solve(self) -> None:
-        scale = np.maximum(self.available, 1.0)
-        rate = np.minimum(1.0, self.caps)
-        self.history: list[np.ndarray] = []
-        self.iterations = []
-        some = self.unknown.limit(1).count() > 0
-        for _ in range(STEPS):
-            expected = rate * self.available + (self._unknown_totals(self.history) if some else 0)
-            gap = (expected - self.goal) / scale
-            # a source that its documents can't bring to its goal would push the others' posteriors for ever
-            gap = np.clip(0.8 * gap, -2, 2)
-            self.iterations.append(float(np.abs(expected - self.goal).sum() / max(1, self.total)))
-            moved = np.clip(rate - gap, 0, self.caps)
-            done = np.abs(moved - rate).max() < 1e-4
-            rate = moved
-            self.history.append(gap)
-            if done:
-                break
-        self.rate = rate
+        k = len(self.sources)
+        square = self._sums("square", np.zeros((0, k))).reshape(k, k)
+        weight = 1 / np.maximum(square.sum(axis=1), 1.0)  # of the squared gaps: a source counts by its own size
+        self.step = 1 / max(1e-12, float(np.linalg.eigvalsh(np.sqrt(weight)[:, None] * square * np.sqrt(weight)[None, :]).max()))
+        self.history, self.distances, self.converged = np.zeros((0, k)), [], False
+        before = None
+        while len(self.history) < STEPS and not self.converged:
+            expected = self._sums("sum", self.history)
+            gap = expected - self.goal
+            self.distances.append(float((weight * gap**2).sum()))
+            self.converged = before is not None and float(np.abs(expected - before).sum()) <= TOLERANCE * max(1, self.total)
+            before = expected
+            self.history = np.vstack([self.history, self.step * weight * gap])
+        self.expected = before
 
     def chosen(self) -> DataFrame:
-        """(key, source, post, domain, tokens, repeats) of the documents used; post only without a source."""
+        """(key, source, post, domain, tokens, rate, repeats) of the documents used."""
         names = F.array(*map(F.lit, self.sources))
-        u = F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(1 << 40)) / float(1 << 40)
-        known = self.sized.filter("post is null and domain is not null and tokens > 0").withColumn("u", u)
-        whole, part = np.floor(self.rate + 1e-9), np.maximum(0, self.rate - np.floor(self.rate + 1e-9))
-        bins = known.groupBy("domain", F.floor(F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("tokens").alias("n")).collect()  # sources x BINS rows at most
+        u = (F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(1 << 40)) + 1) / float(1 << 40)
+        walk = _walk(self.caps, self.spark.sparkContext.broadcast(self.history), "rate")
+        rated = cut(self.used.mapInArrow(walk, f"key {self._kind}, tokens long, post array<double>, domain int, source string, rate double"))
+        part = F.col("rate") - F.floor("rate")
+        rated = rated.withColumn("part", part).withColumn("v", F.when(part > 0, u / part))
+        width = 4.0 / BINS
+        bins = rated.filter("v < 4").groupBy("domain", F.floor(F.col("v") / width).cast("int").alias("bin")).agg(F.sum("tokens").alias("n")).collect()  # sources x BINS rows at most
+        want = np.zeros(len(self.sources))
+        for r in rated.groupBy("domain").agg(F.sum(F.col("tokens") * F.col("part")).alias("n")).collect():  # a row a source
+            want[r["domain"]] = r["n"]
         counts = np.zeros((len(self.sources), BINS))
         for r in bins:
             counts[r["domain"], r["bin"]] = r["n"]
         cut_at = []
         for k in range(len(self.sources)):
-            want, sums = part[k] * self.available[k], np.concatenate([[0], np.cumsum(counts[k])])
-            b = int(min(BINS, np.searchsorted(sums, want, side="right") - 1))
-            inner = (want - sums[b]) / counts[k][b] if b < BINS and counts[k][b] else 0.0
-            cut_at.append(min(1.0, (b + min(1.0, max(0.0, inner))) / BINS))
-        lit = lambda xs: F.element_at(F.array(*(F.lit(float(x)) for x in xs)), F.col("domain") + 1)
-        known = known.withColumn("repeats", lit(whole) + (F.col("u") < lit(cut_at)).cast("int"))
-        rated = self.unknown.mapInArrow(_sums(self.caps, self.history, True), f"key {self.sized.schema['key'].dataType.simpleString()}, rate double")
-        free = self.sized.filter("post is not null").join(rated.groupBy("key").agg(F.max("rate").alias("rate")), "key").withColumn("u", u)
-        free = free.withColumn("repeats", F.least(F.floor("rate") + (F.col("u") < F.col("rate") - F.floor("rate")).cast("int"), lit(self.caps)))
-        cols = ["key", "source", "post", F.element_at(names, F.col("domain") + 1).alias("domain"), "tokens", F.col("repeats").cast("int").alias("repeats")]
-        return known.select(*cols).unionByName(free.select(*cols)).filter("repeats > 0").withColumnRenamed("key", self._key)
+            sums = np.concatenate([[0], np.cumsum(counts[k])])
+            b = int(min(BINS, np.searchsorted(sums, want[k], side="right") - 1))
+            inner = (want[k] - sums[b]) / counts[k][b] if b < BINS and counts[k][b] else 0.0
+            cut_at.append((b + min(1.0, max(0.0, inner))) * width)
+        threshold = F.element_at(F.array(*(F.lit(float(x)) for x in cut_at)), F.col("domain") + 1)
+        repeats = F.floor("rate").cast("int") + F.coalesce(F.col("v") < threshold, F.lit(False)).cast("int")
+        out = rated.select("key", "source", "post", F.element_at(names, F.col("domain") + 1).alias("domain"), "tokens", "rate", repeats.alias("repeats"))
+        return out.filter("repeats > 0").withColumnRenamed("key", self._key)
 
     def mixture(self) -> DataFrame:
-        """chosen() without the posteriors."""
-        return self.chosen().drop("post")
+        """(key, source, domain, tokens, repeats) of the documents used."""
+        return self.chosen().drop("post", "rate")
 
     def report(self) -> DataFrame:
-        """One row a target source: its target and the share of the mixture's tokens reached.
+        """One row a target source: its target, the rate of its documents and the share of the mixture's tokens reached.
 
-        A document without a source counts to each source by its posterior, as in the fit; labelled_tokens leaves these out."""
+        A labelled document counts to its source; one without a source to each source by its posterior, and labelled_tokens leaves it out."""
         size = F.col("tokens") * F.col("repeats")
-        used = self.chosen().select("domain", "post", "repeats", size.alias("size"))
-        labelled = used.filter("post is null").groupBy(F.col("domain").alias("source")).agg(
+        used = self.chosen().select("domain", "source", "post", "repeats", size.alias("size"))
+        labelled = used.filter("source is not null").groupBy(F.col("domain").alias("source")).agg(
             F.count("*").alias("documents"), F.sum("size").alias("labelled_tokens"), F.max("repeats").alias("most_repeats")
         )
-        soft = used.filter("post is not null").select("size", F.posexplode("post").alias("k", "p")).groupBy("k").agg(F.sum(F.col("size") * F.col("p")).alias("soft"))
-        rows = [(k, s, float(a), int(c), int(n), float(r)) for k, (s, a, c, n, r) in enumerate(zip(self.sources, self.shares, self.caps, self.available, self.rate, strict=True))]
-        want = self.spark.createDataFrame(rows, "k int, source string, target_share double, max_repeats int, available_tokens long, rate double")
+        soft = used.filter("source is null").select("size", F.posexplode("post").alias("k", "p")).groupBy("k").agg(F.sum(F.col("size") * F.col("p")).alias("soft"))
+        rows = [(k, s, float(a), int(c), int(n), float(e)) for k, (s, a, c, n, e) in enumerate(zip(self.sources, self.shares, self.caps, self.available, self.expected, strict=True))]
+        want = self.spark.createDataFrame(rows, "k int, source string, target_share double, max_repeats int, available_tokens long, expected_tokens double")
         out = want.join(labelled, "source", "left").join(soft, "k", "left").fillna(0, ["documents", "labelled_tokens", "most_repeats", "soft"])
         whole = used.agg(F.sum("size").alias("whole"))
         got = F.col("labelled_tokens") + F.col("soft")
         return out.crossJoin(F.broadcast(whole)).select(  # one row
-            "source", "target_share", "max_repeats", "available_tokens", "rate", "documents", "labelled_tokens", "most_repeats",
+            "source", "target_share", "max_repeats", "available_tokens", F.round("expected_tokens", 3).alias("expected_tokens"), "documents", "labelled_tokens", "most_repeats",
             F.round(F.coalesce(F.try_divide(got, F.col("whole")), F.lit(0.0)), 6).alias("share_reached"), F.round(got / F.lit(float(max(1, self.total))), 6).alias("share_of_corpus"),
+            F.lit(self.converged).alias("converged"), F.lit(len(self.distances)).alias("steps"), F.lit(self.accuracy).cast("double").alias("classifier_accuracy"),
         )

@@ -191,7 +191,19 @@ def test_mixture(spark):
     assert all(1 <= r["repeats"] <= caps[r["domain"]] for r in used) and not {90_000, 90_001, 90_002} & {r["doc_id"] for r in used}
     got = {r["source"]: r for r in m.report().collect()}
     assert abs(got["a"]["share_of_corpus"] - 0.3) < 0.02 and abs(got["b"]["share_of_corpus"] - 0.4) < 0.02
-    assert got["c"]["rate"] == 2.0 and got["void"]["documents"] == 0
+    assert got["c"]["most_repeats"] == 2 and got["void"]["documents"] == 0 and m.converged
+    assert m.accuracy > 0.95 and all(a >= b for a, b in zip(m.distances, m.distances[1:], strict=False))
+    free = [r for r in m.chosen().filter("source is null").collect()]
+    assert free and all(abs(sum(r["post"]) - 1) < 1e-9 and max(r["post"]) < 0.9 for r in free)  # their words resemble no source
+    # plain projected gradient on all documents at once, many small steps
+    x = [r for r in m.sized.collect() if r["post"] is not None]
+    p, n, cap = np.array([r["post"] for r in x]), np.array([r["tokens"] for r in x], float), np.array([m.caps[r["domain"]] for r in x])
+    w = 1 / np.maximum((p * n[:, None]).T @ p.sum(axis=1), 1)
+    rate = np.minimum(1.0, cap)
+    for _ in range(3000):
+        rate = np.clip(rate - 0.3 * (p @ (w * ((rate * n) @ p - m.goal))), 0, cap)
+    assert np.abs((rate * n) @ p - m.expected).max() < 1e-3 * m.total
+    assert mixing.Mixture(df.filter("source is null"), targets).accuracy is None
     with pytest.raises(ValueError):
         mixing.Mixture(df, targets.limit(0))
 
