@@ -484,54 +484,139 @@ def _plain(t: str) -> str:
     return re.sub(r"[ \t]+", " ", "".join(keep)).strip()
 
 
-def clean(text: str, field: Field) -> str:
-    """Clean text: `#` before headings, `- ` or `n. ` before list items, `> ` before quotes, fences round code, ` | ` between cells, formulas as they are."""
-    found = label(text, field)
+_ENDS = re.compile(r"\\begin\{[^{}]*\}(?:\[[^\]]*\]|\{[^{}]*\})*|\\end\{[^{}]*\}")
+_SECTION = re.compile(r"\s*\\(title|part|chapter|(?:sub)*section|paragraph)\*?(?:\[[^\]]*\])?\{")
+_ITEM = re.compile(r"(\s*)(?:(\d{1,3})[.)]\s|([*+#-]+)\s|(\\item\b)(?:\[[^\]]*\])?)")
+_LISTS = ("ul", "ol", "dl", "itemize", "enumerate", "description")
+_APART = re.compile(r"\n[ \t]*\n|</?(?:p|div|section|article|header|footer|nav|h[1-6]|blockquote|table|ul|ol|dl|pre|hr)\b", re.I)
+
+
+def _head(b: Block, after: Block | None) -> tuple[int, str]:
+    """Level and text of a heading."""
+    t = b.text.strip()
+    if m := re.match(r"(#{1,6})\s+", t):
+        return len(m[1]), re.sub(r"\s+#+$", "", t[m.end() :])
+    if m := re.match(r"(={2,6})\s*(.*?)\s*={2,6}$", t):
+        return len(m[1]), m[2]
+    if m := _SECTION.match(t):
+        return {"title": 1, "part": 1, "chapter": 1, "paragraph": 4}.get(m[1], 1 + m[1].count("sub")), t
+    tag = next((n for n in reversed(b.ancestors) if n in _HEADS), "") or next(iter(re.findall(r"<(h[1-6])\b", t.lower())), "")
+    if tag:
+        return int(tag[1]), t
+    return 2 if after is not None and re.match(r"-{3,}\s*$", after.text.strip()) else 1, t
+
+
+def _item(b: Block, numbers: dict[int, int], fresh: bool) -> tuple[int, str, str]:
+    """Depth from 1, sign and text of a list item; numbers: the last number at each depth of ordered lists that carry none."""
+    t, m = b.text, _ITEM.match(b.text)
+    kinds = [n for n in b.ancestors if n in _LISTS]
+    if kinds:
+        depth, ordered = len(kinds), kinds[-1] in ("ol", "enumerate")
+        t = t[m.end() :] if m and m[4] else t
+    else:
+        wiki = m[3] if m and m[3] else ""
+        depth = max(len(wiki), 1) + (len(m[1].expandtabs(4)) // 2 if m else 0)
+        if m and m[2]:
+            return depth, f"{m[2]}. ", t[m.end() :]
+        ordered, t = wiki.endswith("#"), t[m.end() :] if m else t
+    for deeper in [d for d in numbers if fresh or d > depth]:
+        del numbers[deeper]
+    if not ordered:
+        return depth, "- ", t
+    numbers[depth] = numbers.get(depth, 0) + 1
+    return depth, f"{numbers[depth]}. ", t
+
+
+def _same_row(a: Block, b: Block, gap: str) -> bool:
+    cells = {"td", "th"}
+    return bool(cells & {*a.ancestors} and cells & {*b.ancestors} and not re.search(r"</?tr\b", gap, re.I)) or ("wikitable" in a.ancestors and "wikitable" in b.ancestors and not re.search(r"\n\s*\|[-}]", gap))
+
+
+def _numbered(text: str, found: list[tuple[Block, str]], k: int) -> bool:
+    """Whether a line with `#` is an item of a wiki list: its like stands on the next or the last line."""
+    if not re.match(r"#+\s", found[k][0].text):
+        return False
+    for a, b in ((k - 1, k), (k, k + 1)):
+        if a >= 0 and b < len(found) and text[found[a][0].end : found[b][0].start] == "\n" and all(re.match(r"[#*]+\s", found[j][0].text) for j in (a, b)):
+            return True
+    return False
+
+
+def clean(text: str, field: Field, found: list[tuple[Block, str]] | None = None) -> str:
+    """Clean text with its structure.
+
+    Headings begin with as many `#` as their level, list items with two blanks a depth and `- ` or `n. `, quotes with `> `; code
+    stands between fences with its indentation and blank lines, cells of a table row are joined by ` | `, formulas stay
+    as they are. One blank line stands between paragraphs and between parts of different kinds."""
+    found = label(text, field) if found is None else found
     if all(x == "O" for _, x in found):
         return text
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
     out: list[str] = []
-    code = False
-    for b, x in found:
-        t = b.text
-        if code and x != "CODE":
-            out.append("```")
-            code = False
-        if x == "O":
-            out.append(t.strip())
-        elif x == "CODE":
-            if re.match(r"\s*(?:```|~~~|\\(?:begin|end)\{)", t):
-                continue
-            t = html.unescape(re.sub(r"</?(?:pre|code)\b[^<>]*>", "", t))
-            if t.strip():
-                if not code:
-                    out.append("```")
-                    code = True
-                out.append(t.rstrip())
-        elif x == "DROP":
+    last: tuple[Block, str] | None = None
+    fence, numbers = "", {}
+    for k, (b, x) in enumerate(found):
+        t, kind = b.text, "TEXT" if x in ("O", "INLINE") else x
+        gap = text[last[0].end : b.start] if last else ""
+        if x == "HEAD" and _numbered(text, found, k):
+            kind = "LIST"
+        if x == "DROP":
             continue
+        if x == "CODE":
+            if m := re.match(r"\s*(?:```+|~~~+)\s*([\w+#-]*)", t):
+                fence = m[1]
+                continue
+            if re.match(r"\s*\\(?:begin|end)\{", t):
+                continue
+            t = html.unescape(re.sub(r"</?(?:pre|code)\b[^<>]*>", "", t)).rstrip()
         elif x == "FORMULA":
-            out.append(re.sub(r"\\(?:begin|end)\{[^{}]*\}", "", t).strip())
+            t = _ENDS.sub("", t).strip()
+            t = t if not t or re.match(r"\$|\\[\[(]", t) or re.search(r"\$$|\\[\])]$", t) else f"$${t}$$"
+        elif x == "O":
+            t = t.strip()
         else:
+            sign = ""
             if x == "TABLE":
-                if re.match(r"\s*(?:\{\||\|\}|\|-|\|?\s*:?-{2,})", t):
+                if re.match(r"\s*(?:\{\||\|\}|\|-|\|?\s*:?-{2,})", t) or re.match(r"\s*\\(?:begin|end|hline|toprule|midrule|bottomrule)\b", t):
+                    continue
+                t = re.sub(r"^\|\+", "", t.strip())
+                t = re.sub(r"\\\\\s*(?:\\hline)?\s*$", "", t)
+                parts = re.split(r"(?<!\\)&(?!\w{2,8};)" if "tabular" in b.ancestors else r"\||!!", t.strip("|!"))
+                t = " | ".join(c.strip() for c in parts if c.strip())
+            elif kind == "LIST":
+                if not _plain(_ENDS.sub("", t)):
                     continue
-                t = " | ".join(c.strip() for c in re.split(r"\||!!", t.strip().strip("|!")) if c.strip())
-            bullet = ""
-            if x == "LIST":
-                m = re.match(r"\s*(?:(\d{1,3})[.)]\s|[*+#-]+\s|\\item\b)", t)
-                t, bullet = (t[m.end() :], f"{m[1]}. " if m[1] else "- ") if m else (t, "- ")
-            if x == "HEAD":
-                if re.match(r"(?:={3,}|-{3,})\s*$", t):
+                depth, sign, t = _item(b, numbers, not (last and last[1] == "LIST"))
+                sign = "  " * (depth - 1) + sign
+            elif x == "HEAD":
+                if re.match(r"(?:={3,}|-{3,})\s*$", t.strip()):
                     continue
-                t, bullet = re.sub(r"^#{1,6}\s+|^={2,6}\s*|\s*={2,6}\s*$", "", t.strip()), "# "
-            if x == "QUOTE":
-                t, bullet = re.sub(r"^\s*>\s?", "", t), "> "
-            t = _plain(re.sub(r"\\(?:begin|end)\{[^{}]*\}", "", t))
-            if t:
-                out.append(bullet + t)
-    if code:
-        out.append("```")
-    return "\n".join(x for x in out if x)
+                level, t = _head(b, found[k + 1][0] if k + 1 < len(found) else None)
+                sign = "#" * level + " "
+            elif x == "QUOTE":
+                t, sign = re.sub(r"^\s*>\s?", "", t), "> "
+            t = _plain(_ENDS.sub("", t))
+            t = sign + t if t else ""
+        if not t.strip():
+            continue
+        if last is None:
+            glue = ""
+        elif kind != last[1] or kind == "HEAD":
+            glue = "\n\n"
+        elif kind == "CODE":
+            glue = "\n" * max(1, gap.count("\n"))
+        elif kind == "TABLE":
+            glue = " | " if _same_row(last[0], b, gap) else "\n"
+        else:
+            glue = "\n\n" if kind == "TEXT" and _APART.search(gap) else "\n"
+        if last and last[1] == "CODE" and kind != "CODE":
+            glue = "\n```" + glue
+        if kind == "CODE" and not (last and last[1] == "CODE"):
+            glue += f"```{fence}\n"
+            fence = ""
+        out.append(glue + t)
+        last = (b, kind)
+    return "".join(out) + ("\n```" if last and last[1] == "CODE" else "")
 
 
 def _run(with_text: bool, field: Field):
@@ -539,12 +624,13 @@ def _run(with_text: bool, field: Field):
         for b in batches:
             ids, kinds, texts = [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = sorted({x for _, x in label(t, field)} - {"O"})
+                found = label(t, field)
+                got = sorted({x for _, x in found} - {"O"})
                 if got:
                     ids.append(k)
                     kinds.append(",".join(got))
                     if with_text:
-                        texts.append(clean(t, field))
+                        texts.append(clean(t, field, found))
             cols = [pa.array(ids, pa.string()), pa.array(kinds, pa.string())] + ([pa.array(texts, pa.string())] if with_text else [])
             yield pa.RecordBatch.from_arrays(cols, names=["id", "kinds", "text"][: len(cols)])
 

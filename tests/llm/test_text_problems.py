@@ -46,13 +46,115 @@ def test_markup_held_out(field):
 
 def test_markup_clean(spark, field):
     text = "<h2>Head</h2>\n<p>Some <b>bold</b> &amp; plain.</p>\n\n- One\n- Two\n\n```\nn = 1\n```\n\nLast with $x_1$."
-    assert markup.clean(text, field) == "# Head\nSome bold & plain.\n- One\n- Two\n```\nn = 1\n```\nLast with $x_1$."
+    assert markup.clean(text, field) == "## Head\n\nSome bold & plain.\n\n- One\n- Two\n\n```\nn = 1\n```\n\nLast with $x_1$."
     rows = spark.createDataFrame([("a", text, 1), ("b", None, 1), ("c", "", 1), ("d", "plain " * 200_000, 1), (None, text, 1), ("e", "**x** " + "y " * 100_000, 1)], "id string, content string, text int")
     got = {r["id"]: r for r in markup.markup_documents(rows, with_text=True).collect()}
     assert set(got) == {"a", "e"} and "HEAD" in got["a"]["kinds"] and "**" not in got["e"]["text"]
     assert markup.markup_documents(rows.limit(0)).count() == 0
 
 
+#: The same page in four notations; pages of other words and other forms than the ones the field is trained on.
+def _page(rng):
+    w = lambda lo, hi: " ".join(rng.choice("amber bishop cobalt dune ember fjord gravel harvest ivory jasper kelp lagoon marble nectar opal prairie quartz river summit tundra".split()) for _ in range(rng.randint(lo, hi)))
+    parts = [("head", rng.randint(2, 4), w(1, 4).title())]
+    for kind in rng.sample(["para", "para", "list", "code", "table", "formula", "quote", "head"], 5):
+        if kind == "head":
+            parts.append(("head", rng.randint(2, 4), w(1, 4).title()))
+        elif kind == "list":
+            parts.append(("list", rng.random() < 0.5, [(1, w(2, 6)), (2, w(2, 6)), (1, w(2, 6))]))
+        elif kind == "code":
+            parts.append(("code", ["total = 0", "", "    total += 1", "print(total)"]))
+        elif kind == "table":
+            parts.append(("table", [[w(1, 2) for _ in range(3)] for _ in range(3)]))
+        elif kind == "formula":
+            parts.append(("formula", "E_{k} = m c^{2}"))
+        else:
+            parts.append((kind, w(8, 20).capitalize() + "."))
+    return parts
+
+
+def _items(items, ordered, item):
+    """Lines of a list by item(depth, number or None, text)."""
+    count, out = {}, []
+    for depth, text in items:
+        count = {d: n for d, n in count.items() if d <= depth}
+        count[depth] = count.get(depth, 0) + 1
+        out.append(item(depth, count[depth] if ordered else None, text))
+    return out
+
+
+def _clean_form(parts):
+    out = []
+    for kind, *x in parts:
+        if kind == "head":
+            out.append("#" * x[0] + " " + x[1])
+        elif kind == "list":
+            out.append("\n".join(_items(x[1], x[0], lambda d, n, t: "  " * (d - 1) + (f"{n}. " if n else "- ") + t)))
+        elif kind == "code":
+            out.append("```\n" + "\n".join(x[0]) + "\n```")
+        elif kind == "table":
+            out.append("\n".join(" | ".join(r) for r in x[0]))
+        else:
+            out.append({"formula": "$${}$$", "quote": "> {}", "para": "{}"}[kind].format(x[0]))
+    return "\n\n".join(out)
+
+
+def _rendered(parts, form):
+    out = []
+    for kind, *x in parts:
+        if kind == "head":
+            out.append({"html": f"<h{x[0]}>{x[1]}</h{x[0]}>", "md": "#" * x[0] + " " + x[1], "wiki": f"{'=' * x[0]} {x[1]} {'=' * x[0]}", "tex": "\\" + "sub" * (x[0] - 1) + f"section{{{x[1]}}}"}[form])
+        elif kind == "list":
+            if form == "md":
+                out.append("\n".join(_items(x[1], x[0], lambda d, n, t: "  " * (d - 1) + (f"{n}. " if n else "- ") + t)))
+            elif form == "wiki":
+                out.append("\n".join(("#" if x[0] else "*") * d + " " + t for d, t in x[1]))
+            else:
+                tag = ("ol" if x[0] else "ul") if form == "html" else ("enumerate" if x[0] else "itemize")
+                a, b = (f"<{tag}>", f"</{tag}>") if form == "html" else (f"\\begin{{{tag}}}", f"\\end{{{tag}}}")
+                one = (lambda t: f"<li>{t}</li>") if form == "html" else (lambda t: f"\\item {t}")
+                lines, at = [a], 1
+                for d, t in x[1]:
+                    lines += [a] * (d - at) + [b] * (at - d) + [one(t)]
+                    at = d
+                out.append("\n".join(lines + [b] * at))
+        elif kind == "code":
+            body = "\n".join(x[0])
+            out.append({"html": f"<pre>{body}</pre>", "md": f"```\n{body}\n```", "wiki": f"<pre>\n{body}\n</pre>", "tex": f"\\begin{{verbatim}}\n{body}\n\\end{{verbatim}}"}[form])
+        elif kind == "table":
+            rows = x[0]
+            out.append(
+                {
+                    "html": "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>",
+                    "md": "\n".join(["| " + " | ".join(rows[0]) + " |", "|" + "---|" * len(rows[0])] + ["| " + " | ".join(r) + " |" for r in rows[1:]]),
+                    "wiki": "{|\n" + "\n|-\n".join("| " + " || ".join(r) for r in rows) + "\n|}",
+                    "tex": "\\begin{tabular}{lll}\n" + " \\\\\n".join(" & ".join(r) for r in rows) + " \\\\\n\\end{tabular}",
+                }[form]
+            )
+        else:
+            t = x[0]
+            out.append({"formula": {"html": "<p>$$" + t + "$$</p>", "md": "$$" + t + "$$", "wiki": "$$" + t + "$$", "tex": "\\begin{equation}\n" + t + "\n\\end{equation}"}, "quote": {"html": f"<blockquote>{t}</blockquote>", "md": "> " + t, "wiki": f"<blockquote>{t}</blockquote>", "tex": f"\\begin{{quote}}\n{t}\n\\end{{quote}}"}, "para": {"html": f"<p>{t}</p>"} | dict.fromkeys(("md", "wiki", "tex"), t)}[kind][form])
+    return "\n\n".join(out)
+
+
+def test_markup_clean_keeps_structure(field):
+    """Clean text of unseen pages against the text they were made from, by lines."""
+    import difflib
+
+    rng = random.Random(9)
+    score = {}
+    for form in ("html", "md", "wiki", "tex"):
+        right = total = 0
+        for _ in range(40):
+            parts = _page(rng)
+            want, got = _clean_form(parts), markup.clean(_rendered(parts, form), field)
+            a, b = want.split("\n"), got.split("\n")
+            right += 2 * sum(m.size for m in difflib.SequenceMatcher(None, a, b, False).get_matching_blocks())
+            total += len(a) + len(b)
+        score[form] = right / total
+    assert min(score.values()) > 0.95, score
+
+
 # ------------------------------------------------------------------ p5
 def test_duplicates(spark, monkeypatch):
     monkeypatch.setattr(dedup, "SLICE", 3)
