@@ -4,16 +4,24 @@ Without `min_sim` every vector is compared with every other: blocks of at most a
 32-bit matrix product a batch; what reaches a row's k-th best so far is compared again in 64 bits. The cost is
 quadratic in the number of distinct vectors, with no loss.
 
-With `min_sim` each tree gives a vector a string of `BITS` random-hyperplane signs. A tree is one sorted array of strings, spread over
-partitions by range of (tree, string, vector hash), so equal strings of a dense cluster split too. A row's neighbours in the array
-are its longest-prefix matches: going outwards the shared prefix only gets shorter, and all trees go outwards
-in step until each has offered `WINDOW` rows on either side, compared by one matrix product over 8-bit copies.
-A row whose outer half of that window still holds a row within `NEAR` of min_sim lies in a cluster denser than the window:
-its ascent isn't over, and it is compared with every other vector as above. The rest keep all their candidates, which are
-compared exactly on the full vectors.
+With `min_sim` each of `TREES` trees gives a vector a string of `BITS` random-hyperplane signs and keeps the strings as sorted arrays. A
+search descends every tree to the longest prefix it shares with others and then ascends all trees in step, one bit at a time, until the rows under
+its prefixes are `ENOUGH` together; these are its candidates. Here every row is a query, so both ways are one pass each over the arrays:
+
+1. Down: a tree's array is cut into units of about `UNIT` rows between prefixes of `HEAD` bits, whose counts every task knows (at most
+   TREES * 2^HEAD numbers); a prefix with more rows is cut by further bits. Runs of equal prefixes in a unit's sorted array give how many rows share
+   each length with a row, up to `LEVELS` lengths; these profiles are summed over the trees.
+2. Up: the longest length at which a row's sum reaches `ENOUGH` is where its ascent ends, in all trees alike. The row goes to every unit
+   its prefix of that length touches, so no bound between units hides a neighbour, and is compared with the rows under the prefix, found by binary
+   search, in one matrix product a prefix over 8-bit copies.
+
+A row whose ascent ends on more than `DENSE` times `ENOUGH` rows lies in a cluster that its strings can't tell apart, and a unit that stays above
+4 * UNIT rows is one. A row that meets more than a `CROWD`th of a tree's share of `ENOUGH` within `NEAR` of min_sim has its ascent end inside a
+cluster, among candidates of which others may be nearer. Such rows are compared with every other vector as above. The rest keep all their candidates, which are compared
+exactly on the full vectors.
 
 Equal vectors are one class: they collapse to one row a batch before the shuffle, and the result is expanded from the
-smallest ids of the class, so a class that holds a third of all rows costs its number of rows and no more.
+smallest ids of the class, large classes in slices, so a class that holds a third of all rows costs its number of rows and no more.
 Recall against brute force: see the README and tests.
 
 Defined cases: vectors that are null, of another length, not finite or all zero are no part of the search; similarity is
@@ -32,8 +40,10 @@ from pyspark.sql import functions as F
 
 from siltstone.runtime import cut
 
-TREES, BITS, WINDOW, SLACK, NEAR = 10, 60, 64, 0.01, 0.15
-ROWS_A_PARTITION, ROWS_A_BLOCK, BLOCKS = 150_000, 131_072, 4
+TREES, BITS, HEAD, LEVELS, SLACK = 8, 60, 16, 15, 0.01
+ENOUGH, DENSE, UNIT, SLICE, CROWD, NEAR = 1280, 16, 100_000, 200_000, 6, 0.15
+ROWS_A_BLOCK, BLOCKS = 131_072, 4
+LANE = 21  # bits of a count; three counts in a long, each at most 2^17 a tree
 MARGIN = 1e-5  # more than a 32-bit product of unit vectors errs
 
 
@@ -69,41 +79,165 @@ def _plant(dims: int, trees: int, bits: int, seed: int):
             unit = _matrix(b.column(1), dims)[one]
             small = np.rint(unit * (127 / np.abs(unit).max(axis=1, keepdims=True))).astype(np.int8)
             blob = pa.Array.from_buffers(pa.binary(dims), len(one), [None, pa.py_buffer(small.tobytes())]).cast(pa.binary())
-            codes = hash_strings(unit, trees, bits, seed)
-            for t in range(trees):
+            codes = pa.ListArray.from_arrays(pa.array(np.arange(0, len(one) * trees + 1, trees), pa.int32()), pa.array(hash_strings(unit, trees, bits, seed).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(key[one]), codes, blob], names=["key", "codes", "small"])
+
+    return run
+
+
+class Units:
+    """How the trees' arrays are cut: counts of the prefixes of HEAD bits, and the units between them."""
+
+    def __init__(self, counts: np.ndarray, bits: int, unit: int):
+        self.counts, self.bits = counts, bits  # (trees, 2^HEAD)
+        self.sums = np.concatenate([np.zeros((len(counts), 1), np.int64), np.cumsum(counts, axis=1)], axis=1)
+        extra = np.ceil(np.log2(np.maximum(1, counts / unit))).astype(np.int64)
+        self.extra = np.minimum(extra, bits - HEAD)  # further bits by which a full prefix is cut
+        size = np.where(self.extra > 0, unit, counts)
+        number = np.zeros_like(counts)
+        at = 0
+        for t in range(len(counts)):  # consecutive small prefixes share a unit, a full one has its own
+            sums, full = np.cumsum(size[t]), self.extra[t] > 0
+            group = sums // unit + 2 * np.cumsum(full) - full
+            number[t] = at + np.unique(group, return_inverse=True)[1]
+            at = int(number[t].max()) + 1
+        self.number = number
+
+    def unit(self, tree: np.ndarray | int, code: np.ndarray) -> np.ndarray:
+        """Number of each code's unit; further bits stand above bit 32."""
+        head = code >> (self.bits - HEAD)
+        extra = self.extra[tree, head]
+        return self.number[tree, head] + (((code >> (self.bits - HEAD - extra)) & ((1 << extra) - 1)) << 32)
+
+    def rows(self, tree: int, code: np.ndarray, level: int) -> np.ndarray:
+        """Rows that share the first `level` <= HEAD bits with each code."""
+        low = code >> (self.bits - level) << (HEAD - level)
+        return self.sums[tree, low + (1 << (HEAD - level))] - self.sums[tree, low]
+
+    def beyond(self, tree: int, code: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """Places of the codes whose first `level` bits hold rows of several units; a level below 0 asks for nothing."""
+        head = code >> (self.bits - HEAD)
+        wide = np.clip(HEAD - level, 0, HEAD)
+        low = head >> wide << wide
+        apart = self.number[tree, low] != self.number[tree, low + (1 << wide) - 1]
+        return np.flatnonzero((level >= 0) & (apart | (level < HEAD + self.extra[tree, head]) & (self.extra[tree, head] > 0)))
+
+    def touched(self, tree: int, code: int, level: int) -> np.ndarray:
+        """Units that hold rows under the first `level` bits of a code."""
+        head = code >> (self.bits - HEAD)
+        if level >= HEAD + self.extra[tree, head]:
+            return self.unit(np.array([tree]), np.array([code]))
+        if level < HEAD:
+            low = code >> (self.bits - level) << (HEAD - level)
+            heads = np.arange(low, low + (1 << (HEAD - level)))
+            heads = heads[self.counts[tree, heads] > 0]
+            plain = np.unique(self.number[tree, heads[self.extra[tree, heads] == 0]])
+            full = [self.number[tree, h] + (np.arange(1 << self.extra[tree, h]) << 32) for h in heads[self.extra[tree, heads] > 0]]
+            return np.concatenate([plain, *full])
+        extra, more = int(self.extra[tree, head]), level - HEAD
+        low = ((code >> (self.bits - level)) & ((1 << more) - 1)) << (extra - more)
+        return self.number[tree, head] + (np.arange(low, low + (1 << (extra - more))) << 32)
+
+
+def _descend(shared, first: int):
+    """Profiles of the rows of one unit: how many rows of the tree share each length with a row, three lengths in a long."""
+
+    def run(table: pa.Table) -> pa.Table:
+        units: Units = shared.value
+        tree, code, key = (table[c].to_numpy() for c in ("tree", "code", "key"))
+        order = np.lexsort((key, code))
+        order = order[np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(code[order]) != 0)])]
+        code, key, t = code[order], key[order], int(tree[0])
+        most = (1 << LANE) // (2 * len(units.counts))
+        lanes = [np.zeros(len(code), np.int64) for _ in range(-(-LEVELS // 3))]
+        for k in range(LEVELS):
+            level = first + k
+            if level <= HEAD:
+                n = units.rows(t, code, level)
+            else:
+                head = code >> (units.bits - level)
+                start = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+                run_of = np.diff(np.concatenate([start, [len(code)]]))
+                n = np.repeat(run_of, run_of)
+                cut_off = level < HEAD + units.extra[t, code >> (units.bits - HEAD)]
+                n = np.where(cut_off, most, n)  # a full prefix that several units share
+            lanes[k // 3] += np.minimum(n, most) << (LANE * (k % 3))
+        return pa.table([pa.array(key), *map(pa.array, lanes)], names=["key", *(f"c{i}" for i in range(len(lanes)))])
+
+    return run
+
+
+def _spread(shared, keep_small: bool):
+    """Rows of the trees by unit; with small copies also a visit to every other unit that a row's prefix touches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units: Units = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column(0).to_numpy()
+            codes = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+            for t in range(codes.shape[1]):
+                code = codes[:, t]
+                unit = units.unit(np.full(len(code), t), code)
+                tree = np.full(len(code), t, np.int32)
+                if not keep_small:
+                    yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(tree), pa.array(code), pa.array(key)], names=["unit", "tree", "code", "key"])
+                    continue
+                level = b.column(3).to_numpy()
+                who, where = [np.arange(len(code))], [unit]
+                for i in units.beyond(t, code, level):
+                    other = units.touched(t, int(code[i]), int(level[i]))
+                    other = other[other != unit[i]]
+                    who.append(np.full(len(other), i))
+                    where.append(other)
+                who, at = np.concatenate(who), np.concatenate(where)
+                home = np.arange(len(who)) < len(code)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(one), t, np.int32)), pa.array(codes[:, t]), pa.array(key[one]), blob], names=["tree", "code", "key", "small"]
+                    [pa.array(at), pa.array(tree[who]), pa.array(code[who]), pa.array(key[who]), b.column(2).take(pa.array(who)), pa.array(level[who]), pa.array(home)],
+                    names=["unit", "tree", "code", "key", "small", "level", "home"],
                 )
 
     return run
 
 
-def _ascend(dims: int, window: int, least: float):
-    """Pairs of each row and its similar neighbours in the sorted arrays of one partition; a row in a dense cluster comes with itself instead."""
+def _ascend(dims: int, bits: int, trees: int, least: float):
+    """Similar pairs of one unit: each row and the unit's rows under its prefix; a row in a crowd comes with itself too."""
+    crowd = max(1, ENOUGH // (trees * CROWD))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches([b for b in batches if b.num_rows] or [_EMPTY])
-        tree, code, key = (rows[c].to_numpy() for c in ("tree", "code", "key"))
-        if not len(tree):
-            return
-        blob = rows["small"].combine_chunks()
-        small = np.frombuffer(blob.buffers()[2], np.int8, count=len(tree) * dims, offset=blob.offset * dims).reshape(-1, dims)
-        order = np.lexsort((key, code, tree))
-        order = order[np.concatenate([[True], (np.diff(tree[order]) != 0) | (np.diff(key[order]) != 0)])]
-        tree, key, unit = tree[order], key[order], small[order].astype(np.float32)
+    def run(table: pa.Table) -> pa.Table:
+        code, key, level, home = (table[c].to_numpy(zero_copy_only=False) for c in ("code", "key", "level", "home"))
+        blob = table["small"].combine_chunks()
+        blob = blob.chunk(0) if isinstance(blob, pa.ChunkedArray) else blob
+        unit = np.frombuffer(blob.buffers()[2], np.int8, count=len(code) * dims, offset=blob.offset * dims).reshape(-1, dims)
+        order = np.lexsort((key, code, ~home))
+        order = order[np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(home[order].astype(np.int8)) != 0)])]
+        code, key, level, home, unit = code[order], key[order], level[order], home[order], unit[order].astype(np.float32)
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        size = 4 * window
-        for a in range(0, len(tree), size):
-            b, lo, hi = min(a + size, len(tree)), max(0, a - window), min(len(tree), a + size + window)
-            sim = unit[a:b] @ unit[lo:hi].T
-            far = np.abs(np.arange(a, b)[:, None] - np.arange(lo, hi)[None, :])
-            sim[(far == 0) | (far > window) | (tree[a:b, None] != tree[None, lo:hi])] = -2
-            dense = ((sim >= least - NEAR) & (far > window // 2)).any(axis=1)
-            r, c = np.nonzero((sim >= least) & ~dense[:, None])
-            own = key[a:b][dense]
-            one, two = np.concatenate([key[r + a], own]), np.concatenate([key[c + lo], own])
-            if len(one):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+        here = int(home.sum())
+        ask = np.flatnonzero(level >= 0)
+        shift = bits - level[ask]
+        low = code[ask] >> shift << shift
+        lo = np.searchsorted(code[:here], low, "left")
+        hi = np.searchsorted(code[:here], low + ((np.int64(1) << shift) - 1), "right")
+        by = np.lexsort((hi, lo))
+        ask, lo, hi = ask[by], lo[by], hi[by]
+        heads = np.flatnonzero(np.concatenate([[True], (np.diff(lo) != 0) | (np.diff(hi) != 0)])) if len(ask) else np.zeros(0, int)
+        ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, z in zip(heads, [*heads[1:], len(ask)], strict=True):
+            rows = unit[lo[a] : hi[a]].T
+            for c in range(a, z, 4096):
+                mine = ask[c : min(z, c + 4096)]
+                sim = unit[mine] @ rows
+                full = key[mine[(sim >= least - NEAR).sum(axis=1) > crowd + 1]]  # itself stands among them
+                ones.append(full)
+                twos.append(full)
+                r, col = np.nonzero(sim >= least)
+                x, y = key[mine[r]], key[lo[a] + col]
+                ones.append(np.minimum(x, y)[x != y])
+                twos.append(np.maximum(x, y)[x != y])
+        both = np.unique(np.stack([np.concatenate(ones), np.concatenate(twos)], axis=1), axis=0)
+        return pa.table([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     return run
 
@@ -174,11 +308,6 @@ class _Best:
         return pa.RecordBatch.from_arrays([pa.array(self.key[self.row]), pa.array(self.to), pa.array(self.sim)], names=["key", "to", "sim"])
 
 
-_EMPTY = pa.RecordBatch.from_arrays(
-    [pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["tree", "code", "key", "small"]
-)
-
-
 def _exact(dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,12 +325,42 @@ def _vectors(documents: DataFrame, key: str, vector: str, dims: int) -> DataFram
     return usable_rows.select(F.col(key).alias("id"), v.alias("v")).withColumn("key", F.xxhash64("v"))
 
 
-def candidate_pairs(rows: DataFrame, n: int, dims: int, trees: int, min_sim: float, window: int = WINDOW, seed: int = 20) -> DataFrame:
-    """Distinct (a, b), a < b: classes that some tree brings together; a = b: a class in a cluster denser than the window."""
-    planted = rows.select("key", "v").mapInArrow(_plant(dims, trees, BITS, seed), "tree int, code long, key long, small binary")
-    parts = max(trees, math.ceil(n * trees / ROWS_A_PARTITION))
-    spread = planted.repartitionByRange(parts, "tree", "code", "key")
-    return spread.mapInArrow(_ascend(dims, window, min_sim - SLACK), "a long, b long").distinct()
+def ascents(planted: DataFrame, shared, n: int, trees: int) -> DataFrame:
+    """(key, level, rows): where each class's ascent ends, and how many rows of all trees lie under its prefixes there."""
+    first = max(1, min(BITS - LEVELS, round(math.log2(max(2, n * trees / ENOUGH))) - 5))
+    lanes = [f"c{i}" for i in range(-(-LEVELS // 3))]
+    spread = planted.select("key", "codes").mapInArrow(_spread(shared, False), "unit long, tree int, code long, key long")
+    profiles = spread.groupBy("unit").applyInArrow(_descend(shared, first), "key long, " + ", ".join(f"{c} long" for c in lanes))
+    sums = profiles.groupBy("key").agg(*(F.sum(c).alias(c) for c in lanes))
+    count = [F.shiftright(lanes[k // 3], LANE * (k % 3)).bitwiseAND(F.lit((1 << LANE) - 1)) for k in range(LEVELS)]
+    level, rows = F.lit(first), count[0]  # where even the shortest prefixes hold fewer, they are all there is
+    for k in range(1, LEVELS):
+        level, rows = F.when(count[k] >= ENOUGH, first + k).otherwise(level), F.when(count[k] >= ENOUGH, count[k]).otherwise(rows)
+    return sums.select("key", level.cast("int").alias("level"), rows.alias("rows"))
+
+
+def candidate_pairs(rows: DataFrame, dims: int, trees: int, min_sim: float, seed: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(a, b), a < b: distinct classes that some tree brings together; (key): classes to be compared with all others."""
+    planted = cut(rows.select("key", "v").mapInArrow(_plant(dims, trees, BITS, seed), "key long, codes array<long>, small binary"))
+    heads = planted.select(F.posexplode("codes").alias("tree", "code")).groupBy("tree", F.shiftright("code", BITS - HEAD).alias("head")).agg(F.count("*").alias("n"))
+    counts = np.zeros((trees, 1 << HEAD), np.int64)
+    got = heads.toPandas()  # at most TREES * 2^HEAD rows
+    counts[got["tree"].to_numpy(np.int64), got["head"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(Units(counts, BITS, UNIT))
+    ends = ascents(planted, shared, int(counts[0].sum()), trees)
+    # units that further bits don't part
+    full = planted.select("key", "codes").mapInArrow(_spread(shared, False), "unit long, tree int, code long, key long").groupBy("unit").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * UNIT) if (counts > UNIT).any() else None
+    ends = cut(ends.select("key", F.when(F.col("rows") <= DENSE * ENOUGH, F.col("level")).otherwise(-1).alias("level")))
+    dense = ends.filter("level < 0").select("key")
+    spread = planted.join(ends, "key").select("key", "codes", "small", "level").mapInArrow(_spread(shared, True), "unit long, tree int, code long, key long, small binary, level int, home boolean")
+    if full is not None:
+        full = cut(full)
+        if full.limit(1).count():
+            lost = planted.select("key", "codes").mapInArrow(_spread(shared, False), "unit long, tree int, code long, key long").join(full, "unit", "left_semi").select("key")
+            dense = dense.unionByName(lost).distinct()
+            spread = spread.join(full, "unit", "left_anti")
+    pairs = cut(spread.groupBy("unit").applyInArrow(_ascend(dims, BITS, trees, min_sim - SLACK), "a long, b long").distinct())
+    return pairs.filter("a < b"), cut(dense.unionByName(pairs.filter("a = b").select(F.col("a").alias("key"))).distinct())
 
 
 def exact_lists(some: DataFrame, every: DataFrame, n: int, dims: int, k: int) -> DataFrame:
@@ -224,27 +383,26 @@ def nearest(documents: DataFrame, k: int = 5, dims: int = 64, min_sim: float | N
         one = cut(one)
         both = exact_lists(one, one, one.count(), dims, k)
     else:
-        pairs = cut(candidate_pairs(rows, documents.count(), dims, trees, min_sim))
+        pairs, dense = candidate_pairs(rows, dims, trees, min_sim)
         near = (
-            pairs.filter("a < b").join(one.select(F.col("key").alias("a"), F.col("v").alias("va")), "a")
+            pairs.join(one.select(F.col("key").alias("a"), F.col("v").alias("va")), "a")
             .join(one.select(F.col("key").alias("b"), F.col("v").alias("vb")), "b")
             .select("a", "b", "va", "vb")
             .mapInArrow(_exact(dims), "a long, b long, sim double")
         )
+        near = cut(near.filter(F.col("sim") >= min_sim))
         both = near.select(F.col("a").alias("key"), F.col("b").alias("to"), "sim").unionByName(near.select(F.col("b").alias("key"), F.col("a").alias("to"), "sim"))
-        dense = pairs.filter("a = b").select(F.col("a").alias("key"))
         n = dense.count()
         if n:
             one = cut(one)
-            both = both.unionByName(exact_lists(one.join(dense, "key", "left_semi"), one, n, dims, k)).distinct()
-        both = both.filter(F.col("sim") >= min_sim)
+            both = both.unionByName(exact_lists(one.join(dense, "key", "left_semi"), one, n, dims, k).filter(F.col("sim") >= min_sim)).distinct()
     # the k + 1 smallest ids of each class, salted first
-    ids = rows.select("key", "id").distinct()
+    ids = cut(rows.select("key", "id").distinct())
     order = Window.partitionBy("key", "salt").orderBy("id")
     few = ids.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     few = few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("r") <= k + 1)
-    smallest = few.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most k + 1 ids
+    smallest = cut(few.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")))  # at most k + 1 ids
     # k classes nearer, or as near with smaller ids, leave no place for a further class
     ranked = both.join(smallest.withColumnRenamed("key", "to"), "to").withColumn(
         "r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("sim"), F.element_at("ids", 1)))
@@ -255,8 +413,16 @@ def nearest(documents: DataFrame, k: int = 5, dims: int = 64, min_sim: float | N
     # negative similarity first, so that the natural order of the structs is best first
     flat = F.flatten(F.transform("offers", lambda o: F.transform(o["ids"], lambda i: F.struct((-o["sim"]).alias("far"), i.alias("other")))))
     best = F.slice(F.filter(F.sort_array(flat), lambda x: x["other"] != F.col("id")), 1, k)
+    on = ["key"]
+    wide = ids.groupBy("key").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")).filter("slices > 1")
+    large = wide.count()
+    if large:  # classes of very many rows meet their offers in slices
+        wide = F.broadcast(wide) if large <= 100_000 else wide
+        ids = ids.join(wide, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"), F.lit(0))).drop("slices")
+        offers = offers.join(wide, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
+        on = ["key", "salt"]
     return (
-        ids.join(offers, "key")
+        ids.join(offers, on)
         .select("id", F.posexplode(best).alias("pos", "x"))
         .select("id", F.col("x.other").alias("other"), (-F.col("x.far")).alias("sim"), (F.col("pos") + 1).alias("rank"))
     )

@@ -187,7 +187,8 @@ def test_records_with_cache(spark):
 
 # ------------------------------------------------------------------ p6
 def test_neighbours_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(knn, "ROWS_A_PARTITION", 4000)
+    monkeypatch.setattr(knn, "ENOUGH", 300)
+    monkeypatch.setattr(knn, "SLICE", 7)
     rng = np.random.default_rng(3)
     base = rng.standard_normal((120, 16))
     v = np.concatenate([base + rng.standard_normal((120, 16)) * s for s in (0, 0.1, 0.2, 0.3)] + [np.tile(base[0], (40, 1))]).astype(np.float32)
@@ -208,6 +209,8 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
 @pytest.mark.parametrize("min_sim", [None, 0.85])
 def test_neighbours_in_a_dense_cluster(spark, monkeypatch, min_sim):
     monkeypatch.setattr(knn, "ROWS_A_BLOCK", 400)
+    monkeypatch.setattr(knn, "ENOUGH", 150)
+    monkeypatch.setattr(knn, "DENSE", 3)
     rng = np.random.default_rng(5)
     centre = rng.standard_normal((1, 32)) / 32**0.5
     v = np.concatenate([centre + rng.standard_normal((900, 32)) * 0.06, rng.standard_normal((500, 32))]).astype(np.float32)
@@ -221,6 +224,60 @@ def test_neighbours_in_a_dense_cluster(spark, monkeypatch, min_sim):
     assert got == want if min_sim is None else len(got & want) >= 0.99 * len(want)
 
 
+def test_units_of_the_forest():
+    """Every row under a prefix lies in a unit that the prefix touches, however the arrays are cut."""
+    rng = np.random.default_rng(1)
+    bits = knn.BITS
+    code = np.concatenate([rng.integers(0, 1 << bits, 3000), (5 << (bits - 4)) + rng.integers(0, 1 << (bits - 22), 2000), np.full(500, 77)])
+    counts = np.bincount(code >> (bits - knn.HEAD), minlength=1 << knn.HEAD)[None]
+    units = knn.Units(counts, bits, 100)
+    home = units.unit(np.zeros(len(code), int), code)
+    assert np.bincount(np.unique(home, return_inverse=True)[1]).max() <= 2000
+    for level in (1, 3, 5, 9, 15, 16, 17, 18, 20, 24, 40):
+        top = code >> (bits - level)
+        for i in rng.integers(0, len(code), 25):
+            under = top == top[i]
+            touched = set(units.touched(0, int(code[i]), level).tolist())
+            assert set(home[under].tolist()) <= touched
+            if touched != {int(home[i])}:
+                assert len(units.beyond(0, code[i : i + 1], np.array([level])))
+            if level <= knn.HEAD:
+                assert units.rows(0, code[i : i + 1], level)[0] == under.sum()
+
+
+@pytest.mark.parametrize("unit", [40, 100_000])
+def test_forest_finds_what_shares_its_prefix(spark, monkeypatch, unit):
+    """Candidates against their definition: rows under the longest common length at which all trees hold ENOUGH."""
+    monkeypatch.setattr(knn, "ENOUGH", 60)
+    monkeypatch.setattr(knn, "UNIT", unit)
+    monkeypatch.setattr(knn, "CROWD", 1e-6)  # no crowd
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.standard_normal((500, 16)), rng.standard_normal((1, 16)) + 0.5 * rng.standard_normal((150, 16))]).astype(np.float32)
+    rows = knn._vectors(spark.createDataFrame([(f"d{k:03}", x.tolist()) for k, x in enumerate(v)], "id string, vector array<float>"), "id", "vector", 16)
+    pairs, dense = knn.candidate_pairs(rows, 16, 4, -2.0)
+    got = {tuple(r) for r in pairs.collect()}
+    own = {r["id"]: r["key"] for r in rows.select("id", "key").collect()}
+    key = np.array([own[f"d{k:03}"] for k in range(len(v))])
+    code = knn.hash_strings(knn._matrix(spark_array(v), 16), 4, knn.BITS, 20)
+    lost = {r["key"] for r in dense.collect()}
+    first = max(1, round(np.log2(len(v) * 4 / 60)) - 5)
+    want = set()
+    for i in range(len(v)):
+        for level in range(first + knn.LEVELS - 1, first - 1, -1):
+            share = (code >> (knn.BITS - level)) == (code[i] >> (knn.BITS - level))
+            if share.sum() >= 60 or level == first:
+                break
+        if key[i] not in lost:
+            want |= {(min(key[i], key[j]), max(key[i], key[j])) for j in np.flatnonzero(share.any(axis=1)) if j != i}
+    assert len(lost) < 20 and (got == want if unit > 1000 else len(want - got) <= 0.02 * len(want))
+
+
+def spark_array(v):
+    import pyarrow as pa
+
+    return pa.array([x.tolist() for x in v], pa.list_(pa.float32()))
+
+
 # ------------------------------------------------------------------ p8
 WORDS = "anchor bottle candle dragon ember forest garden harbor island jungle kettle ladder meadow needle orchard pepper quarry ribbon saddle timber umbrella velvet window yellow zephyr".split()
 
