@@ -6,11 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import vector as V
-from siltstone.operators.search import vector_topk
+from siltstone.operators.search import vector_batch, vector_topk
 
 
 def _units(rows: np.ndarray) -> np.ndarray:
@@ -30,9 +30,10 @@ class VectorIndex:
         return self.centroids.shape[1]
 
     @classmethod
-    def build(cls, docs: DataFrame, cells: int = 32, dims: int | None = None, sample: int = 20_000, steps: int = 12, seed: int = 7) -> VectorIndex:
+    def build(cls, docs: DataFrame, cells: int | None = None, dims: int | None = None, sample: int = 20_000, steps: int = 12, seed: int = 7) -> VectorIndex:
         """Fits the centroids on at most `sample` vectors (smallest hash of the id) and assigns every row. Vectors of
-        another length than the first by id, or `dims`, are left out."""
+        another length than the first by id, or `dims`, are left out. As many cells as the square root of the rows, unless said
+        otherwise, and at most an eighth of the sample."""
         rows = docs.filter("vector is not null").select("id", "vector")
         if dims is None:
             first = rows.orderBy("id").limit(1).collect()
@@ -40,6 +41,8 @@ class VectorIndex:
                 raise ValueError("no vectors to index")
             dims = len(first[0]["vector"])
         rows = rows.filter(F.size("vector") == dims)
+        n = rows.count() if cells is None else 0
+        cells = cells or max(1, min(round(n**0.5), min(sample, n) // 8))
         part = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toPandas()
         x = _units(np.array(part["vector"].tolist(), np.float64).reshape(len(part), dims))
         centre = x[np.random.default_rng(seed).permutation(len(x))[: min(cells, len(x))]]
@@ -63,12 +66,45 @@ class VectorIndex:
         new = docs.filter((F.size("vector") == self.dims)).select("id", "vector").join(self.cells.select("id"), "id", "left_anti")
         return VectorIndex(self.centroids, self.cells.unionByName(self._assign(new, self.centroids)))
 
-    def write(self, path: str) -> None:
-        self.cells.write.mode("overwrite").partitionBy("cell").parquet(path)
+    def write(self, path: str) -> VectorIndex:
+        """Stores cells and centroids; the index that comes back reads only the cells it probes."""
+        spark = self.cells.sparkSession
+        self.cells.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+        rows = [(k, c.tolist()) for k, c in enumerate(self.centroids)]
+        spark.createDataFrame(rows, "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+        return VectorIndex.read(spark, path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> VectorIndex:
+        centre = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # as many rows as cells
+        cells = spark.read.schema("id string, vector array<float>, cell int").parquet(f"{path}/cells")
+        return cls(np.array([r["centre"] for r in centre]), cells)
 
     def __len__(self) -> int:
         return self.cells.count()
 
+    def is_built(self) -> bool:
+        return len(self.centroids) > 0
+
+    def clear(self) -> VectorIndex:
+        """The same cells without rows."""
+        return VectorIndex(self.centroids, self.cells.limit(0))
+
+    def recall(self, queries: DataFrame, k: int, probes: int | None = None) -> float:
+        """Share of the exact k nearest of queries(query_id, q) that a search of so many cells finds; a bounded query set."""
+        exact = vector_batch(self.cells, queries.select(F.col("query_id").cast("string").alias("query_id"), "q"), k)
+        near = self.search_batch(queries, k, probes).select("query_id", "id", F.lit(1).alias("hit"))
+        got = exact.join(near, ["query_id", "id"], "left").agg(F.count("hit"), F.count("*")).first()
+        return got[0] / got[1] if got[1] else 1.0
+
+    def probes_for(self, queries: DataFrame, k: int, least: float = 0.95) -> int:
+        """The fewest cells by halving at which the measured recall is `least` or more; all cells give 1."""
+        low, high = 1, len(self.centroids)
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if self.recall(queries, k, mid) >= least else (mid + 1, high)
+        return low
+
     def _probes(self, probes: int | None) -> int:
         """Three quarters of the cells where no number is given: vectors without clusters lie in many cells' neighbourhoods."""
         return -(-3 * len(self.centroids) // 4) if probes is None else probes

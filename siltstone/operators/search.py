@@ -27,27 +27,90 @@ def fts_match(docs: DataFrame, query: str, key: str = "id", content: str = "cont
     return _tokenised(docs, key, content).filter(fts_query.matches(tree, F.col("t"))).select("id")
 
 
-def fts_scores(docs: DataFrame, query: str, key: str = "id", content: str = "content", where: Column | None = None) -> DataFrame:
-    """(id, rank) of matching documents; rank is negative BM25, best lowest. Statistics cover every row, `where` only the hits.
-
-    One pass gives the phrase counts; the statistics are one row, joined by broadcast."""
-    tree = fts_query.parse(query)
-    ps = list(dict.fromkeys(fts_query.phrases(tree)))
-    t = _tokenised(docs, key, content, (where if where is not None else F.lit(True)).alias("wanted"))
-    counts = t.select("id", "wanted", F.size("t").alias("dl"), fts_query.matches(tree, F.col("t")).alias("hit"), *(p.count(F.col("t")).alias(f"f{i}") for i, p in enumerate(ps)))
-    stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(ps))))
+def _bm25(counts: DataFrame, stats: DataFrame, ps: list, wanted: Column) -> DataFrame:
+    """(id, rank) from counts(id, dl, hit, f0...) and one row of stats(n, avgdl, df0...)."""
 
     def part(i: int) -> Column:
         df, f = F.col(f"df{i}"), F.col(f"f{i}")
         idf = F.log((F.col("n") - df + 0.5) / (df + 0.5))
         return F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
-    hits = counts.filter("hit and wanted").crossJoin(F.broadcast(stats))  # one row of statistics
+    hits = counts.filter(F.col("hit") & wanted).crossJoin(F.broadcast(stats))  # one row of statistics
     return hits.select("id", (-reduce(lambda a, b: a + b, (part(i) for i in range(len(ps))))).alias("rank"))
 
 
-def fts_topk(docs: DataFrame, query: str, limit: int, key: str = "id", content: str = "content", where: Column | None = None) -> DataFrame:
-    return fts_scores(docs, query, key, content, where).orderBy("rank", "id").limit(limit)
+def fts_scores(docs: DataFrame, query: str, key: str = "id", content: str = "content", where: Column | None = None) -> DataFrame:
+    """(id, rank) of matching documents; rank is negative BM25, best lowest. Statistics cover every row, `where` only the hits.
+
+    One pass gives the phrase counts; the statistics are one row, joined by broadcast."""
+    tree = fts_query.parse(query)
+    ps = list(dict.fromkeys(fts_query.phrases(tree)))
+    t = _tokenised(docs, key, content, (where if where is not None else F.lit(True)).alias("wanted"))
+    counts = t.select("id", "wanted", F.size("t").alias("dl"), fts_query.matches(tree, F.col("t")).alias("hit"), *(p.count(F.col("t")).alias(f"f{i}") for i, p in enumerate(ps)))
+    stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(ps))))
+    return _bm25(counts, stats, ps, F.col("wanted"))
+
+
+class Postings:
+    """Full-text postings: one row an occurrence (term, id, pos, dl), in ranges of (term, id) and sorted, so a query reads the row groups
+    of its words alone and a word that every document holds spreads over files; beside them one row of corpus statistics."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.rows, self.stats = spark.read.parquet(f"{self.path}/rows"), spark.read.parquet(f"{self.path}/stats")
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, key: str = "id", content: str = "content") -> Postings:
+        t = _tokenised(docs, key, content)
+        rows = t.select("id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term")).select("term", "id", "pos", "dl")
+        cls._lay(rows, path)
+        t.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("tokens")).write.mode("overwrite").parquet(f"{path}/stats")
+        return cls(docs.sparkSession, path)
+
+    @staticmethod
+    def _lay(rows: DataFrame, path: str) -> None:
+        rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id", "pos").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/rows")
+
+    def updated(self, changed: DataFrame, gone: DataFrame, path: str, key: str = "id", content: str = "content") -> Postings:
+        """Postings at a new path, with the documents of `changed` put in anew and those of `gone`(id) taken out."""
+        new = _tokenised(changed, key, content)
+        ids = changed.select(F.col(key).alias("id")).unionByName(gone.select("id")).distinct()
+        old = self.rows.join(ids, "id", "left_semi").select("id", "dl").distinct().agg(F.count("*").alias("a"), F.coalesce(F.sum("dl"), F.lit(0)).alias("b"))
+        add = new.select("id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term")).select("term", "id", "pos", "dl")
+        self._lay(self.rows.join(ids, "id", "left_anti").select("term", "id", "pos", "dl").unionByName(add), path)
+        put = new.agg(F.count("*").alias("c"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("d"))
+        stats = self.stats.crossJoin(old).crossJoin(put)  # one row each
+        stats.select((F.col("n") - F.col("a") + F.col("c")).alias("n"), (F.col("tokens") - F.col("b") + F.col("d")).alias("tokens")).write.mode("overwrite").parquet(f"{path}/stats")
+        return Postings(self.spark, path)
+
+    def scores(self, query: str) -> DataFrame:
+        """(id, rank) as fts_scores gives them."""
+        tree = fts_query.parse(query)
+        ps = list(dict.fromkeys(fts_query.phrases(tree)))
+        tested = fts_query.every_phrase(tree)
+        words = {w for p in tested for w in (p.words[:-1] if p.prefix else p.words)}
+        ends = {p.words[-1] for p in tested if p.prefix}
+        asked = reduce(lambda a, b: a | b, [F.col("term").startswith(w) for w in sorted(ends)], F.col("term").isin(sorted(words)))
+        held = self.rows.filter(asked).groupBy("id").agg(F.first("dl").alias("dl"), F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("h"))
+        # the document's tokens with blanks for all other words: positions and distances stay
+        gap = lambda h, j: h["pos"] - F.coalesce(F.get("h", j - 1)["pos"], F.lit(-1)) - 1
+        sparse = F.flatten(F.transform("h", lambda h, j: F.concat(F.array_repeat(F.lit(""), gap(h, j)), F.array(h["term"]))))
+        t = held.select("id", "dl", F.explode(F.array(sparse)).alias("t"))
+        counts = t.select("id", "dl", fts_query.matches(tree, F.col("t")).alias("hit"), *(p.count(F.col("t")).alias(f"f{i}") for i, p in enumerate(ps)))
+        df = counts.agg(*(F.coalesce(F.sum((F.col(f"f{i}") > 0).cast("long")), F.lit(0)).alias(f"df{i}") for i in range(len(ps))))
+        stats = self.stats.select("n", (F.col("tokens") / F.col("n")).alias("avgdl")).crossJoin(df)  # one row each
+        return _bm25(counts, stats, ps, F.lit(True))
+
+
+def fts_topk(docs: DataFrame, query: str, limit: int, key: str = "id", content: str = "content", where: Column | None = None, postings: Postings | None = None) -> DataFrame:
+    """The best `limit`; with postings of these documents only their rows for the query's words are read."""
+    if postings is None:
+        scores = fts_scores(docs, query, key, content, where)
+    else:
+        scores = postings.scores(query)
+        if where is not None:
+            scores = scores.join(docs.filter(where).select(F.col(key).alias("id")), "id", "left_semi")
+    return scores.orderBy("rank", "id").limit(limit)
 
 
 def vector_topk(docs: DataFrame, query: list[float], limit: int, key: str = "id", vector: str = "vector", where: Column | None = None) -> DataFrame:
@@ -79,12 +142,12 @@ def fuse(fts: DataFrame, vec: DataFrame, limit: int) -> DataFrame:
 
 def search(
     docs: DataFrame, query: str, limit: int = 10, vector: list[float] | None = None, kind: SearchType | str = SearchType.HYBRID,
-    where: Column | None = None, include_chunks: bool = True, threshold: float | None = None, index=None,
+    where: Column | None = None, include_chunks: bool = True, threshold: float | None = None, index=None, postings: Postings | None = None,
 ) -> DataFrame:
     """The search facade: result rows best first. Hybrid without a query vector is full text alone; limit applies last.
 
     index: a VectorIndex of these documents that takes the place of the exact comparison; hits that are no longer there, or that
-    `where` drops, are left out, so fewer rows may come."""
+    `where` drops, are left out, so fewer rows may come. postings: Postings of these documents, read in place of their texts."""
     kind = SearchType(kind)
     if not include_chunks:
         where = (where if where is not None else F.lit(True)) & ~F.coalesce("is_chunk", F.lit(False))
@@ -101,9 +164,9 @@ def search(
             raise ValueError("a vector search needs a vector")
         top = nearest(limit).select("id", F.col("sim").alias("score"), none.alias("fts_rank"), F.col("sim").alias("vector_similarity"))
     elif kind is SearchType.FULLTEXT or vector is None:
-        top = fts_topk(docs, query, limit, where=where).select("id", F.col("rank").alias("score"), F.col("rank").alias("fts_rank"), none.alias("vector_similarity"))
+        top = fts_topk(docs, query, limit, where=where, postings=postings).select("id", F.col("rank").alias("score"), F.col("rank").alias("fts_rank"), none.alias("vector_similarity"))
     else:
-        top = fuse(fts_topk(docs, query, 2 * limit, where=where), nearest(2 * limit), limit)
+        top = fuse(fts_topk(docs, query, 2 * limit, where=where, postings=postings), nearest(2 * limit), limit)
     if threshold is not None:
         top = top.filter(F.col("score") >= threshold)
     payload = docs.select("id", "content", "metadata", "is_chunk", "parent_id", "chunk_index")

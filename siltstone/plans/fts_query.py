@@ -167,6 +167,11 @@ def phrases(tree: Phrase | Node) -> list[Phrase]:
     return [p for x in parts for p in phrases(x)]
 
 
+def every_phrase(tree: Phrase | Node) -> list[Phrase]:
+    """All phrases a document's tokens are tested for, a NOT's right side among them."""
+    return [tree] if isinstance(tree, Phrase) else [p for x in tree.parts for p in every_phrase(x)]
+
+
 def _near(a: Phrase, b: Phrase, distance: int, tokens: Column) -> Column:
     return F.exists(a.starts(tokens), lambda i: F.exists(b.starts(tokens), lambda j: F.abs(j - i) <= distance + len(a.words)))
 

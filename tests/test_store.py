@@ -143,6 +143,36 @@ def test_chunkers():
     assert "".join(chunking.byte_slices("aé" * 3000, 512)) == "aé" * 3000
 
 
+def test_postings_give_the_scores_of_the_texts(spark, tmp_path):
+    texts = ["the red fox saw the river", "River bank, red river!", "", None, "a lamp by the river bank at night", "foxes and lamps", "red", "the the the the", "night night"]
+    df = spark.createDataFrame([(f"d{k}", t, 1, "x") for k, t in enumerate(texts)], "id string, content string, pos int, term string")
+    p = search.Postings.build(df, str(tmp_path / "p"))
+    later = df.withColumn("content", F.when(F.col("id") == "d6", F.lit("river of red light")).otherwise(F.col("content"))).filter("id <> 'd1'")
+    q = p.updated(later.filter("id = 'd6'"), spark.createDataFrame([("d1",)], "id string"), str(tmp_path / "q"))
+    for query in ["river", "red river", '"red river"', "fox*", "river NOT lamp", "red OR lamp", "^the", "NEAR(red river, 3)", '"river ba"*', "absent", "the"]:
+        for docs, post in ((df, p), (later, q)):
+            want = {r["id"]: round(r["rank"], 9) for r in search.fts_scores(docs, query).collect()}
+            assert {r["id"]: round(r["rank"], 9) for r in post.scores(query).collect()} == want, query
+    some = F.col("id") != "d6"
+    assert [r["id"] for r in search.fts_topk(df, "red", 5, where=some, postings=p).collect()] == [r["id"] for r in search.fts_topk(df, "red", 5, where=some).collect()]
+    assert search.Postings.build(df.limit(0), str(tmp_path / "e")).scores("river").count() == 0
+
+
+def test_index_is_stored_by_cell(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    v = (rng.standard_normal((8, 1, 12)) + 0.2 * rng.standard_normal((8, 60, 12))).reshape(-1, 12)
+    df = spark.createDataFrame([(f"v{k:03}", [float(y) for y in x]) for k, x in enumerate(v)], "id string, vector array<float>")
+    ix = ann.VectorIndex.build(df).write(str(tmp_path / "ix"))
+    assert len(ix) == 480 and ix.is_built() and len(ix.centroids) == 22 and len(ix.clear()) == 0
+    asked = df.filter("substr(id, 3) = '00' or substr(id, 3) = '50'").selectExpr("id as query_id", "vector as q")
+    few = ix.probes_for(asked, 5)
+    assert few < 22 and ix.recall(asked, 5, few) >= 0.95 and ix.recall(asked, 5, 22) == 1.0
+    plan = ix.search([float(x) for x in v[0]], 5, few)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "cell#" in plan.split("PartitionFilters:")[1][:80]
+    found = search.search(df.withColumns({"content": F.lit("x"), "metadata": F.lit("{}"), "is_chunk": F.lit(False), "parent_id": F.lit(None).cast("string"), "chunk_index": F.lit(0)}), "", 3, [float(x) for x in v[0]], "vector", index=ix)
+    assert found.first()["id"] == "v000"
+
+
 def test_store_facade(spark, tmp_path):
     st = Store(spark, str(tmp_path / "f"), Config.load('{"document_relations": true, "chunking": true, "chunk_strategy": "markdown", "chunk_size": 4, "chunk_threshold": 3}'))
     a = st.add("db", "t", "red apple pie", metadata='{"k": 1}')
