@@ -1,13 +1,14 @@
 """Graph operators over relations(source_id, target_id, relation_type, ...): a directed multigraph whose nodes are the ids on its edges.
 
-Loops run on the driver level by level; each level is a join of the frontier with the edges, cut by a reliable checkpoint."""
+Loops run on the driver level by level: each is one join of the newest level with the edges, written to a folder that holds all levels and is
+read as one table, and counted while it is written."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.runtime import cut
+from siltstone.runtime import Levels, cut, cut_counting, discard
 
 
 def of_types(relations: DataFrame, types: list[str] | None) -> DataFrame:
@@ -24,14 +25,14 @@ def bfs(relations: DataFrame, start: str, max_depth: int = 3, types: list[str] |
     rel = of_types(relations, types)
     edges = rel.select("source_id", "target_id").distinct()
     first = rel.filter((F.col("source_id") == start) | (F.col("target_id") == start)).limit(1).select(F.lit(start).alias("id"), F.lit(0).alias("depth"))
-    seen = frontier = cut(first)
+    levels = Levels(relations.sparkSession)
+    levels.add(first)
     for d in range(1, max_depth + 1):
-        step = edges.join(frontier.select(F.col("id").alias("source_id")), "source_id").select(F.col("target_id").alias("id")).distinct()
-        frontier = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)))
-        if not frontier.limit(1).count():
+        newest = levels.rows(-1).select(F.col("id").alias("source_id"))
+        step = edges.join(newest, "source_id").select(F.col("target_id").alias("id")).distinct()
+        if not levels.add(step.join(levels.rows().select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))["rows"]:
             break
-        seen = seen.unionByName(frontier)
-    return seen
+    return levels.rows().select("id", "depth")
 
 
 def induced(relations: DataFrame, ids: DataFrame) -> DataFrame:
@@ -52,52 +53,50 @@ def shortest_path(relations: DataFrame, start: str, goal: str, max_steps: int |
         return relations.sparkSession.createDataFrame([], "hop int, id string, relation_id string, distance double")
     if weight is not None and edges.filter("w is null or isnan(w) or w < 0").limit(1).count():
         raise ValueError("a weight is null, not a number or negative")
-    best = cut(relations.sparkSession.createDataFrame([(start, 0.0, None, None)], "id string, dist double, prev string, edge string"))
-    frontier = best
-    steps, parts = 0, int(relations.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else every round adds partitions
-    while True:
-        if weight is None and best.filter(F.col("id") == goal).limit(1).count():
-            break
+    levels, steps = Levels(relations.sparkSession), 0
+    found = F.count_if(F.col("id") == goal)
+    new = levels.add(relations.sparkSession.createDataFrame([(start, 0.0, None, None)], "id string, dist double, prev string, edge string"), goal=found)
+    while new["rows"] and not (weight is None and new["goal"]):
         if steps == max_steps:
             raise RuntimeError(f"no path settled within {max_steps} steps")
         steps += 1
+        newest = levels.rows(-1).select(F.col("id").alias("source_id"), "dist")
         order = Window.partitionBy("node").orderBy("d", "source_id")
         reach = (
-            edges.join(frontier.select(F.col("id").alias("source_id"), "dist"), "source_id")
+            edges.join(newest, "source_id")
             .select(F.col("target_id").alias("node"), (F.col("dist") + F.col("w")).alias("d"), "source_id", F.col("id").alias("e"))
             .withColumn("k", F.row_number().over(order))
             .filter("k = 1")
         )
-        frontier = cut(reach.join(best.select(F.col("id").alias("node"), F.col("dist").alias("old")), "node", "left").filter("old is null or d < old").select(F.col("node").alias("id"), F.col("d").alias("dist"), F.col("source_id").alias("prev"), F.col("e").alias("edge")))
-        if not frontier.limit(1).count():
-            break
-        best = cut(best.join(frontier.select("id"), "id", "left_anti").unionByName(frontier).coalesce(parts))
+        best = levels.rows().groupBy(F.col("id").alias("node")).agg(F.min("dist").alias("old"))
+        better = reach.join(best, "node", "left").filter("old is null or d < old")
+        new = levels.add(better.select(F.col("node").alias("id"), F.col("d").alias("dist"), F.col("source_id").alias("prev"), F.col("e").alias("edge")), goal=found)
     trail, at = [], goal
-    while True:  # one row a hop
-        row = best.filter(F.col("id") == at).limit(1).collect()
-        if not row:
+    while at is not None:  # one row a hop: the cheapest of the node, the latest level where it was reached so cheaply
+        row = levels.rows().filter(F.col("id") == at).orderBy("dist", "level").select("edge", "dist", "prev").first()
+        if row is None:
             trail = []
             break
-        trail.append((at, row[0]["edge"], row[0]["dist"]))
-        if row[0]["prev"] is None:
-            break
-        at = row[0]["prev"]
+        trail.append((at, row["edge"], row["dist"]))
+        at = row["prev"]
     rows = [(k, i, e, d) for k, (i, e, d) in enumerate(reversed(trail))]
     return relations.sparkSession.createDataFrame(rows, "hop int, id string, relation_id string, distance double")
 
 
 def has_cycles(relations: DataFrame) -> bool:
     """Peels edges that can't lie on a cycle from both ends until none is left or none goes."""
-    edges = cut(relations.select("source_id", "target_id").distinct())
-    left = edges.count()
+    every = F.count(F.lit(1))
+    edges, n = cut_counting(relations.select("source_id", "target_id").distinct(), left=every)
+    left = n["left"]
     while left:
         into = edges.select(F.col("target_id").alias("source_id")).distinct()
         out = edges.select(F.col("source_id").alias("target_id")).distinct()
-        edges = cut(edges.join(into, "source_id", "left_semi").join(out, "target_id", "left_semi"))
-        n = edges.count()
-        if n == left:
+        fewer, n = cut_counting(edges.join(into, "source_id", "left_semi").join(out, "target_id", "left_semi"), left=every)
+        discard(edges)
+        edges = fewer
+        if n["left"] == left:
             return True
-        left = n
+        left = n["left"]
     return False
 
 

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def session(cores: int = 8, app: str = "siltstone", memory: str = "8g") -> SparkSession:
@@ -62,6 +63,26 @@ def cut_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str,
     return out, {k: int(got.get(k) or 0) for k in counts}
 
 
+class Levels:
+    """Rows that a loop adds level by level: one folder of the checkpoint folder, one job a level, one scan for all levels."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.count, self._schema = spark, f"{ensure_checkpoint_dir(spark)}/levels-{uuid.uuid4().hex}", 0, None
+
+    def add(self, df: DataFrame, **counts: Column) -> dict[str, int]:
+        """Writes the next level; gives its number of rows as `rows`, and further counts."""
+        self._schema = self._schema or T.StructType([*df.schema.fields, T.StructField("level", T.IntegerType())])
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in counts.items())).write.parquet(f"{self.path}/level={self.count}")
+        self.count += 1
+        return {k: int(seen.get.get(k) or 0) for k in ("rows", *counts)}
+
+    def rows(self, level: int | None = None) -> DataFrame:
+        """All rows with their level, or those of one."""
+        read = self.spark.read.schema(self._schema).option("basePath", self.path)
+        return read.parquet(self.path if level is None else f"{self.path}/level={level % self.count}")
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table of cut() that no later plan reads."""
     path = getattr(df, "_cut_path", None)

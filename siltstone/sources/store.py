@@ -16,7 +16,7 @@ from siltstone.operators import ann, chunking
 from siltstone.operators import cache as C
 from siltstone.operators import graph as G
 from siltstone.operators import search as S
-from siltstone.runtime import cut
+from siltstone.runtime import Levels, cut
 from siltstone.schema import CACHE, DOCUMENT, RELATION, Config, StoreError, check_name
 from siltstone.sources import embedder as E
 
@@ -37,12 +37,13 @@ def latest(changes: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
 def cascade(documents: DataFrame, dead: DataFrame) -> DataFrame:
     """Ids of dead(id) and of all that hang below them."""
     links = documents.filter("parent_id is not null").select("id", "parent_id")
-    seen = frontier = cut(dead.select("id").distinct())
-    while True:
-        frontier = cut(links.join(frontier.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id").join(seen, "id", "left_anti").distinct())
-        if not frontier.limit(1).count():
-            return seen
-        seen = seen.unionByName(frontier)
+    levels = Levels(documents.sparkSession)
+    new = levels.add(dead.select("id").distinct())
+    while new["rows"]:
+        newest = levels.rows(-1).select(F.col("id").alias("parent_id"))
+        below = links.join(newest, "parent_id", "left_semi").select("id").distinct()
+        new = levels.add(below.join(levels.rows().select("id"), "id", "left_anti"))
+    return levels.rows().select("id")
 
 
 def prepared(rows: DataFrame) -> DataFrame:

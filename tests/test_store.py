@@ -79,7 +79,7 @@ def test_cycles_over_all_types(spark, tmp_path, last, cyclic):
     edges(spark, rows).write.parquet(str(tmp_path / "document_relations.parquet"))
     up = {s: t for s, t, _ in rows}
     walk = lambda n, left: left > 0 and n in up and (up[n] == "a" or walk(up[n], left - 1))
-    got = queries_store.QUERIES["graph_has_cycles"](spark, str(tmp_path)).first()
+    got = queries_store.QUERIES["graph_stats"](spark, str(tmp_path)).first()
     assert walk("a", 3) == cyclic and got.asDict() == {"node_count": 3 if cyclic else 4, "edge_count": 3, "has_cycles": cyclic}
 
 
