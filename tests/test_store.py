@@ -8,7 +8,7 @@ from siltstone.functions import vector as V
 from siltstone.operators import ann, chunking, filters, graph, search
 from siltstone.plans import fts_query
 from siltstone.schema import Config, StoreError
-from siltstone.sources.embedder import HashEmbedder
+from siltstone.sources.embedder import HashEmbedder, HttpEmbedder, embed
 from siltstone.sources.store import Store
 from siltstone.streaming.worker import Worker
 
@@ -211,6 +211,38 @@ def test_worker_isn_t_held_up(spark, tmp_path):
     assert Worker(st, Picky(8)).drain("db", "t") == 4
 
 
+def test_embedding_service(spark):
+    """The wire form of the embedding service, against a local stand-in."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            data = [{"embedding": [float(len(t)), 1.0]} for t in asked["input"]]
+            body = json.dumps({"data": data[: -1 if "short" in asked["input"] else None]}).encode()
+            self.send_response(200 if self.path == "/v1/embeddings" and asked["model"] == "m" else 404)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        e = HttpEmbedder(f"http://127.0.0.1:{server.server_port}/", "m", 2)
+        df = spark.createDataFrame([("a", "xyz"), ("b", "")], "content_hash string, content string")
+        assert {r[0]: list(r[1]) for r in embed(df, e).collect()} == {"a": [3.0, 1.0], "b": [0.0, 1.0]}
+        with pytest.raises(ValueError):
+            e.embed(["short"])
+        with pytest.raises(OSError):
+            HttpEmbedder(f"http://127.0.0.1:{server.server_port}", "other", 2).embed(["x"])
+    finally:
+        server.shutdown()
+
+
 MARKDOWN = {
     "# A\ntext\n---\n\n***\nB": ["# A\ntext", "", "B"],
     "x y\n---\nz": ["x y", "z"],
