@@ -261,10 +261,10 @@ def _print(message: str, names: tuple[str, str] = ("h1", "h2")) -> list[Column]:
 
 def residue_messages(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", recur: int = 2) -> DataFrame:
     """(message, mask, category, documents, several_sources) of the raw messages that are residue."""
-    source_name = F.coalesce("s", F.lit(""))  # null sources count as one
-    raw = messages(documents, key, text, source).groupBy("message").agg(F.count("*").alias("n"), F.min(source_name).alias("s1"), F.max(source_name).alias("s2"))
+    named = F.xxhash64("s")  # null sources count as one; numbers keep the grouping hashed, where names would have it sorted
+    raw = messages(documents, key, text, source).groupBy("message").agg(F.count("*").alias("n"), F.min(named).alias("s1"), F.max(named).alias("s2"))
     read = raw.select("message", F.lower(unstyled(F.col("message"))).alias("low"), "n", "s1", "s2").mapInArrow(
-        _classified, "message string, mask string, n long, s1 string, s2 string, strong string, weak string, notice boolean"
+        _classified, "message string, mask string, n long, s1 long, s2 long, strong string, weak string, notice boolean"
     )
     hit = F.col("strong").isNotNull() | F.col("weak").isNotNull() | F.col("notice")
     one = lambda c: F.when(hit, F.col(c))
