@@ -518,7 +518,7 @@ SELECT count(*) AS documents, count(DISTINCT content) FILTER (WHERE waits) AS te
 def stream_embed_worker(spark, d):
     """All documents stored; those that wait for a vector are embedded by the streaming worker in batches, each distinct text once."""
     base = f"{ensure_checkpoint_dir(spark)}/worker-{uuid.uuid4().hex}"
-    s = Store(spark, base, Config(worker_batch=150))
+    s = Store(spark, base, Config(embedding_cache=True, embedding_job=True, worker_batch=150))
     rows = store_docs(spark, d).filter("content <> ''").select("id", "content", "vector", "vectorize", "created_at", "updated_at")
     s.upsert("db", "notes", rows)
     Worker(s, HashEmbedder(16)).start("db", "notes", f"{base}/_checkpoint", once=True).awaitTermination()

@@ -203,6 +203,7 @@ class Store:
 
     def relate(self, db: str, rows: DataFrame) -> int:
         """New relations (source_id, target_id, relation_type, ...); a triple that exists, or comes twice, is refused."""
+        self._relations_on()
         have = set(rows.columns)
         new = cut(
             rows.select(
@@ -241,18 +242,20 @@ class Store:
         return self._changes(db, CACHE_TABLE, CACHE).drop("op", "seq")
 
     def embedded(self, db: str, rows: DataFrame, embedder: E.Embedder) -> DataFrame:
-        """rows with vectors where vectorize holds: from the cache, else from the embedder, each text once."""
+        """rows with vectors where vectorize holds, each text embedded once: from the cache where it is switched on, else from the embedder."""
         want = cut(rows)
         todo = want.filter(F.coalesce("vectorize", F.lit(True)))
-        new = cut(E.embed(C.misses(todo, self.cache(db), embedder.model), embedder).withColumns({"model": F.lit(embedder.model), "created_at": F.current_timestamp()}))
-        if new.limit(1).count():
-            self._append(db, CACHE_TABLE, new.select("content_hash", "model", "vector", "created_at"), "put")
-        got = C.probe(want.drop("content_hash"), self.cache(db), embedder.model)
+        have = self.cache(db) if self.config.embedding_cache else self.spark.createDataFrame([], CACHE)
+        new = cut(E.embed(C.misses(todo, have, embedder.model), embedder).withColumns({"model": F.lit(embedder.model), "created_at": F.current_timestamp()}))
+        new = new.select("content_hash", "model", "vector", "created_at")
+        if self.config.embedding_cache and new.limit(1).count():
+            self._append(db, CACHE_TABLE, new.filter("vector is not null"), "put")
+        got = C.probe(want.drop("content_hash"), have.select(new.columns).unionByName(new), embedder.model)
         vec = F.when(F.coalesce("vectorize", F.lit(True)), F.coalesce("cached_vector", "vector")).otherwise(F.col("vector"))
         return got.withColumn("vector", vec).drop("cached_vector", "content_hash")
 
     def ingest(self, db: str, table: str, rows: DataFrame, embedder: E.Embedder | None = None, wait: bool = True, tokenizer: chunking.Tokenizer | None = None) -> int:
-        """Validate, chunk by the configured strategy, embed, then one write. Without `wait` the worker embeds later.
+        """Validate, chunk by the configured strategy, embed if that is switched on, then one write. Without `wait` the worker embeds later.
 
         With a tokenizer the chunking threshold and windows count its tokens."""
         ready = cut(prepared(rows))
@@ -260,7 +263,7 @@ class Store:
             raise StoreError("empty content")
         if self.config.chunking:
             ready = chunking.auto_chunk(ready, self.config.chunk_threshold, self.config.chunk_size, self.config.chunk_overlap, self.config.chunk_strategy, tokenizer)
-        if embedder is not None and wait:
+        if self.config.embedding and embedder is not None and wait:
             ready = self.embedded(db, ready, embedder)
         return self.upsert(db, table, ready)
 
@@ -288,9 +291,12 @@ class Store:
     def _graph(self, db: str, types: list[str] | None) -> DataFrame:
         return G.of_types(self.relations(db), types)
 
-    def traverse(self, db: str, start: str, depth: int, types: list[str] | None = None) -> DataFrame:
+    def _relations_on(self) -> None:
         if not self.config.document_relations:
             raise StoreError("relations are switched off")
+
+    def traverse(self, db: str, start: str, depth: int, types: list[str] | None = None) -> DataFrame:
+        self._relations_on()
         return G.bfs(self._graph(db, types), start, depth)
 
     def path(self, db: str, start: str, goal: str, types: list[str] | None = None) -> DataFrame:

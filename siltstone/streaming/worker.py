@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from siltstone.operators import filters
 from siltstone.runtime import cut
-from siltstone.schema import DOCUMENT
+from siltstone.schema import DOCUMENT, StoreError
 from siltstone.sources.embedder import Embedder
 from siltstone.sources.store import Store
 
@@ -54,6 +54,8 @@ class Worker:
 
     def start(self, db: str, table: str, checkpoint: str, once: bool = False):
         """A streaming query; with `once` it ends when the files there are done."""
+        if not self.store.config.embedding_job:
+            raise StoreError("the embedding job is switched off")
         schema = T.StructType([*DOCUMENT.fields, T.StructField("op", T.StringType())])
         stream = self.store.spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{self.store.base}/{db}/{table}/seq=*")
 

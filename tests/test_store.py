@@ -22,7 +22,7 @@ def edges(spark, rows):
 
 
 def test_store_round_trip(spark, tmp_path):
-    s = Store(spark, str(tmp_path / "base"), Config(chunking=True, chunk_threshold=5, chunk_size=4, chunk_overlap=1, worker_batch=10))
+    s = Store(spark, str(tmp_path / "base"), Config(chunking=True, chunk_threshold=5, chunk_size=4, chunk_overlap=1, worker_batch=10, embedding_job=True))
     mk = lambda rows: spark.createDataFrame(rows, "id string, content string")
     s.ingest("db", "notes", mk([("a", "one two three four five six seven eight"), ("b", "short")]))
     rows = {r["id"]: r for r in s.documents("db", "notes").collect()}
@@ -52,7 +52,7 @@ def test_store_round_trip(spark, tmp_path):
 
 
 def test_relations_are_unique(spark, tmp_path):
-    s = Store(spark, str(tmp_path / "base"))
+    s = Store(spark, str(tmp_path / "base"), Config(document_relations=True))
     one = spark.createDataFrame([("r1", "a", "b", "references")], "id string, source_id string, target_id string, relation_type string")
     s.relate("db", one)
     with pytest.raises(StoreError):
@@ -199,6 +199,21 @@ def test_store_facade(spark, tmp_path):
     assert st.documents("db", "c").count() == 3 and st.relations("db").count() == 2
 
 
+def test_switches(spark, tmp_path):
+    """Everything is off by default, and what is off does nothing or is refused."""
+    df = spark.createDataFrame([("a", "same text"), ("b", "same text"), ("c", "other")], "id string, content string")
+    off, on = Store(spark, str(tmp_path / "off")), Store(spark, str(tmp_path / "on"), Config(embedding=True, embedding_cache=True))
+    for st, vectors, cached in ((off, 0, 0), (on, 3, 2)):
+        st.ingest("db", "t", df, HashEmbedder(4))
+        assert st.documents("db", "t").filter("vector is not null").count() == vectors and st.cache("db").count() == cached
+    on.ingest("db", "t", df, HashEmbedder(4))
+    assert on.cache("db").count() == 2
+    rel = spark.createDataFrame([("a", "b", "cites")], "source_id string, target_id string, relation_type string")
+    for refused in (lambda: off.relate("db", rel), lambda: off.traverse("db", "a", 1), lambda: Worker(off, HashEmbedder(4)).start("db", "t", str(tmp_path / "cp"))):
+        with pytest.raises(StoreError):
+            refused()
+
+
 def test_worker_isn_t_held_up(spark, tmp_path):
     """Documents whose embedding fails don't starve those behind them."""
 
