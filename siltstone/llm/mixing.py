@@ -56,13 +56,14 @@ def _features(ids: list[int]) -> np.ndarray:
 def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 200, rate: float = 2.0, ridge: float = 1e-3) -> np.ndarray:
     """(DIMS + 1, classes) weights by gradient descent with momentum; the last row is the bias."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w, v = np.zeros((x.shape[1], classes)), np.zeros((x.shape[1], classes))
-    hot = np.eye(classes)[y]
+    w, v = np.zeros((x.shape[1], classes), x.dtype), np.zeros((x.shape[1], classes), x.dtype)  # one type throughout: no copies of x
+    hot = np.eye(classes, dtype=x.dtype)[y]
+    rate, ridge = x.dtype.type(rate), x.dtype.type(ridge)
     for _ in range(steps):
         z = x @ w
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        v = 0.9 * v - rate * (x.T @ (p - hot) / len(x) + ridge * w)
+        v = x.dtype.type(0.9) * v - rate * (x.T @ (p - hot) / x.dtype.type(len(x)) + ridge * w)
         w = w + v
     return w
 
