@@ -63,6 +63,15 @@ def cut_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str,
     return out, {k: int(got.get(k) or 0) for k in counts}
 
 
+def cut_ordered(df: DataFrame, *order: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """cut() of the rows in order, with a `_place` that grows along it; and the runs of consecutive places, one a partition: (first place, rows)."""
+    plain = cut(df)  # a sort by ranges evaluates its input twice
+    out = cut(plain.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
+    discard(plain)
+    runs = out.groupBy(F.shiftright("_place", 33)).agg(F.min("_place").alias("place"), F.count(F.lit(1)).alias("rows")).collect()
+    return out, sorted((r["place"], r["rows"]) for r in runs)
+
+
 class Levels:
     """Rows that a loop adds level by level: one folder of the checkpoint folder, one job a level, one scan for all levels."""
 

@@ -8,15 +8,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.operators import ann, chunking
+from siltstone.operators import ann, chunking, filters
 from siltstone.operators import cache as C
 from siltstone.operators import graph as G
 from siltstone.operators import search as S
-from siltstone.runtime import Levels, cut
+from siltstone.runtime import Levels, cut, cut_counting
 from siltstone.schema import CACHE, DOCUMENT, RELATION, Config, StoreError, check_name
 from siltstone.sources import embedder as E
 
@@ -63,6 +63,11 @@ def prepared(rows: DataFrame) -> DataFrame:
     )
 
 
+def with_vectors(rows: DataFrame) -> DataFrame:
+    """Rows as a change that sets their vectors."""
+    return rows.withColumns({"updated_at": F.current_timestamp(), "is_embedded": F.lit(True), "is_vectorized": F.lit(True)}).select(*DOCUMENT.names)
+
+
 class Store:
     def __init__(self, spark: SparkSession, base: str, config: Config | None = None):
         self.spark, self.base, self.config = spark, base.rstrip("/"), config or Config()
@@ -89,14 +94,21 @@ class Store:
         base, seqs = self._parts(db, table)
         return [base] * (base > 0) + seqs
 
-    def _append(self, db: str, table: str, rows: DataFrame, op: str) -> int:
+    def _append(self, db: str, table: str, rows: DataFrame, op: str, counted: bool = False) -> int | tuple[int | None, int]:
+        """Number of the change; when counted, with that of its rows, and without rows there is no change."""
         where = f"{check_name(db)}/{check_name(table)}"
-        staged = f"{where}/_staged-{uuid.uuid4().hex}"
-        rows.withColumn("op", F.lit(op)).write.parquet(f"{self.base}/{staged}")
+        seen, staged = Observation(), f"{where}/_staged-{uuid.uuid4().hex}"
+        rows = rows.withColumn("op", F.lit(op))
+        if counted:
+            rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
+        rows.write.parquet(f"{self.base}/{staged}")
+        if counted and not seen.get.get("rows"):
+            self._fs.delete(self._path(staged), True)
+            return None, 0
         for seq in range((self._log(db, table) or [0])[-1] + 1, 1 << 31):
             goal = self._path(f"{where}/seq={seq}")
             if not self._fs.exists(goal) and self._fs.rename(self._path(staged), goal):
-                return seq
+                return (seq, int(seen.get["rows"])) if counted else seq
         raise StoreError("no sequence number is free")
 
     # catalog
@@ -134,6 +146,17 @@ class Store:
     def documents(self, db: str, table: str) -> DataFrame:
         return latest(self._changes(db, table, DOCUMENT))
 
+    def waiting(self, db: str, table: str, parts: tuple[int, list[int]] | None = None) -> DataFrame:
+        """Current rows that wait for a vector. Ids that never came so don't reach the window."""
+        changes = self._changes(db, table, DOCUMENT, parts)
+        came = changes.filter((F.col("op") == "put") & filters.in_queue()).select("id")
+        return latest(changes.join(came, "id", "left_semi")).filter(filters.in_queue())
+
+    def unchanged(self, db: str, table: str, parts: tuple[int, list[int]], own: list[int]) -> bool:
+        """Whether the table has nothing but these parts and the caller's own writes."""
+        base, seqs = self._parts(db, table)
+        return base == parts[0] and not set(seqs) - set(parts[1]) - set(own)
+
     def relations(self, db: str) -> DataFrame:
         return latest(self._changes(db, RELATIONS, RELATION))
 
@@ -155,11 +178,13 @@ class Store:
     # writes
     def upsert(self, db: str, table: str, rows: DataFrame) -> int:
         """Puts whole rows; of rows with one id in a batch the last by updated_at stays."""
-        ready = cut(prepared(rows))  # made ids must not change between checks and the write
-        if ready.filter("content is null or content = ''").limit(1).count():
+        ready, seen = cut_counting(prepared(rows), empty=F.count_if(F.coalesce("content", F.lit("")) == ""))  # made ids must not change between checks and the write
+        if seen["empty"]:
             raise StoreError("empty content")
-        w = Window.partitionBy("id").orderBy(F.desc("updated_at"), F.desc("content"))
-        return self._append(db, table, ready.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k"), "put")
+        if not ready.groupBy("id").count().filter("count > 1").isEmpty():  # else the rows need not be shuffled
+            w = Window.partitionBy("id").orderBy(F.desc("updated_at"), F.desc("content"))
+            ready = ready.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+        return self._append(db, table, ready, "put")
 
     def add(self, db: str, table: str, content: str, id: str | None = None, metadata: str = "{}", tags: list[str] | None = None, parent_id: str | None = None) -> str:
         """One document without a vector; gives its id."""
@@ -170,9 +195,17 @@ class Store:
 
     def set_vectors(self, db: str, table: str, vectors: DataFrame) -> int:
         """vectors(id, vector) for ids that live."""
-        docs = self.documents(db, table).drop("vector", "updated_at", "is_embedded", "is_vectorized")
-        new = docs.join(vectors.select("id", "vector"), "id").withColumns({"updated_at": F.current_timestamp(), "is_embedded": F.lit(True), "is_vectorized": F.lit(True)})
-        return self._append(db, table, new.select(*DOCUMENT.names), "put")
+        docs = self.documents(db, table).drop("vector")
+        return self._append(db, table, with_vectors(docs.join(vectors.select("id", "vector"), "id")), "put")
+
+    def set_vectors_of(self, db: str, table: str, rows: DataFrame, parts: tuple[int, list[int]], own: list[int]) -> tuple[int | None, int]:
+        """Sets the vectors of whole rows that were read from these parts; gives number of the change (None without rows) and of its rows.
+
+        If others than the caller wrote since, current rows of the same content get them; those of another content wait for their own."""
+        if not self.unchanged(db, table, parts, own):
+            changes = self._changes(db, table, DOCUMENT).join(rows.select("id"), "id", "left_semi")
+            rows = latest(changes).drop("vector").join(rows.select("id", "content", "vector"), ["id", "content"])
+        return self._append(db, table, with_vectors(rows), "put", counted=True)
 
     def delete(self, db: str, table: str, ids: list[str], cascade_relations: bool = False) -> None:
         """Documents with all that hang below them. A row with a parent can't be deleted alone; a missing id is no error."""
@@ -241,16 +274,19 @@ class Store:
     def cache(self, db: str) -> DataFrame:
         return self._changes(db, CACHE_TABLE, CACHE).drop("op", "seq")
 
-    def embedded(self, db: str, rows: DataFrame, embedder: E.Embedder) -> DataFrame:
-        """rows with vectors where vectorize holds, each text embedded once: from the cache where it is switched on, else from the embedder."""
-        want = cut(rows)
-        todo = want.filter(F.coalesce("vectorize", F.lit(True)))
+    def embedded(self, db: str, rows: DataFrame, embedder: E.Embedder, tasks: int | None = None) -> DataFrame:
+        """rows, which must be those of a table, with vectors where vectorize holds, each text embedded once: from the cache where it is switched on, else from the embedder.
+
+        tasks: among how many the texts are dealt out; by default by their size, which is little beside what embedding costs."""
+        todo = rows.filter(F.coalesce("vectorize", F.lit(True)))
         have = self.cache(db) if self.config.embedding_cache else self.spark.createDataFrame([], CACHE)
-        new = cut(E.embed(C.misses(todo, have, embedder.model), embedder).withColumns({"model": F.lit(embedder.model), "created_at": F.current_timestamp()}))
+        miss = C.misses(todo, have, embedder.model)
+        new = E.embed(miss if tasks is None else miss.repartition(tasks), embedder).withColumns({"model": F.lit(embedder.model), "created_at": F.current_timestamp()})
+        new, made = cut_counting(new, vectors=F.count("vector"))
         new = new.select("content_hash", "model", "vector", "created_at")
-        if self.config.embedding_cache and new.limit(1).count():
+        if self.config.embedding_cache and made["vectors"]:
             self._append(db, CACHE_TABLE, new.filter("vector is not null"), "put")
-        got = C.probe(want.drop("content_hash"), have.select(new.columns).unionByName(new), embedder.model)
+        got = C.probe(rows.drop("content_hash"), have.select(new.columns).unionByName(new), embedder.model)
         vec = F.when(F.coalesce("vectorize", F.lit(True)), F.coalesce("cached_vector", "vector")).otherwise(F.col("vector"))
         return got.withColumn("vector", vec).drop("cached_vector", "content_hash")
 
@@ -264,7 +300,7 @@ class Store:
         if self.config.chunking:
             ready = chunking.auto_chunk(ready, self.config.chunk_threshold, self.config.chunk_size, self.config.chunk_overlap, self.config.chunk_strategy, tokenizer)
         if self.config.embedding and embedder is not None and wait:
-            ready = self.embedded(db, ready, embedder)
+            ready = self.embedded(db, cut(ready), embedder)
         return self.upsert(db, table, ready)
 
     def snapshot(self, db: str, path: str) -> None:

@@ -7,10 +7,10 @@ from siltstone.functions import text as T
 from siltstone.functions import vector as V
 from siltstone.operators import ann, chunking, filters, graph, search
 from siltstone.plans import fts_query
-from siltstone.schema import Config, StoreError
+from siltstone.schema import DOCUMENT, Config, StoreError
 from siltstone.sources.embedder import HashEmbedder, HttpEmbedder, embed
 from siltstone.sources.store import Store
-from siltstone.streaming.worker import Worker
+from siltstone.streaming.worker import Worker, rounds
 
 EDGE = "id string, source_id string, target_id string, relation_type string, created_at timestamp"
 
@@ -302,3 +302,95 @@ def test_plan_shapes(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0])], "id string, vector array<float>")
     plan = search.vector_topk(df, [1.0, 0.0], 3)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan
+
+
+def _places(spark, n):
+    """n documents, the oldest first, that wait for a vector."""
+    from datetime import datetime, timedelta
+
+    rows = [(f"d{k:02}", f"text {k}", datetime(2025, 1, 1) + timedelta(hours=k // 2)) for k in range(n)]
+    return spark.createDataFrame(rows, "id string, content string, created_at timestamp")
+
+
+def test_worker_drains_in_few_rounds(spark, tmp_path):
+    """The queue is read once and written in rounds that double, oldest first; places of equal age go by id."""
+    st = Store(spark, str(tmp_path / "w"), Config(worker_batch=2, embedding_cache=True))
+    st.upsert("db", "t", _places(spark, 21))
+    assert Worker(st, HashEmbedder(8)).drain("db", "t") == 21
+    changes = st._changes("db", "t", DOCUMENT).filter("seq > 1").groupBy("seq").agg(F.array_sort(F.collect_list("id")).alias("ids")).orderBy("seq").collect()
+    ids = [f"d{k:02}" for k in range(21)]
+    assert [r["ids"] for r in changes] == [ids[:2], ids[2:6], ids[6:14], ids[14:]]
+    docs = st.documents("db", "t")
+    assert docs.count() == 21 and docs.filter("vector is null or not is_embedded").count() == 0 and st.cache("db").count() == 21
+    assert Worker(st, HashEmbedder(8)).drain("db", "t") == 0
+
+
+def test_rounds_over_runs():
+    place = [*range(10, 13), *range(100, 101), *range(200, 207)]
+    for first in (1, 2, 3, 4, 11, 12):
+        got = [[p for p in place if (a is None or p >= a) and (b is None or p < b)] for a, b in rounds([(10, 3), (100, 1), (200, 7)], first)]
+        assert sum(got, []) == place and all(got)
+        assert [len(g) for g in got[:-1]] == [first << k for k in range(len(got) - 1)] and len(got[-1]) <= first << (len(got) - 1)
+    assert rounds([], 3) == []
+
+
+def test_worker_beside_other_writers(spark, tmp_path):
+    """What others change, delete or add while the worker embeds: no old text's vector, no document back from the dead, other columns kept."""
+    st = Store(spark, str(tmp_path / "w"), Config(worker_batch=2))
+    st.upsert("db", "t", _places(spark, 6))
+    plain, calls = st.embedded, []
+
+    def embedded(*a):
+        if not calls:
+            mk = lambda rows: spark.createDataFrame(rows, "id string, content string, tags array<string>")
+            st.upsert("db", "t", mk([("d00", "other words here", None), ("d01", "text 1", ["new"]), ("z", "late", None)]))
+            st.delete("db", "t", ["d04"])
+            st.compact("db", "t")
+        calls.append(1)
+        return plain(*a)
+
+    st.embedded = embedded
+    assert Worker(st, HashEmbedder(8)).drain("db", "t") == 5
+    got = {r["id"]: r for r in st.documents("db", "t").collect()}
+    assert set(got) == {"d00", "d01", "d02", "d03", "d05", "z"} and got["d01"]["tags"] == ["new"]
+    assert [k for k, r in got.items() if r["vector"] is None] == ["d00"] and not got["d00"]["is_embedded"]
+    assert Worker(st, HashEmbedder(8)).drain("db", "t") == 1
+
+
+def test_worker_without_vectors_writes_nothing(spark, tmp_path):
+    class Down(HashEmbedder):
+        def embed(self, texts):
+            return [None] * len(texts)
+
+    st = Store(spark, str(tmp_path / "w"), Config(worker_batch=2, embedding_cache=True))
+    st.upsert("db", "t", _places(spark, 3))
+    assert Worker(st, Down(8)).drain("db", "t") == 0
+    assert st._log("db", "t") == [1] and st.cache("db").count() == 0
+
+
+def test_stream_drains_once_for_all_its_files(spark, tmp_path):
+    """Files that were there when the last drain read the table ask for no further one; what others write later does."""
+    st = Store(spark, str(tmp_path / "w"), Config(worker_batch=2, embedding_job=True))
+    st.upsert("db", "t", spark.createDataFrame([("bad", "bad"), ("good", "good")], "id string, content string"))
+    plain, reads = st.waiting, []
+    st.waiting = lambda *a: reads.append(1) or plain(*a)
+
+    class Picky(HashEmbedder):
+        def embed(self, texts):
+            return [None if t == "bad" else v for t, v in zip(texts, super().embed(texts), strict=True)]
+
+    w = Worker(st, Picky(8))
+    for k in range(3):
+        w.start("db", "t", str(tmp_path / f"cp{k}"), once=True).awaitTermination()
+        if k == 1:
+            assert len(reads) == 1
+            st.upsert("db", "t", spark.createDataFrame([("late", "late")], "id string, content string"))
+    assert len(reads) == 2 and {r["id"] for r in st.documents("db", "t").filter("vector is null").collect()} == {"bad"}
+
+
+def test_upsert_of_one_id_twice(spark, tmp_path):
+    """Of rows with one id in a batch the last by updated_at stays."""
+    st = Store(spark, str(tmp_path / "w"))
+    rows = [("a", "old", "2025-01-01"), ("a", "new", "2025-01-02"), ("b", "only", "2025-01-01")]
+    st.upsert("db", "t", spark.createDataFrame(rows, "id string, content string, day string").withColumn("updated_at", F.to_timestamp("day")))
+    assert st._changes("db", "t", DOCUMENT).count() == 2 and st.get("db", "t", "a")["content"] == "new"
