@@ -1,10 +1,10 @@
 """Evaluation texts leaking into training text.
 
 Texts are reduced to their words (lower case, one blank between them, apostrophes dropped) without cue numbers, timings,
-settings, styling codes and bracketed sound descriptions; the cleaned corpus is written once. Items of more than `PART_WORDS` words are
+settings, styling codes and bracketed sound descriptions. Items of more than `PART_WORDS` words are
 cut into parts that share `SHARED` words, more than the shortest passage that counts within any longer one. Parts fill blocks of about
 `BLOCK_CHARS` characters, so what is broadcast is bounded however many items there are and however long one is; each block is
-looked up in one pass over the cleaned words.
+looked up in one pass. One block is looked up while the documents are cleaned; for several the cleaned corpus is written once.
 
 Filter: every character q-gram of a document is looked up among the items' q-grams. Hits are counted in diagonal bands of
 BAND characters (document position minus item position) that overlap by half, so edits that shift a passage by up to
@@ -22,18 +22,25 @@ each reported; documents are read whole, very long ones in pieces that overlap b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.subtitles import STYLE, unified
+from siltstone.llm.subtitles import STYLE
 from siltstone.runtime import cut
 
 Q, LEAST, BAND, WORDS, PER, EDITS, SHIFT = 16, 6, 32, 15, 8, 3, 3
+#: Candidates aligned at once, the entries of their table of moves, and the characters of candidates that wait.
+LANES, MOVES, WAITING = 512, 1 << 26, 1 << 21
+#: Offsets that an alignment may take, and characters beyond them in which the last word may end.
+OFFSETS, ROOM = BAND + 2 * EDITS + 1, 32
 BLOCK_CHARS, PIECE_CHARS, PART_WORDS, SHARED = 2_000_000, 400_000, 512, 64
 #: Pairs of signs that character recognition takes for one.
 ALIKE = (("rn", "m"), ("vv", "w"), ("li", "h"), ("cl", "d"), ("0", "o"), ("1", "l"), ("5", "s"))
@@ -41,17 +48,41 @@ _B = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(int(_B), -1, 1 << 64))
 
 #: Parts of a text set aside. Line forms begin with their line break, so that most positions fail at one comparison.
-_NOISE = (
+_NOISE = re.compile(
     r"\n(?:(?:[ \t]*\d+[ \t]*\n)?[ \t]*\d[\d:.,]*[ \t]*-+>[^\n]*|\{\d+\}\{\d+\}|[ \t]*\d+[ \t]*(?=\n)|WEBVTT[^\n]*|[ \-]*\*[^*\n]*\*[ ]*(?=\n)|[ \-]*#[^#\n]*#[ ]*(?=\n))"
-    r"|\[[^\[\]\n]*\]|\([^()\n]*\)|♪[^♪\n]*♪"
+    r"|\[[^\[\]\n]*\]|\([^()\n]*\)|♪[^♪\n]*♪",
+    re.ASCII,
 )
+_STYLE = re.compile(STYLE, re.ASCII)
+_APOSTROPHES = "'’´`"
+
+
+@cache
+def _signs() -> np.ndarray:
+    """For each code point itself if it is a letter or number, 0 if it is dropped, else a blank; the planes above the third hold neither letters nor numbers."""
+    out = np.full(0x110000, 32, np.uint32)
+    for k in range(0x40000):
+        if unicodedata.category(chr(k))[0] in "LN":
+            out[k] = k
+    out[[ord(x) for x in _APOSTROPHES]] = 0
+    return out
 
 
-def words_only(text: Column) -> Column:
-    """The words of a subtitle or plain text, one blank between them."""
-    t = F.concat(F.lit("\n"), F.regexp_replace(unified(text), STYLE, ""), F.lit("\n"))
-    t = F.translate(F.lower(F.regexp_replace(t, _NOISE, " ")), "'’´`", "")
-    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
+def words_only(texts: list[str]) -> np.ndarray:
+    """The words of subtitle or plain texts, one blank between them and a line break after each text."""
+    if not texts:
+        return np.zeros(0, np.uint32)
+    bare = []
+    for t in texts:
+        t = t.replace("\ufeff", "").replace("\r\n", "\n").replace("\r", "\n")
+        bare.append(_NOISE.sub(" ", f"\n{_STYLE.sub('', t)}\n").lower())
+    codes = _signs()[_codes("\n".join(bare))]
+    codes[np.cumsum([len(t) + 1 for t in bare[:-1]], dtype=np.int64) - 1] = 10
+    codes = np.append(codes[codes != 0], np.uint32(10))
+    blank = codes == 32
+    codes = codes[~np.append(False, blank[1:] & blank[:-1])]
+    end = np.append(True, codes == 10)
+    return codes[~((codes == 32) & (end[:-1] | np.append(end[2:], False)))]
 
 
 def _codes(text: str) -> np.ndarray:
@@ -188,36 +219,54 @@ def _candidates(ix: ItemIndex, codes: np.ndarray, starts: np.ndarray, up: np.nda
     half = BAND // 2
     diag = (at[which] - starts[text] - pos + ix.longest) // half + 1  # in half bands, never negative
     span = np.int64((len(codes) + 2 * ix.longest) // half + 4)
-    base = (text * len(ix.ids) + item) * span + diag
-    # the band numbered b holds the half bands b and b + 1
-    key, pos, at2 = np.concatenate([base, base - 1]), np.concatenate([pos, pos]), np.tile(at[which], 2)
+    key = (text * len(ix.ids) + item) * span + diag
     order = np.argsort(key, kind="stable")
-    key, pos, at2 = key[order], pos[order], at2[order]
+    key, pos, at = key[order], pos[order], at[which][order]
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    got = np.diff(np.concatenate([head, [len(key)]]))
-    reach = np.maximum.reduceat(pos, head) - np.minimum.reduceat(pos, head)
-    pair = key[head] // span
-    least = ix.least[pair % len(ix.ids)]
-    ok = (got >= least[:, 0]) & (reach >= least[:, 1])
-    hits = np.repeat(ok, got)
-    key, pos, at2 = key[hits], pos[hits], at2[hits]
-    item = key // span % len(ix.ids)
+    own, got = key[head], np.diff(np.concatenate([head, [len(key)]]))
+    low, high = np.minimum.reduceat(pos, head), np.maximum.reduceat(pos, head)
+    # the band numbered b holds the half bands b and b + 1; a half band after a gap also makes the band that begins in the gap
+    next_to = own[1:] == own[:-1] + 1
+    after, begins = np.append(next_to, False), np.flatnonzero(~np.append(False, next_to))
+    then = np.minimum(np.arange(len(own)) + 1, len(own) - 1)
+    least = ix.least[own // span % len(ix.ids)]
+
+    def enough(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, need: np.ndarray) -> np.ndarray:
+        return (n >= need[:, 0]) & (hi - lo >= need[:, 1])
+
+    both = enough(got + np.where(after, got[then], 0), np.where(after, np.minimum(low, low[then]), low), np.where(after, np.maximum(high, high[then]), high), least)
+    alone = enough(got[begins], low[begins], high[begins], least[begins])
+    some = both.copy()
+    some[then[both & after]] = True
+    some[begins[alone]] = True
+    if not some.any():
+        return none, none, none
     # whole words: in 2 * PER item words in a row, all but three must stand in the document near one of the hits' word distances
+    hits = np.repeat(some, got)
+    of, pos, at = np.repeat(np.arange(len(own)), got)[hits], pos[hits], at[hits]
     begin, words = word_hashes(codes, up, down)
-    far = np.searchsorted(begin, at2, side="right") - 1 - ix.word_at[ix.offset[item] + pos]
-    base = int(ix.words.shape[1]) + SHIFT
-    both = np.unique(np.stack([key, far + base], axis=1), axis=0)
-    keep = np.zeros(len(both), bool)
-    for part in np.array_split(np.arange(len(both)), len(both) // 4096 + 1):
-        item = both[part, 0] // span % len(ix.ids)
-        own = ix.words[item]
-        near = np.zeros(own.shape, bool)
-        for shift in range(-SHIFT, SHIFT + 1):
-            j = both[part, 1][:, None] - base + shift + np.arange(own.shape[1])
-            near |= (words[np.clip(j, 0, len(words) - 1)] == own) & (own != 0) & (j >= 0) & (j < len(words))
-        sums = np.concatenate([np.zeros((len(part), 1), np.int64), np.cumsum(near, axis=1)], axis=1)
-        keep[part] = (sums[:, 2 * PER :] - sums[:, : -2 * PER]).max(axis=1, initial=0) >= 2 * PER - 3
-    key = np.unique(both[keep, 0])
+    far = np.searchsorted(begin, at, side="right") - 1 - ix.word_at[ix.offset[own[of] // span % len(ix.ids)] + pos]
+    fresh = np.concatenate([[True], (of[1:] != of[:-1]) | (far[1:] != far[:-1])])
+    of, far = of[fresh], far[fresh]
+    width = int(ix.words.shape[1])
+    reach = np.int64(len(words) + 2 * width + 2)
+    pairs, rank = np.unique(own[of] // span, return_inverse=True)
+    fars, place = np.unique(rank * reach + far + width, return_inverse=True)
+    item, far = pairs[fars // reach] % len(ix.ids), fars % reach - width
+    padded = np.concatenate([np.zeros(width + SHIFT, np.uint64), words, np.zeros(width + SHIFT + 1, np.uint64)])
+    near_enough = np.zeros(len(fars), bool)
+    for part in np.array_split(np.arange(len(fars)), len(fars) * width // 500_000 + 1):
+        wanted = ix.words[item[part]]
+        there = padded[(far[part] + width)[:, None] + np.arange(width + 2 * SHIFT)]
+        near = wanted == there[:, :width]
+        for shift in range(1, 2 * SHIFT + 1):
+            near |= wanted == there[:, shift : shift + width]
+        sums = np.cumsum(near & (wanted != 0), axis=1, dtype=np.int32)
+        sums[:, 2 * PER :] -= sums[:, : -2 * PER].copy()
+        near_enough[part] = sums.max(axis=1, initial=0) >= 2 * PER - 3
+    keep = np.zeros(len(own), bool)
+    keep[of[near_enough[place]]] = True
+    key = np.sort(np.concatenate([own[both & (keep | (after & keep[then]))], own[begins[alone & keep[begins]]] - 1]))
     pair = key // span
     return pair // len(ix.ids), pair % len(ix.ids), (key % span) * half - ix.longest
 
@@ -245,14 +294,14 @@ def _token(lane: np.ndarray, a: int, b: int) -> str:
     return lane[a:b].astype("<u4").tobytes().decode("utf-32-le", "replace")
 
 
-def word_states(items: list[np.ndarray], lanes: np.ndarray) -> list[np.ndarray]:
-    """For each lane the states of its item's words: 0 exact, 1 damaged, 2 lost.
+def leaking(items: list[np.ndarray], lanes: np.ndarray) -> list[bool]:
+    """Whether each lane holds a passage of its item. Its words are 0 exact, 1 damaged, 2 lost.
 
     lanes[c, i + j] is the document's character i + j steps after lane c's start; character i of item c may align with
     offsets j of the band. Costs are unit edits, ends are free, all lanes advance together; shorter items are padded
     with a sign that matches nothing, which costs every offset the same."""
     n, c = max(map(len, items)), len(items)
-    w = lanes.shape[1] - n
+    w = OFFSETS
     item = np.full((n, c, 1), 0xFFFFFFFF, np.uint32)
     for k, own in enumerate(items):
         item[: len(own), k, 0] = own
@@ -287,71 +336,115 @@ def word_states(items: list[np.ndarray], lanes: np.ndarray) -> list[np.ndarray]:
         starts, ends = np.concatenate([[0], blank + 1]), np.concatenate([blank, [len(own)]])
         bad = s[ends] - s[np.maximum(starts - 1, 0)]  # a word takes the edits of the blank before it
         state = np.where(bad == 0, 0, np.where((bad <= EDITS) & (2 * bad < np.maximum(ends - starts, 3)), 1, 2))
-        for x in np.flatnonzero((state == 2) & (bad <= EDITS)):  # short words: one sign read as two is two edits
-            a, b = starts[x], ends[x]
-            word = own[a:b].astype("<u4").tobytes().decode("utf-32-le", "replace")
-            if look(_token(lanes[k], place[k, a], place[k, b - 1] + 1)) == look(word):
-                state[x] = 1
-        out.append(state)
+        short = (state == 2) & (bad <= EDITS)  # short words: one sign read as two is two edits
+        if short.any() and not leaks(state) and leaks(np.where(short, 1, state)):
+            for x in np.flatnonzero(short):
+                a, b = starts[x], ends[x]
+                word = own[a:b].astype("<u4").tobytes().decode("utf-32-le", "replace")
+                if look(_token(lanes[k], place[k, a], place[k, b - 1] + 1)) == look(word):
+                    state[x] = 1
+        out.append(leaks(state))
     return out
 
 
 def leaks(state: np.ndarray) -> bool:
     """WORDS or more words in a row, none lost, at most one in PER damaged."""
-    for run in np.split(state, np.flatnonzero(state == 2)):
-        run = run[run < 2]
-        if len(run) < WORDS:
-            continue
-        sums = np.concatenate([[0], np.cumsum(run)])
-        for m in range(WORDS, len(run) + 1):
-            if ((sums[m:] - sums[:-m]) * PER <= m).any():
-                return True
+    lost = np.concatenate([[-1], np.flatnonzero(state == 2), [len(state)]])
+    for k in np.flatnonzero(np.diff(lost) > WORDS):
+        run = state[lost[k] + 1 : lost[k + 1]]
+        # words [i, j) are a passage if PER * (damaged before j) - j <= PER * (damaged before i) - i
+        t = PER * np.concatenate([[0], np.cumsum(run)]) - np.arange(len(run) + 1)
+        if (t[WORDS:] <= np.maximum.accumulate(t)[:-WORDS]).any():
+            return True
     return False
 
 
-def _verified(ix: ItemIndex, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, cand) -> set[tuple[int, int]]:
-    found: set[tuple[int, int]] = set()
+def _lanes(ix: ItemIndex, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, cand) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text, item, the text's characters that the item may align with) of each candidate."""
     half = BAND // 2 + EDITS
-    for part in np.array_split(np.arange(len(cand[0])), len(cand[0]) // 512 + 1):
-        if not len(part):
-            continue
-        text, item, mid = (x[part] for x in cand)
-        own = [ix.codes[k] for k in item]
-        grid = (starts[text] + mid - half)[:, None] + np.arange(max(map(len, own)) + 2 * half + 1)
-        inside = (grid >= starts[text][:, None]) & (grid < ends[text][:, None])
-        lanes = np.where(inside, codes[np.clip(grid, 0, len(codes) - 1)], 0)
-        found.update((int(t), int(k)) for t, k, state in zip(text, item, word_states(own, lanes), strict=True) if leaks(state))
+    for text, k, mid in zip(*(x.tolist() for x in cand), strict=True):
+        lane = np.zeros(len(ix.codes[k]) + OFFSETS + ROOM, np.uint32)
+        a = int(starts[text]) + mid - half
+        lo, hi = max(a, int(starts[text])), min(a + len(lane), int(ends[text]))
+        if hi > lo:
+            lane[lo - a : hi - a] = codes[lo:hi]
+        yield text, k, lane
+
+
+def _verified(ix: ItemIndex, pending: list[tuple[int, int, np.ndarray]]) -> set[tuple[int, int]]:
+    """The (document, index of an item) among those of the lanes that hold a passage; short items first, so that lanes of like length go together."""
+    found: set[tuple[int, int]] = set()
+    pending = sorted(pending, key=lambda x: len(x[2]))
+    while pending:
+        few = max(1, min(LANES, MOVES // (len(pending[0][2]) * OFFSETS)))
+        while few > 1 and len(pending[min(few, len(pending)) - 1][2]) * few * OFFSETS > MOVES:
+            few //= 2
+        part, pending = pending[:few], pending[few:]
+        lanes = np.zeros((len(part), max(len(x) for _, _, x in part)), np.uint32)
+        for row, (_, _, lane) in zip(lanes, part, strict=True):
+            row[: len(lane)] = lane
+        found.update((d, k) for (d, k, _), yes in zip(part, leaking([ix.codes[k] for _, k, _ in part], lanes), strict=True) if yes)
     return found
 
 
-def _search(shared):
+def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, words)."""
+    for batch in batches:
+        for ids, texts in _groups(batch, PIECE_CHARS):
+            words = words_only(texts).tobytes().decode("utf-32-le", "surrogatepass").split("\n")[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["id", "words"])
+
+
+def _groups(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of a batch's rows in order, of up to `most` characters or one text."""
+    ids, texts, size = [], [], 0
+    for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        if size + len(text) > most and texts:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(k)
+        texts.append(text)
+        size += len(text) + 1
+    if texts:
+        yield ids, texts
+
+
+def _as_is(texts: list[str]) -> np.ndarray:
+    return _codes("".join(f"{t}\n" for t in texts))
+
+
+def _search(shared, words: Callable[[list[str]], np.ndarray], least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = shared.value
         overlap = index.longest + 2 * BAND
-        most = max(PIECE_CHARS, 4 * overlap)
+        most = max(least, 4 * overlap)
         up, down = _powers(2 * most + 2)
 
-        def flush(ids: list, texts: list):
-            codes = _codes("\n".join(texts))
-            lens = np.array([len(t) for t in texts])
-            starts = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
-            pairs = _verified(index, codes, starts, starts + lens, _candidates(index, codes, starts, up, down))
-            return {(ids[t], index.ids[i]) for t, i in pairs}
+        def pieces(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray]]:
+            for ids, texts in _groups(batch, most):
+                codes = words(texts)
+                if len(ids) > 1 or len(codes) <= most:
+                    yield ids, codes
+                    continue
+                codes = codes[:-1]
+                for a in range(0, max(1, len(codes) - overlap), most - overlap):
+                    yield ids, np.append(codes[a : a + most], np.uint32(10))
 
         for batch in batches:
-            out, ids, texts, size = set(), [], [], 0
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for a in range(0, max(1, len(text) - overlap), most - overlap):
-                    piece = text[a : a + most]
-                    if size + len(piece) > most and texts:
-                        out |= flush(ids, texts)
-                        ids, texts, size = [], [], 0
-                    ids.append(k)
-                    texts.append(piece)
-                    size += len(piece) + 1
-            if texts:
-                out |= flush(ids, texts)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([i for _, i in out], pa.int64())], names=["doc_id", "item_id"])
+            out, pending, size = set(), [], 0
+            for ids, codes in pieces(batch):
+                ends = np.flatnonzero(codes == 10)
+                starts = np.concatenate([[0], ends[:-1] + 1])
+                cand = _candidates(index, codes[:-1], starts, up, down)
+                for t, k, lane in _lanes(index, codes, starts, ends, cand):
+                    pending.append((ids[t], k, lane))
+                    size += len(lane)
+                    if size >= WAITING:
+                        out |= _verified(index, pending)
+                        pending, size = [], 0
+            out |= _verified(index, pending)
+            pairs = {(d, index.ids[k]) for d, k in out}
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in pairs], pa.int64()), pa.array([i for _, i in pairs], pa.int64())], names=["doc_id", "item_id"])
 
     return run
 
@@ -359,19 +452,28 @@ def _search(shared):
 def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """Distinct (doc_id, item_id)."""
     spark = documents.sparkSession
-    rows = items.select(F.col(item).cast("long"), words_only(F.col("text"))).filter(F.col(item).isNotNull())
-    corpus = documents.select(F.col(key).cast("long").alias("doc_id"), words_only(F.col(text)).alias("words")).filter("doc_id is not null and words <> ''")
-    corpus = cut(corpus)
-
-    def found(block: list) -> DataFrame:
-        return corpus.mapInArrow(_search(spark.sparkContext.broadcast(ItemIndex(block))), "doc_id long, item_id long").distinct()
-
-    block, size, tables = [], 0, []
-    for i, t in rows.toLocalIterator():  # one block of items at a time on the driver
-        for part in parts_of(t) if t else []:
-            if size + len(part) > BLOCK_CHARS and block:
-                tables.append(cut(found(block)))
-                block, size = [], 0
-            block.append((i, part))
-            size += len(part)
-    return reduce(DataFrame.unionByName, tables, found(block)).distinct()
+
+    def texts(df: DataFrame, k: str, t: str) -> DataFrame:
+        return df.select(F.col(k).cast("long").alias("id"), F.make_valid_utf8(F.col(t)).alias("words")).filter("id is not null and words is not null")
+
+    def blocks() -> Iterator[list[tuple[int, str]]]:  # one at a time on the driver
+        block, size = [], 0
+        for i, t in texts(items, item, "text").mapInArrow(_clean, "id long, words string").toLocalIterator():
+            for part in parts_of(t) if t else []:
+                if size + len(part) > BLOCK_CHARS and block:
+                    yield block
+                    block, size = [], 0
+                block.append((i, part))
+                size += len(part)
+        yield block
+
+    def found(corpus: DataFrame, block: list[tuple[int, str]], words: Callable[[list[str]], np.ndarray]) -> DataFrame:
+        return corpus.mapInArrow(_search(spark.sparkContext.broadcast(ItemIndex(block)), words, PIECE_CHARS), "doc_id long, item_id long").distinct()
+
+    corpus, rest = texts(documents, key, text), blocks()
+    block, later = next(rest), next(rest, None)
+    if later is None:
+        return found(corpus, block, words_only)
+    corpus = cut(corpus.mapInArrow(_clean, "id long, words string").filter("words <> ''"))
+    tables = [cut(found(corpus, b, _as_is)) for b in chain([block, later], rest)]
+    return reduce(DataFrame.unionByName, tables).distinct()

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import dedup, knn, leakage, markup, mixing, residue
+from siltstone.llm import dedup, knn, leakage, markup, mixing, residue, subtitles
 
 # ------------------------------------------------------------------ p3
 
@@ -333,6 +333,47 @@ def test_signs_that_look_alike(spark):
     assert [tuple(r) for r in leakage.leaked_items(d, items).collect()] == [(1, 5)]
 
 
+def test_leaks_of_one_block_without_a_written_corpus(spark, monkeypatch):
+    """One block of items is looked up while the documents are cleaned; several find the same over a corpus written once."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abdegiklnoprstuz") for _ in range(rng.randint(4, 9)))
+    texts = [[word() for _ in range(30)] for _ in range(6)]
+    docs = [(k, f"1\n00:00:01,000 --> 00:00:02,000\n{' '.join(w[4:24]).title()}!") for k, w in enumerate(texts)] + [(20, " ".join(word() for _ in range(500))), (21, None), (22, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "item_id long, text string")
+    written, cut = [], leakage.cut
+    monkeypatch.setattr(leakage, "cut", lambda df: written.append(df) or cut(df))
+    want = {(k, k) for k in range(6)}
+    assert {tuple(r) for r in leakage.leaked_items(d, items).collect()} == want and not written
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 500)
+    assert {tuple(r) for r in leakage.leaked_items(d, items).collect()} == want and sum("words" in df.columns for df in written) == 1
+
+
+def test_words_only(spark):
+    """The words are those that Spark's regular expressions leave, whatever signs, line ends and scripts a text has."""
+    rng = random.Random(13)
+    signs = ["\ufeff", "\r\n", "\r", "\n", " ", "\t", "1", "12", "00:00:01,000 --> 00:00:02,000", "-->", "WEBVTT x", "{1}{25}", "{\\an8}", "{y:i}", "<i>", "</FONT>", "<font color='#fff'>", "<b", "[ah]", "[", "]", "(", ")", "*", "#", "- *la*", "# la #", "♪", "'", "’", "`", "´",
+             "İSTANBUL", "ΟΔΟΣ", "Σ", "straße", "ſt", "K", "ё", "é", "e\u0301", "中文", "٣", "Ⅷ", "½", "한국", "𝒜", "🎬", "\x00", "\x0b", "\x85", "\u2028", "|", "a", "Bee", "don't", "x_y"]
+    texts = ["", " ", "\n", "1", *("".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(3000))]
+    t = F.replace(F.replace(F.replace(F.col("t"), F.lit("\ufeff"), F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    t = F.concat(F.lit("\n"), F.regexp_replace(t, subtitles.STYLE, ""), F.lit("\n"))
+    t = F.translate(F.lower(F.regexp_replace(t, leakage._NOISE.pattern, " ")), "'’´`", "")
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))).collect()
+    want = [w for _, w in sorted(map(tuple, rows))]
+    assert leakage.words_only(texts).tobytes().decode("utf-32-le").split("\n") == [*want, ""]
+    bad = spark.sql("select 1L as doc_id, concat(cast(X'ff' as string), ' one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen ', cast(X'c3' as string)) as text")
+    items = spark.createDataFrame([(5, "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen.")], "item_id long, text string")
+    assert [tuple(r) for r in leakage.leaked_items(bad, items).collect()] == [(1, 5)]
+
+
+def test_passages_by_word_states():
+    rng = random.Random(14)
+    for _ in range(2000):
+        state = np.array(rng.choices([0, 1, 2], [rng.choice([10, 20, 40]), 2, rng.choice([0, 1])], k=rng.randint(1, 60)))
+        want = any((own := state[a:b]).max() < 2 and own.sum() * leakage.PER <= b - a for a in range(len(state)) for b in range(a + leakage.WORDS, len(state) + 1))
+        assert leakage.leaks(state) == want
+
+
 # ------------------------------------------------------------------ p9
 def test_mixture(spark):
     rng = random.Random(5)
