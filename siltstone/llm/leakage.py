@@ -456,7 +456,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
     def texts(df: DataFrame, k: str, t: str) -> DataFrame:
         return df.select(F.col(k).cast("long").alias("id"), F.make_valid_utf8(F.col(t)).alias("words")).filter("id is not null and words is not null")
 
-    def blocks() -> Iterator[list[tuple[int, str]]]:  # one at a time on the driver
+    def blocks() -> Iterator[list[tuple[int, str]]]:  # at most three on the driver at once
         block, size = [], 0
         for i, t in texts(items, item, "text").mapInArrow(_clean, "id long, words string").toLocalIterator():
             for part in parts_of(t) if t else []:
